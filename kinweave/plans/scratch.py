@@ -51,7 +51,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that ``df`` reads; costs no job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size.toString()), 1 << 62)
+    return min(int(str(size)), 1 << 62)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
