@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, mixing, pii, quality, tokens
+from kinweave.llm import decontaminate, mixing, pii, quality, simhash, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,12 +41,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op6_pii, op7_decontaminate, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op6_pii, op7_decontaminate, op8_simhash, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -55,6 +55,12 @@ def test_mixing(spark, sample, sample_dir):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in per)
 
 
+def test_simhash(spark, sample, sample_dir):
+    got = by_id(q.op8_simhash(spark, sample_dir), "fingerprint", "component_id")
+    want = brute.simhash([r[:2] for r in sample])
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_empty(spark, empty_dir, name):
     assert q.queries()[name](spark, empty_dir).collect() == []
