@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, mixing, pii, quality, simhash, tokens
+from kinweave.llm import decontaminate, mixing, pii, quality, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.drop("rejected_by")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -50,7 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op6_pii, op7_decontaminate, op8_simhash, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,12 @@ def test_quality(spark, sample, sample_dir):
     assert not got.where("kept and base_failed").count()
 
 
+def test_substrings(spark, sample, sample_dir):
+    got = by_id(q.op5_substring_dedup(spark, sample_dir), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute.substrings([r[:2] for r in sample])
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_pii(spark, sample, sample_dir):
     names = "n_email", "n_ip", "n_card", "n_phone", "base_sha256"
     got, want = by_id(q.op6_pii(spark, sample_dir), *names), {r[0]: brute.pii(r[1]) for r in sample}
