@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, mixing, pii, quality, simhash, substrings, tokens
+from kinweave.llm import decontaminate, mixing, ngrams, pii, quality, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,8 +53,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

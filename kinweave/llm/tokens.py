@@ -21,67 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.llm.eliasfano import EliasFano
 from kinweave.plans.scratch import input_bytes, scratch_path, shuffle_partitions
 
 SEGMENT_IDS = 1 << 21
 SHARD_BYTES = 32 << 20
 NO_ID = -(1 << 63)
-#: A select sample for so many ones.
-_SAMPLE = 64
-
-
-class EliasFano:
-    """A non-decreasing sequence of integers in [0, top], with select."""
-
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.cumsum(np.bitwise_count(high.view(np.uint8))) if len(high) else np.zeros(0, int)
-        self._samples = np.searchsorted(counts, np.arange(0, n, _SAMPLE), "right")
-        self._before = np.concatenate([[0], counts])
-
-    @classmethod
-    def encode(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.uint64)
-        n, top = len(values), int(values[-1]) if len(values) else 0
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        mask = np.uint64((1 << low_bits) - 1)
-        bits = ((values & mask)[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros((top >> low_bits) + n + 1, np.uint8)
-        flags[places] = 1
-        return cls(n, low_bits, low, np.packbits(flags, bitorder="little"))
-
-    def to_bytes(self) -> bytes:
-        head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u4").tobytes()
-        return head + self.low.tobytes() + self.high.tobytes()
-
-    @classmethod
-    def from_bytes(cls, raw: bytes) -> EliasFano:
-        n, low_bits, n_low, n_high = np.frombuffer(raw, "<u4", 4).tolist()
-        return cls(n, low_bits, np.frombuffer(raw, np.uint8, n_low, 16), np.frombuffer(raw, np.uint8, n_high, 16 + n_low))
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for b in range(self.low_bits):
-            at = i * self.low_bits + b
-            out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
-        return out
-
-    def select(self, i: int) -> int:
-        """The i-th value: scans from the nearest select sample to the byte with the i-th one."""
-        byte = int(self._samples[i // _SAMPLE])
-        while self._before[byte + 1] <= i:
-            byte += 1
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        place = 8 * byte + int(ones[i - self._before[byte]])
-        return ((place - i) << self.low_bits) | int(self._low(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((places - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
 
 #: A word of Latin letters that are single code points in NFC, then ASCII punctuation: both are pieces of their own.
@@ -213,7 +158,7 @@ def read_tokens(spark, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 shard, inner, doc_ids, ids, width, bounds = (batch.column(c)[row].as_py() for c in range(6))
                 ids = np.frombuffer(ids, f"<u{width}")
-                ends = EliasFano.from_bytes(bounds).all().astype(np.int64)
+                ends = EliasFano.from_buffer(bounds).all().astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends)]
                 keys = [None if k == NO_ID else k for k in np.frombuffer(doc_ids, "<i8").tolist()]
@@ -224,7 +169,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def read_document(row, i: int) -> np.ndarray:
     """Ids of the i-th document of a segment row, by two selects."""
-    bounds = EliasFano.from_bytes(row["bounds"])
+    bounds = EliasFano.from_buffer(row["bounds"])
     return np.frombuffer(row["ids"], f"<u{row['width']}")[bounds.select(i - 1) if i else 0 : bounds.select(i)]
 
 

@@ -1,5 +1,8 @@
 """Every query against a brute-force version of its contract, over whole tables with odd rows."""
 
+import math
+from collections import Counter
+
 import pytest
 
 from kinweave.llm import queries as q
@@ -67,6 +70,47 @@ def test_simhash(spark, sample, sample_dir):
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def brute_bigrams(docs, discount=0.75):
+    """The same model with plain counts."""
+    pairs, train = Counter(), [t for i, t in docs if brute.crc(i) % 5 != 1]
+    tokens = lambda t: [*brute.WORD.findall(brute.lower(t)), None]
+    for t in train:
+        pairs.update(zip([0, *tokens(t)], tokens(t)))
+    context, after, single = Counter(), Counter(), Counter()
+    for (v, w), c in pairs.items():
+        context[v] += c
+        after[v] += 1
+        single[w] += c
+    n, kinds = sum(single.values()), len(single)
+    out = {}
+    for i, t in docs:
+        total = 0.0
+        for v, w in zip([0, *tokens(t)], tokens(t)):
+            p = (single[w] + 0.5) / (n + 0.5 * (kinds + 1))
+            total += math.log10(max(pairs[v, w] - discount, 0) / context[v] + discount * after[v] / context[v] * p if context[v] else p)
+        out[i] = total
+    return out
+
+
+def test_lm(spark, sample, sample_dir):
+    got = by_id(q.op10_lm_score(spark, sample_dir), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = [r[:2] for r in sample]
+    want, scores = brute.base_scores(docs), brute_bigrams(docs)
+    assert {i: g[:4] for i, g in got.items()} == {i: w[:4] for i, w in want.items()}
+    for i, g in got.items():
+        assert g[4] == pytest.approx(want[i][4], rel=1e-9)
+        # Counts above 128 are quantised within a ratio of 10 ** 0.043.
+        assert g[5] == pytest.approx(scores[i], rel=0.01, abs=0.05 * g[1])
+
+
+def test_lm_split_contexts(spark, sample_dir, monkeypatch):
+    """Splitting contexts changes no score."""
+    plain = by_id(q.op10_lm_score(spark, sample_dir), "score")
+    monkeypatch.setattr(q.ngrams, "HOT_SAMPLE", 1.0)
+    split = by_id(q.op10_lm_score(spark, sample_dir), "score")
+    assert all(split[i][0] == pytest.approx(plain[i][0], rel=1e-12) for i in plain)
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_empty(spark, empty_dir, name):
     assert q.queries()[name](spark, empty_dir).collect() == []
