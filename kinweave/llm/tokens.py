@@ -2,7 +2,7 @@
 
 Format. A data set is a Parquet table of segments, one row each, so that Spark's committer makes writes
 atomic and any Hadoop store can hold it: shard and part (segments in this order hold the documents in
-ascending id order), start (ids in all segments before it), doc_ids (int64, little-endian), ids (all ids
+ascending id order), inner (ids in earlier segments of its shard), doc_ids (int64, little-endian), ids (all ids
 concatenated, little-endian, uint16 or uint32 by ``width``) and bounds, the Elias-Fano code of the end offset
 of each document within the segment. There is no table of 64-bit offsets: ``EliasFano.select`` finds the
 i-th bound from the high bits' select samples and the low bits, near n * (2 + log2(ids / n)) bits.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,52 +30,53 @@ SHARD_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 
-#: A word of Latin letters that are single code points in NFC, then ASCII punctuation: both are pieces of their own.
-_PLAIN = re.compile(r"([A-Za-zª-ºÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
-#: White space that str.split() and the tokenizer may see differently.
-_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Characters whose normal form, case and class are the same for Python and any tokenizer: ASCII and Latin-1 letters.
+_LETTERS = "a-zªµºß-öø-ÿ"
+_UNUSUAL = re.compile(r"[^\t-\r -~ªµºÀ-ÖØ-öø-ÿ]|<\|")
+#: The pieces of lower-case text that the tokenizer's pattern gives on those characters (fixed values).
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: White space of which str.split() and the tokenizer may think differently.
+_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins pieces across white space.
+    """Ids of whole texts from a tokenizer that drops white space and encodes each piece by itself.
 
-    Each distinct word is encoded once while it stays in the cache. ``split_plain`` holds where letters and the
-    punctuation after them are separate pieces in lower case; the special strings of the tokenizer contain
-    letters and punctuation, so words with "<|" are encoded whole. Texts with unusual white space are
-    encoded as they are.
+    Texts of usual characters are split into the tokenizer's own pieces, others into words, those with odd
+    white space not at all. Each distinct part is encoded by the tokenizer and its ids, as bytes, are
+    cached; of two generations of the cache the older goes when the younger is full.
     """
 
-    def __init__(self, tokenizer_json: str, cache_words: int = 300_000):
+    def __init__(self, tokenizer_json: str, cache_size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache_words, self.pieces, self.words = cache_words, {}, {}
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new words into the cache."""
-        split, wanted = {}, {}
-        for word in new:
-            m = None if "<|" in word else _PLAIN.fullmatch(word)
-            split[word] = tuple(p for p in (m[1].lower(), m[2]) if p) if m else (word,)
-            wanted.update(dict.fromkeys(p for p in split[word] if p not in self.pieces))
-        self.pieces.update(zip(wanted, self._encode(list(wanted))))
-        self.words.update((w, self.pieces[p[0]] if len(p) == 1 else np.concatenate([self.pieces[x] for x in p])) for w, p in split.items())
-
-    def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > self.cache_words or len(self.pieces) > self.cache_words:
-            self.words, self.pieces = {}, {}
-        split = [None if _ODD_BLANK.search(t or "") else (t or "").split() for t in texts]
-        new = set().union(*(s for s in split if s))
-        self._learn([w for w in new if w not in self.words])
-        get, empty = self.words.__getitem__, np.empty(0, self.dtype)
-        return [self._encode([t])[0] if s is None else np.concatenate(list(map(get, s))) if s else empty for t, s in zip(texts, split)]
+        self.cache_size, self.young, self.old = cache_size, {}, {}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list[str]:
+        if not _UNUSUAL.search(text):
+            return _PIECES.findall(text.lower())
+        return [text] if _ODD_BLANK.search(text) else text.split()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        parts = [self._parts(t) if t else [] for t in texts]
+        new = set().union(*parts).difference(self.young)
+        held = {x: self.old[x] for x in new if x in self.old}
+        new = [x for x in new if x not in held]
+        if len(self.young) + len(held) + len(new) > self.cache_size:
+            self.old, self.young = self.young, {}
+            held |= {x: self.old[x] for x in set().union(*parts) if x in self.old}
+        self.young.update(held)
+        for at in range(0, len(new), 4096):
+            self.young.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096])))
+        get = self.young.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -88,15 +90,14 @@ def _encoder(tokenizer_json: str) -> WordEncoder:
     return _ENCODERS[tokenizer_json]
 
 
-_SEGMENT = "shard int, part int, doc_ids binary, ids binary, width int, bounds binary"
-_NAMES = ["shard", "part", "doc_ids", "ids", "width", "bounds"]
-_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+_SEGMENT = "shard int, part int, inner long, doc_ids binary, ids binary, width int, bounds binary"
+_NAMES = ["shard", "part", "inner", "doc_ids", "ids", "width", "bounds"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
 
-def _pack(shard: int, part: int, keys: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(ids)
-    bounds = EliasFano.encode(np.cumsum([len(x) for x in ids]))
-    row = (shard, part, np.array([NO_ID if k is None else k for k in keys], "<i8").tobytes(), flat.astype(flat.dtype.newbyteorder("<")).tobytes(), flat.dtype.itemsize, bounds.to_bytes())
+def _pack(shard: int, part: int, inner: int, keys: list[int | None], ids: list[bytes], width: int) -> pa.RecordBatch:
+    bounds = EliasFano.encode(np.cumsum([len(x) // width for x in ids]))
+    row = (shard, part, inner, np.array([NO_ID if k is None else k for k in keys], "<i8").tobytes(), b"".join(ids), width, bounds.to_bytes())
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
 
 
@@ -116,19 +117,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     ordered = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, keys, ids, total, encoder = TaskContext.get().partitionId(), 0, [], [], 0, _encoder(held.value)
+        shard, encoder = TaskContext.get().partitionId(), _encoder(held.value)
+        width, part, inner, total, keys, ids = encoder.dtype.itemsize, 0, 0, 0, [], []
+        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 for key, found in zip(piece.column(0).to_pylist(), encoder.encode_all(piece.column(1).to_pylist())):
                     keys.append(key)
-                    ids.append(np.append(found, np.array([end_id], encoder.dtype)))
-                    total += len(ids[-1])
+                    ids.append(found + end)
+                    total += len(ids[-1]) // width
                     if total >= segment_ids:
-                        yield _pack(shard, part, keys, ids)
-                        part, keys, ids, total = part + 1, [], [], 0
+                        yield _pack(shard, part, inner, keys, ids, width)
+                        part, inner, total, keys, ids = part + 1, inner + total, 0, [], []
         if keys:
-            yield _pack(shard, part, keys, ids)
+            yield _pack(shard, part, inner, keys, ids, width)
 
     ordered.mapInArrow(encode, _SEGMENT).write.parquet(path)
 
@@ -140,18 +143,13 @@ def read_tokens(spark, path: str) -> DataFrame:
     partitions, so their number is bounded by the write's plan.
     """
     segments = spark.read.schema(_SEGMENT).parquet(path)
-    sizes = segments.select("shard", "part", F.expr("octet_length(ids) div width").alias("size"))
-    from pyspark.sql import Window
-
-    inner = sizes.withColumn("inner", F.sum("size").over(Window.partitionBy("shard").orderBy("part")) - F.col("size"))
+    sizes = segments.select("shard", F.expr("octet_length(ids) div width").alias("size"))
     totals = sorted((r["shard"], r["size"]) for r in sizes.groupBy("shard").agg(F.sum("size").alias("size")).collect())
     before, offsets = 0, {}
     for shard, size in totals:
         offsets[shard] = before
         before += size
     held = spark.sparkContext.broadcast(offsets)
-    starts = inner.select(F.col("shard").alias("s_shard"), F.col("part").alias("s_part"), "inner")
-    placed = segments.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("part") == F.col("s_part"))).select("shard", "inner", "doc_ids", "ids", "width", "bounds")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +162,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 keys = [None if k == NO_ID else k for k in np.frombuffer(doc_ids, "<i8").tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins + inner + held.value[shard], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("shard", "inner", "doc_ids", "ids", "width", "bounds").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_document(row, i: int) -> np.ndarray:
