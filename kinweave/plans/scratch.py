@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -48,10 +48,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that ``df`` reads; costs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 62)
+def input_bytes(df: DataFrame, text: str) -> int:
+    """The size of the files that ``df`` reads, or, if it reads anything else, that of its column ``text``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if all(leaf.getClass().getSimpleName() == "LogicalRelation" for leaf in leaves):
+        return sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves)
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
