@@ -286,7 +286,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", dis
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_buckets = n_shards = max(shuffle_partitions(spark), -(-input_bytes(rows) // bucket_bytes))
+    n_buckets = n_shards = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // bucket_bytes))
     held = spark.sparkContext.broadcast(_hot_contexts(rows, n_shards))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int").alias("bucket"), "doc_id", "text")
     by_bucket = dealt.groupBy("bucket")

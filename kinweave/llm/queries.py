@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, mixing, ngrams, pii, quality, simhash, substrings, tokens
+from kinweave.llm import decontaminate, language, mixing, ngrams, pii, quality, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +25,12 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.quality_report(table(spark, sf_dir, "documents"))
     return report.drop("rejected_by")
@@ -58,7 +64,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
+    return {f.__name__: f for f in (op2_token_binary, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,6 +35,8 @@ from kinweave.operators.components import connected_components
 from kinweave.plans.scratch import materialize
 
 SAMPLE_PRINTS = 2000
+#: Stands for a null id where one is joined on.
+NO_ID = -(1 << 63)
 BUCKET_ROWS = 4096
 #: Costs of a row sent to a bucket and of a comparison, in microseconds.
 _SEND, _COMPARE = 2.0, 0.01
@@ -269,9 +271,11 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
 
     In a component whose ids are all null one row stays.
     """
-    classes = near_duplicates(docs, id, text, **options).select(F.col("doc_id").alias("k_id"), "component_id").where("doc_id <=> component_id").distinct()
+    classes = near_duplicates(docs, id, text, **options).where("doc_id <=> component_id")
+    key = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
+    first = classes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_key")).distinct()
     names = docs.columns
-    rows = docs.select(F.col(id).cast("long").alias("d_id"), F.struct(*names).alias("row"), F.col(text).alias("d_text"))
-    first = rows.join(classes, F.col("d_id").eqNullSafe(F.col("k_id")), "left_semi")
-    one = first.groupBy("d_id").agg(F.min_by("row", F.struct(F.col("d_text").isNull(), "d_text")).alias("row"))
+    rows = docs.select(key.alias("d_key"), F.struct(*names).alias("row"), F.col(text).alias("d_text"))
+    kept = rows.join(first, F.col("d_key") == F.col("k_key"), "left_semi")
+    one = kept.groupBy("d_key").agg(F.min_by("row", F.struct(F.col("d_text").isNull(), "d_text")).alias("row"))
     return one.select(*(F.col("row")[name].alias(name) for name in names))

@@ -197,7 +197,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_buckets = max(shuffle_partitions(spark), -(-input_bytes(rows) // bucket_bytes))
+    n_buckets = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // bucket_bytes))
     n_shards = n_buckets
     held = spark.sparkContext.broadcast(_id_bounds(rows, n_buckets))
 

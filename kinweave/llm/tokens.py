@@ -113,7 +113,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     with open(tokenizer, encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_shards = max(shuffle_partitions(spark), -(-input_bytes(rows) // shard_bytes))
+    n_shards = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // shard_bytes))
     ordered = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,44 @@ def test_tokens(spark, sample, sample_dir):
     assert got == brute.tokens([r[:2] for r in sample], Tokenizer.from_file(q.tokenizer_path()))
 
 
+def test_language(spark, sample, sample_dir):
+    got = by_id(q.op3_language_id(spark, sample_dir), "held_out", "lang_pred", "score")
+    for i, text, *_ in sample:
+        assert got[i][0] == (brute.crc(i) % 4 == 2)
+        assert (got[i][1] == "und") == (not any(c.isalpha() for c in text or "")) and 0 <= got[i][2] <= 1
+    judged = [(lang, got[i][1]) for i, t, lang, _ in sample[:200] if got[i][0] and lang and len(t.split()) > 20]
+    assert judged and sum(a == b for a, b in judged) >= 0.95 * len(judged)
+
+
+def test_marginals():
+    """Chunked forward-backward against sums over all labellings, and a long sequence against a plain loop."""
+    import itertools
+
+    import numpy as np
+
+    from kinweave.llm.language import marginals
+
+    rng = np.random.default_rng(1)
+    move = rng.normal(size=(3, 3))
+    emissions = rng.random((5, 3)).astype(np.float32)
+    want = np.zeros((5, 3))
+    for path in itertools.product(range(3), repeat=5):
+        start = np.exp(move)[:, path[0]].sum()
+        want[range(5), path] += start * np.prod([emissions[t, y] for t, y in enumerate(path)]) * np.prod([np.exp(move[a, b]) for a, b in zip(path, path[1:])])
+    assert marginals(emissions, np.array([0, 0, 5, 5]), move) == pytest.approx(want / want.sum(1, keepdims=True), rel=1e-4)
+    emissions = rng.random((333, 3)).astype(np.float32)
+    forward, backward = np.empty((333, 3)), np.ones((333, 3))
+    a = np.full(3, 1 / 3)
+    for t in range(333):
+        a = (a @ np.exp(move)) * emissions[t]
+        forward[t] = a = a / a.sum()
+    for t in range(331, -1, -1):
+        backward[t] = np.exp(move) @ (emissions[t + 1] * backward[t + 1])
+        backward[t] /= backward[t].sum()
+    want = forward * backward
+    assert marginals(emissions, np.array([0, 333]), move) == pytest.approx(want / want.sum(1, keepdims=True), rel=1e-3)
+
+
 def test_quality(spark, sample, sample_dir):
     names = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
     got = q.op4_quality_rules(spark, sample_dir)
