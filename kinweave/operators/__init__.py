@@ -1,0 +1 @@
+"""Operators on feature tables, links, graphs and assignments."""

@@ -1,0 +1,52 @@
+"""Graph files to and from edge tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_EDGE = "src long, dst long, weight double"
+
+
+def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", comment: str = "#", weighted: bool = True) -> DataFrame:
+    """src, dst and weight (1 where there is none) from delimited lines; lines that begin with ``comment`` are skipped."""
+    schema = _EDGE if weighted else "src long, dst long"
+    rows = spark.read.csv(path, sep=sep, comment=comment, schema=schema)
+    return rows.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight") if weighted else F.lit(1.0).alias("weight"))
+
+
+def read_matrix(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
+    """id (from 1, in order of ``id`` in the first column) and features from delimited numeric lines whose first column is the id."""
+    rows = spark.read.csv(path, sep=sep, header=header, inferSchema=True)
+    first, *rest = rows.columns
+    return rows.select(F.col(f"`{first}`").cast("long").alias("id"), F.array(*(F.col(f"`{c}`").cast("double") for c in rest)).alias("features"))
+
+
+def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
+    """Arcs of a shortest-path challenge file: lines "a src dst weight"."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.col("value").startswith("a "))
+    return rows.select(parts[1].cast("long").alias("src"), parts[2].cast("long").alias("dst"), parts[3].cast("double").alias("weight"))
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a coordinate matrix as edges (pattern entries weigh 1); the line of sizes after the comments is left out."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    parts = F.split(F.trim("value"), r"\s+")
+    sizes = lines.first()
+    rows = lines.where(F.col("value") != F.lit(sizes["value"] if sizes else ""))
+    return rows.select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
+
+
+def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:
+    """Delimited lines of src, dst and weight."""
+    edges.select("src", "dst", "weight").write.csv(path, sep=sep)
+
+
+def write_assignment(assign: DataFrame, path: str) -> None:
+    """v and community as Parquet."""
+    assign.select("v", "community").write.parquet(path)
+
+
+def edge_lines(edges: DataFrame, sep: str = "\t") -> DataFrame:
+    """One text line for each edge."""
+    return edges.select(F.concat_ws(sep, "src", "dst", F.round("weight", 9)).alias("line"))

@@ -1,0 +1 @@
+"""Streams: the engine's operators are batch operators; this package is empty on purpose."""
