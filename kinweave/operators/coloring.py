@@ -1,22 +1,51 @@
 """Vertex colourings; ``edges`` are symmetric and colours start at 0.
 
 Priorities are hashes of ids, so a colouring depends on neither the partitions nor the number of tasks.
+Up to ``LOCAL_EDGES`` edges, which are counted first, one task colours the graph on arrays; beyond, rounds
+of joins do. A distance-1 colouring is the same either way.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.operators import kernels
 from kinweave.plans.scratch import materialize
 
+LOCAL_EDGES = 2_000_000
+
+
+def _local(vertices: DataFrame, pairs: DataFrame, seed: int, colors: DataFrame | None, balanced: bool, least_used: bool) -> DataFrame:
+    """The colouring of a small graph in one task."""
+    given = colors is not None
+
+    def solve(nodes, edges):
+        ids = np.asarray(nodes.column("v"))
+        order = np.argsort(ids)
+        names = ids[order]
+        src, dst = (np.searchsorted(names, np.asarray(edges.column(c))) for c in ("src", "dst"))
+        graph = kernels.Graph(src, dst, np.ones(len(src)), len(names))
+        held = np.asarray(nodes.column("rank"))[order]
+        found = held.astype(np.int64) if given else kernels.color_greedy(graph, held)
+        found = kernels.balance(graph, found, least_used) if balanced else found
+        return pa.table({"v": names, "color": pa.array(found.astype(np.int32))})
+
+    one = F.lit(1).alias("one")
+    ranked = colors.select(one, "v", F.col("color").cast("long").alias("rank")) if given else vertices.select(one, F.col("v").cast("long"), F.xxhash64("v", F.lit(seed)).alias("rank"))
+    return ranked.groupBy("one").cogroup(pairs.select(one, F.col("src").cast("long"), F.col("dst").cast("long")).groupBy("one")).applyInArrow(solve, "v long, color int")
+
 
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", "dst").distinct()
 
 
-def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFrame:
+def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int = 200, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """v, color with no two neighbours alike: in rounds, vertices whose hash beats all their uncoloured neighbours' take the least free colour."""
     pairs = materialize(_pairs(edges), "pairs")
+    if pairs.count() <= local_edges:
+        return _local(vertices, pairs, seed, None, False, False)
     state = materialize(vertices.select("v", F.xxhash64("v", F.lit(seed)).alias("rank"), F.lit(-1).alias("color")), "colors")
     for _ in range(max_rounds):
         if not state.where("color < 0").limit(1).count():
@@ -48,14 +77,17 @@ def color_max_min(vertices: DataFrame, edges: DataFrame, n_colors: int = 16, n_h
     return state.select("v", F.when(F.col("color") < 0, last).otherwise(F.col("color")).cast("int").alias("color"))
 
 
-def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | None = None, least_used: bool = False, max_rounds: int = 20, seed: int = 1) -> DataFrame:
+def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | None = None, least_used: bool = False, max_rounds: int = 20, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """A distance-1 colouring whose over-full colours are emptied towards the mean.
 
-    Each round, vertices of colours above the mean that beat all such neighbours by hash ask for an allowed
-    colour below the mean: the first one, or the least used. As many as there is room for move.
+    In rounds of joins, vertices of colours above the mean that beat all such neighbours by hash ask for an allowed
+    colour below the mean: the first one, or the least used. As many as there is room for move. In one task
+    vertices move one by one in order of id.
     """
     pairs = materialize(_pairs(edges), "pairs")
-    state = materialize(colors if colors is not None else color_distance_one(vertices, edges, seed), "colors")
+    if pairs.count() <= local_edges:
+        return _local(vertices, pairs, seed, colors, True, least_used)
+    state = materialize(colors if colors is not None else color_distance_one(vertices, edges, seed, local_edges=local_edges), "colors")
     for k in range(max_rounds):
         counts = {r["color"]: r["n"] for r in state.groupBy("color").agg(F.count("*").alias("n")).collect()}  # a row for each colour
         room = -(-sum(counts.values()) // max(1, len(counts)))

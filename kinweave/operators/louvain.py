@@ -200,13 +200,15 @@ def run_local(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, options: Opt
 def _local(edges: DataFrame, options: Options, initial: DataFrame | None, phase: int) -> DataFrame:
     """The rest of the run in one task; edges were counted before."""
 
+    warm = initial is not None
+
     def solve(left, right):
-        start = dict(zip(right.column("v").to_pylist(), right.column("community").to_pylist())) if initial is not None else None
+        start = dict(zip(right.column("v").to_pylist(), right.column("community").to_pylist())) if warm else None
         ids, label, quality = run_local(*(np.asarray(left.column(c)) for c in ("src", "dst", "weight")), options, start, phase)
         return pa.table({"v": pa.array(ids, pa.int64()), "community": pa.array(label, pa.int64()), "modularity": pa.array(np.full(len(ids), quality))})
 
     one = F.lit(1).alias("one")
-    given = initial.select(one, "v", "community") if initial is not None else edges.sparkSession.createDataFrame([], "one int, v long, community long")
+    given = initial.select(one, "v", "community") if warm else edges.sparkSession.createDataFrame([], "one int, v long, community long")
     rows = edges.select(one, F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
     return rows.groupBy("one").cogroup(given.groupBy("one")).applyInArrow(solve, "v long, community long, modularity double")
 
