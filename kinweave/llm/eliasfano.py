@@ -75,7 +75,7 @@ class EliasFano:
         return ((places - i).astype(U64) << U64(self.low_bits)) | self._lows(i)
 
     def find(self, values: np.ndarray, first=0, last=None) -> np.ndarray:
-        """The index of each value within its range [first, last), or -1: the high part gives a short run, whose low bits are searched."""
+        """The index of each value within its range [first, last), or -1: the high part gives a run, whose low bits are searched by halves."""
         values = np.asarray(values, U64)
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
@@ -91,11 +91,14 @@ class EliasFano:
         at = np.maximum(self._starts[high], first)
         stop = np.minimum(self._starts[high + 1], self.n if last is None else last)
         todo = np.flatnonzero(inside & (at < stop))
+        end = stop.copy()
         while len(todo):
-            held = self._lows(at[todo])
-            hit = held == low[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[held < low[todo]]
-            at[todo] += 1
+            middle = (at[todo] + stop[todo]) >> 1
+            less = self._lows(middle) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            stop[todo[~less]] = middle[~less]
             todo = todo[at[todo] < stop[todo]]
+        known = np.flatnonzero(inside & (at < end))
+        known = known[self._lows(at[known]) == low[known]]
+        out[known] = at[known]
         return out
