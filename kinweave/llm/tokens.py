@@ -13,6 +13,7 @@ end id alone. Other columns aren't read. An empty table gives no segments.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -33,60 +34,68 @@ NO_ID = -(1 << 63)
 #: Characters whose normal form, case and class are the same for Python and any tokenizer: ASCII and Latin-1 letters.
 _LETTERS = "a-zªµºß-öø-ÿ"
 _UNUSUAL = re.compile(r"[^\t-\r -~ªµºÀ-ÖØ-öø-ÿ]|<\|")
-#: The pieces of lower-case text that the tokenizer's pattern gives on those characters (fixed values).
+#: The pieces of lower-case text that the pattern below gives on those characters (fixed values).
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-#: White space of which str.split() and the tokenizer may think differently.
-_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space and encodes each piece by itself.
+def _cuts_pieces(config: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and encodes each piece of ``_PATTERN`` by itself."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
 
-    Texts of usual characters are split into the tokenizer's own pieces, others into words, those with odd
-    white space not at all. Each distinct part is encoded by the tokenizer and its ids, as bytes, are
-    cached; of two generations of the cache the older goes when the younger is full.
+
+class TextEncoder:
+    """Ids of whole texts by a tokenizer of the tokenizers library.
+
+    If the tokenizer cuts texts into pieces by the known pattern, texts of usual characters are cut here and
+    each distinct piece is encoded, without the cutting steps, once while it is cached. Of two generations of
+    the cache the older goes when the younger is full. Other texts are encoded as they are.
     """
 
-    def __init__(self, tokenizer_json: str, cache_size: int = 250_000):
+    def __init__(self, tokenizer_json: str, cache_size: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        config = json.loads(tokenizer_json)
+        self.pieces = None
+        if _cuts_pieces(config):
+            bytes_only = config["pre_tokenizer"]["pretokenizers"][1]
+            self.pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": bytes_only}))
         self.cache_size, self.young, self.old = cache_size, {}, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, text: str) -> list[str]:
-        if not _UNUSUAL.search(text):
-            return _PIECES.findall(text.lower())
-        return [text] if _ODD_BLANK.search(text) else text.split()
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [array(self._code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        parts = [self._parts(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.young)
-        held = {x: self.old[x] for x in new if x in self.old}
-        new = [x for x in new if x not in held]
-        if len(self.young) + len(held) + len(new) > self.cache_size:
+        cut = [None if self.pieces is None or _UNUSUAL.search(t or "") else _PIECES.findall((t or "").lower()) for t in texts]
+        used = set().union(*(c for c in cut if c))
+        if len(self.young) > self.cache_size:
             self.old, self.young = self.young, {}
-            held |= {x: self.old[x] for x in set().union(*parts) if x in self.old}
-        self.young.update(held)
-        for at in range(0, len(new), 4096):
-            self.young.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096])))
+        new = []
+        for x in used.difference(self.young):
+            if (held := self.old.get(x)) is not None:
+                self.young[x] = held
+            else:
+                new.append(x)
+        for at in range(0, len(new), 2048):
+            self.young.update(zip(new[at : at + 2048], self._ids(self.pieces, new[at : at + 2048])))
         get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [self._ids(self.tokenizer, [t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def _encoder(tokenizer_json: str) -> WordEncoder:
+def _encoder(tokenizer_json: str) -> TextEncoder:
     """One encoder for each Python worker, kept between tasks."""
     if tokenizer_json not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tokenizer_json] = WordEncoder(tokenizer_json)
+        _ENCODERS[tokenizer_json] = TextEncoder(tokenizer_json)
     return _ENCODERS[tokenizer_json]
 
 
