@@ -57,7 +57,7 @@ class EliasFano:
     def select(self, i: int) -> int:
         """Value i: from the nearest select sample to the byte of the high bits that has the i-th one."""
         if self._samples is None:
-            self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high))])
+            self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
             self._samples = np.searchsorted(self._before[1:], np.arange(0, self.n, _SAMPLE), "right")
         byte = int(self._samples[i // _SAMPLE])
         while self._before[byte + 1] <= i:
