@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate component."""
-    return simhash.keep_first(docs)
+    """The document of least id of each component of near duplicates by five-word shingles at a similarity of 0.8."""
+    return simhash.keep_first(docs, **simhash.STAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,15 +103,26 @@ def decontaminate(docs, items, n=10):
     return out
 
 
-def fingerprint(text):
+def again(x):
+    """The second hash of a shingle: a bijective mix of its hash and 1 (fixed values)."""
+    m = (1 << 64) - 1
+    x = x + 1 & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def fingerprint(text, size=4, more=False):
     w = WORD.findall(lower(text))
-    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    shingles = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    hashes = [again(h) for h in hashes] if more else hashes
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def simhash(docs, most=4):
-    prints = {i: fingerprint(t) for i, t in docs}
+def simhash(docs, most=4, size=4, bound=None):
+    prints = {i: fingerprint(t, size) for i, t in docs}
+    second = {i: fingerprint(t, size, True) for i, t in docs} if bound is not None else None
     parent = {i: i for i in prints}
 
     def root(i):
@@ -121,7 +132,7 @@ def simhash(docs, most=4):
 
     for i in prints:
         for j in prints:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= most:
+            if i < j and (d := (prints[i] ^ prints[j]).bit_count()) <= most and (bound is None or d + (second[i] ^ second[j]).bit_count() <= bound):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (f"{prints[i]:016x}", root(i)) for i in prints}

@@ -35,7 +35,7 @@ def test_stages(spark, sample_dir):
             rules = quality.default_rules()
             assert set(ids) == {r["doc_id"] for r in before if not any(x.rejects(quality.Page((r["text"] or "").encode())) for x in rules)}
         elif name == "near_dedup":
-            want = brute.simhash([(r["doc_id"], r["text"]) for r in before])
+            want = brute.simhash([(r["doc_id"], r["text"]) for r in before], 12, 5, 21)
             assert ids == Counter({c for _, c in want.values()})
         elif name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{sample_dir}/benchmark.parquet").select("item_id", "text").collect()]

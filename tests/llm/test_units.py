@@ -114,7 +114,7 @@ def test_plan_finds_every_pair(x, flips, n):
     """Any two prints within tau share a bucket in some partition, one of them as a probe if their values differ."""
     rng = np.random.default_rng(0)
     plan = simhash.make_plan(rng.integers(0, 1 << 63, 200, dtype=np.uint64), n, 4)
-    assert sum(t + 1 for t in plan.thresholds) == 5
+    assert sum(t + 1 for t in plan.thresholds) == 5 and sum(t + 1 for t in simhash.make_plan(np.arange(9, dtype=np.uint64), n, 12).thresholds) == 13
     y = x
     for b in flips:
         y ^= 1 << b
@@ -125,6 +125,15 @@ def test_plan_finds_every_pair(x, flips, n):
     assert meet
 
 
+@pytest.mark.parametrize("bucket_rows", [5, 4096])
+def test_simhash_at_similarity(spark, bucket_rows):
+    docs = copies(120)
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **simhash.STAGE, bucket_rows=bucket_rows).collect()
+    want = brute.simhash(docs, 12, 5, 21)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
+    assert len({c for _, c in want.values()}) < 80
+
+
 def test_allocation_is_best():
     rng = np.random.default_rng(4)
     costs = [[0.0, *rng.random(3).cumsum()] for _ in range(4)]
