@@ -90,7 +90,7 @@ def default_rules() -> list[Rule]:
         Rule("repeated_windows", lambda p: 100 * p.measure("n_repeat_words") > 50 * p.n_words),
         Rule("word_length", lambda p: not 2 * p.n_words <= words(p) <= 20 * p.n_words),
         Rule("symbols", lambda p: 10 * symbols(p) > p.n_words),
-        Rule("duplicate_lines", lambda p: 10 * dups(p) > 3 * lines(p)),
+        Rule("duplicate_lines", lambda p: 2 * dups(p) > lines(p)),
         Rule("few_letters", lambda p: 10 * letters(p) < 7 * p.n_words),
         Rule("ellipsis_lines", lambda p: 10 * p.measure("n_ellipsis_lines") > 3 * lines(p)),
     ]
