@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, language, mixing, ngrams, pii, quality, simhash, substrings, tokens
+from kinweave.llm import decontaminate, language, mixing, ngrams, oracles, pii, quality, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
