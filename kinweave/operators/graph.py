@@ -6,9 +6,10 @@ have v and community, -1 for none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave.operators.components import connected_components
+from kinweave.plans.ranking import global_rank
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -91,12 +92,9 @@ def coarsen(edges: DataFrame, assign: DataFrame) -> DataFrame:
 
 
 def renumber(assign: DataFrame) -> DataFrame:
-    """v and dense community numbers from 0 in order of their first vertex; negative ones stay.
-
-    Communities are ranked by one ordered pass over a row each, vertices are joined to it.
-    """
-    firsts = assign.where("community >= 0").groupBy("community").agg(F.min("v").alias("first"))
-    ranked = firsts.select(F.col("community").alias("r_community"), (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
+    """v and dense community numbers from 0 in order of their first vertex; negative ones stay."""
+    firsts = assign.where("community >= 0").groupBy(F.col("community").alias("r_community")).agg(F.min("v").alias("first"))
+    ranked = global_rank(firsts, [F.col("first")], "number")
     return assign.join(ranked, F.col("community") == F.col("r_community"), "left").select("v", F.coalesce("number", "community").alias("community"))
 
 
@@ -122,12 +120,7 @@ def attr_components(vertices: DataFrame, edges: DataFrame, attrs: DataFrame) ->
 
 def community_order(assign: DataFrame) -> DataFrame:
     """v, community and the vertex's place (from 0) when vertices are grouped by community, -1 last."""
-    sizes = assign.groupBy("community").agg(F.count("*").alias("n"))
-    key: list[Column] = [(F.col("community") < 0).cast("int"), F.col("community")]
-    before = F.coalesce(F.sum("n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("community").alias("o_community"), before.alias("offset"))
-    inner = F.row_number().over(Window.partitionBy("community").orderBy("v")) - 1
-    return assign.join(offsets, F.col("community") == F.col("o_community")).select("v", "community", (F.col("offset") + inner).alias("place"))
+    return global_rank(assign.select("v", "community"), [F.col("community") < 0, F.col("community"), F.col("v")], "place")
 
 
 def sparsify(edges: DataFrame, similarity: DataFrame, alpha: float = 0.5) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinweave.functions import pairs_of, shared_neighbours
 from kinweave.operators.graph import relabelled, weighted_degree
+from kinweave.plans.ranking import global_rank
 
 
 def community_sums(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def mirkin(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def gini(assign: DataFrame) -> DataFrame:
     """One row: the Gini coefficient of community sizes."""
     sizes = assign.groupBy("community").agg(F.count("*").alias("x"))
-    ranked = sizes.withColumn("i", F.row_number().over(Window.orderBy("x", "community")))
-    sums = ranked.agg(F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("total"), F.count("*").alias("n"))
+    ranked = global_rank(sizes, [F.col("x"), F.col("community")], "i")
+    sums = ranked.agg(F.sum((F.col("i") + 1) * F.col("x")).alias("ix"), F.sum("x").alias("total"), F.count("*").alias("n"))
     return sums.select((F.try_divide(2 * F.col("ix"), F.col("n") * F.col("total")) - F.try_divide(F.col("n") + 1, F.col("n"))).alias("gini"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinweave.operators.components import connected_components
+from kinweave.plans.ranking import global_rank
 from kinweave.plans.scratch import materialize
 
 
@@ -28,9 +29,5 @@ def reverse_cuthill_mckee(vertices: DataFrame, edges: DataFrame, max_levels: int
         if not new.limit(1).count():
             break
         seen = materialize(seen.union(new), "levels")
-    sizes = held.groupBy(F.col("component").alias("s_component")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("s_component").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("s_component", before.alias("offset"))
-    inner = F.row_number().over(Window.partitionBy("component").orderBy(F.col("level").desc(), F.col("degree").desc(), F.col("v").desc())) - 1
-    ranked = held.join(seen.withColumnRenamed("v", "l_v"), F.col("v") == F.col("l_v")).withColumn("inner", inner)
-    return ranked.join(offsets, F.col("component") == F.col("s_component")).select("v", "component", "level", (F.col("offset") + F.col("inner")).alias("place"))
+    both = held.join(seen.withColumnRenamed("v", "l_v"), F.col("v") == F.col("l_v")).select("v", "component", "level", "degree")
+    return global_rank(both, [F.col(c).desc() for c in ("component", "level", "degree", "v")], "place").drop("degree")
