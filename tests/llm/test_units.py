@@ -274,3 +274,18 @@ def test_null_and_repeated_ids(spark, tmp_path, name):
         assert removed == [0, 0, 0] and [r["n_removed"] for r in got if r["doc_id"] == 7] == [9 * 60]
     if name.startswith("op8"):
         assert {r["component_id"] for r in got if r["doc_id"] in (5, 7)} == {5}
+
+
+def test_very_long_text(spark, tmp_path):
+    """A text of millions of characters, one without a blank, and a short one go through every query."""
+    rng = np.random.default_rng(9)
+    long = " ".join(rng.choice([f"wort{i}" for i in range(5000)], 250_000))
+    docs = [(1, long, "de", "a"), (2, "x" * 400_000, "en", "a"), (3, "kurz und gut", "de", "b"), (4, long[:300_000], "de", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(long.split()[1000:1040]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {name: {r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for name, f in q.queries().items()}
+    assert all(sorted(rows) == [1, 2, 3, 4] for rows in got.values())
+    assert got["op4_quality_rules"][1]["n_words"] == got["op7_decontaminate"][1]["n_words"] == got["op9_mixing"][1]["size"] == 250_000
+    assert got["op5_substring_dedup"][4]["n_removed"] == 300_000 and got["op5_substring_dedup"][1]["n_removed"] == 0
+    assert got["op7_decontaminate"][1]["n_hit"] == got["op7_decontaminate"][4]["n_hit"] == 40
+    assert got["op10_lm_score"][1]["n_tokens"] == 250_001
