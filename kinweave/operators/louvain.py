@@ -33,7 +33,8 @@ class Options:
     """``coloring``: 0 none, 1 distance-1, 2 balanced, 3 max-min with ``num_colors``. ``sync``: 0 none, 1 serial, 2 neighbourhoods in turns, 3 early termination, 4 serial with early termination.
 
     ``c_threshold`` ends coloured phases, ``threshold`` the others. ``percent`` below 100 lets only a
-    hashed share of vertices move in each sweep. ``directed`` uses outgoing arcs alone.
+    hashed share of vertices move; the share is drawn again in the second sweep and then stays, or with
+    ``redraw`` is drawn in every sweep. ``directed`` uses outgoing arcs alone.
     """
 
     coloring: int = 1
@@ -43,6 +44,7 @@ class Options:
     c_threshold: float = 1e-6
     threshold: float = 1e-9
     percent: int = 100
+    redraw: bool = False
     directed: bool = False
     follow: bool = True
     max_phases: int = 200
@@ -109,7 +111,7 @@ def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: floa
                 moved = best_move(edges, state).select(F.col("v").alias("n_v"), F.col("community").alias("n_c"))
                 state = materialize(held.join(moved, F.col("v") == F.col("n_v")).select("v", F.when(F.col("color") == color, F.col("n_c")).otherwise(F.col("community")).alias("community")), "assign")
             continue
-        movable = _share(F.col("v"), round, options.percent) if options.percent < 100 else None
+        movable = _share(F.col("v"), round if options.redraw else min(round, 1), options.percent) if options.percent < 100 else None
         moved = best_move(edges, state, movable, factor)
         if options.sync == 3:
             if still is None:
@@ -136,7 +138,7 @@ def _local_phase(graph: kernels.Graph, start: np.ndarray, options: Options, thre
         order = np.argsort(colors, kind="stable")
         turns = np.split(order, np.searchsorted(colors[order], np.arange(1, colors.max(initial=0) + 1)))
         return kernels.in_turns(graph, start, threshold, rounds, turns)[:2]
-    eligible = (lambda k: _share(names, k, options.percent)) if options.percent < 100 else None
+    eligible = (lambda k: _share(names, k if options.redraw else min(k, 1), options.percent)) if options.percent < 100 else None
     return kernels.jacobi(graph, start, threshold, rounds, eligible, early=options.sync == 3)[:2]
 
 

@@ -129,6 +129,7 @@ def queries() -> dict[str, Query]:
         **{f"louvain_sync{k}": _louvain(coloring=0, sync=k) for k in (1, 2, 3, 4)},
         "louvain_warm": lambda s, d: _rounded(louvain.louvain(v(s, d), e(s, d), louvain.Options(coloring=0), a(s, d)), "modularity"),
         "louvain_approx": _louvain(coloring=0, percent=50),
+        "louvain_approx_redrawn": _louvain(coloring=0, percent=50, redraw=True),
         "louvain_directed": lambda s, d: _rounded(louvain.louvain(v(s, d), _arcs(s, d), louvain.Options(coloring=0, directed=True)), "modularity"),
         "vertex_following": vf_assign,
         "vf_contract": lambda s, d: graph.contract(pair_edges(s, d), materialize(vf_assign(s, d), "follow")),
