@@ -35,7 +35,7 @@ from kinweave.plans.scratch import input_bytes, shuffle_partitions
 
 SIZE = 50
 #: Bytes of input for each bucket, as files store it.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 _LAST = np.iinfo(np.int64).max
 _SHARD_BITS = np.uint64(32)
 
@@ -193,7 +193,7 @@ def _id_bounds(docs: DataFrame, n_buckets: int) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``spans``, the removed (start, end) in bytes.
 
-    ``bucket_bytes`` bounds what a task holds; a task needs about ten times as much memory.
+    ``bucket_bytes`` bounds what a task holds; a task needs about thirty times as much memory.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
