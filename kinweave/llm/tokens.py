@@ -35,7 +35,7 @@ NO_ID = -(1 << 63)
 _LETTERS = "a-zªµºß-öø-ÿ"
 _UNUSUAL = re.compile(r"[^\t-\r -~ªµºÀ-ÖØ-öø-ÿ]|<\|")
 #: The pieces of lower-case text that the pattern below gives on those characters (fixed values).
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_PIECES = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{_LETTERS}0-9]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -46,46 +46,55 @@ def _cuts_pieces(config: dict) -> bool:
     return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
 
 
+class _Cache(dict):
+    """Ids of pieces, as bytes; a missing one is encoded. Of two generations the older goes when the younger is full."""
+
+    def __init__(self, encode, size: int):
+        self.encode, self.size, self.old = encode, size, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        held = self.old.get(piece)
+        self[piece] = held = self.encode(piece) if held is None else held
+        return held
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class TextEncoder:
     """Ids of whole texts by a tokenizer of the tokenizers library.
 
     If the tokenizer cuts texts into pieces by the known pattern, texts of usual characters are cut here and
-    each distinct piece is encoded, without the cutting steps, once while it is cached. Of two generations of
-    the cache the older goes when the younger is full. Other texts are encoded as they are.
+    each distinct piece is encoded, without the cutting steps, once while it is cached. Other texts are
+    encoded as they are.
     """
 
-    def __init__(self, tokenizer_json: str, cache_size: int = 120_000):
+    def __init__(self, tokenizer_json: str, cache_size: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         config = json.loads(tokenizer_json)
-        self.pieces = None
+        self.cache = None
         if _cuts_pieces(config):
             bytes_only = config["pre_tokenizer"]["pretokenizers"][1]
-            self.pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": bytes_only}))
-        self.cache_size, self.young, self.old = cache_size, {}, {}
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self._code = "H" if self.dtype.itemsize == 2 else "I"
+            pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": bytes_only}))
+            self.cache = _Cache(lambda piece: self._ids(pieces, piece), cache_size)
+
+    def _ids(self, tokenizer, text: str) -> bytes:
+        return array(self._code, tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [array(self._code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, little-endian."""
-        cut = [None if self.pieces is None or _UNUSUAL.search(t or "") else _PIECES.findall((t or "").lower()) for t in texts]
-        used = set().union(*(c for c in cut if c))
-        if len(self.young) > self.cache_size:
-            self.old, self.young = self.young, {}
-        new = []
-        for x in used.difference(self.young):
-            if (held := self.old.get(x)) is not None:
-                self.young[x] = held
-            else:
-                new.append(x)
-        for at in range(0, len(new), 2048):
-            self.young.update(zip(new[at : at + 2048], self._ids(self.pieces, new[at : at + 2048])))
-        get = self.young.__getitem__
-        return [self._ids(self.tokenizer, [t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text, little-endian."""
+        if not text:
+            return b""
+        if self.cache is None or _UNUSUAL.search(text):
+            return self._ids(self.tokenizer, text)
+        self.cache.age()
+        return b"".join(map(self.cache.__getitem__, _PIECES.findall(text.lower())))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -130,15 +139,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
         width, part, inner, total, keys, ids = encoder.dtype.itemsize, 0, 0, 0, [], []
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for key, found in zip(piece.column(0).to_pylist(), encoder.encode_all(piece.column(1).to_pylist())):
-                    keys.append(key)
-                    ids.append(found + end)
-                    total += len(ids[-1]) // width
-                    if total >= segment_ids:
-                        yield _pack(shard, part, inner, keys, ids, width)
-                        part, inner, total, keys, ids = part + 1, inner + total, 0, [], []
+            for key, text in zip(batch.column(0), batch.column(1)):
+                keys.append(key.as_py())
+                ids.append(encoder.encode(text.as_py()) + end)
+                total += len(ids[-1]) // width
+                if total >= segment_ids:
+                    yield _pack(shard, part, inner, keys, ids, width)
+                    part, inner, total, keys, ids = part + 1, inner + total, 0, [], []
         if keys:
             yield _pack(shard, part, inner, keys, ids, width)
 
