@@ -48,7 +48,7 @@ def test_two_cliques(spark, options):
     assert all(r["modularity"] == pytest.approx(q) for r in found.where("community > 0").collect())
 
 
-@pytest.mark.parametrize("options", [dict(coloring=0), dict(coloring=0, sync=3), dict(coloring=1), dict(coloring=0, percent=60)])
+@pytest.mark.parametrize("options", [dict(coloring=0), dict(coloring=0, sync=3), dict(coloring=1), dict(coloring=0, percent=60, redraw=True)])
 def test_distributed_matches_quality(spark, options):
     """The DataFrame loops and the arrays find the ring's cliques, also with the coarse graphs in one task."""
     edges = graph.build_graph(frame(spark, cliques(6, 4)))
