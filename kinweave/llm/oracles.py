@@ -19,6 +19,13 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * n_lettered >= 7 * n_words AND 10 * n_ellipsis <= 3 * n_lines AS kept FROM f"""
 
+SENTENCES = r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS row, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS s FROM documents),
+g AS (SELECT row, i, row_number() OVER (PARTITION BY s[i:i + 2] ORDER BY row, i) AS k FROM d, unnest(range(1, len(s) - 1)) AS t(i)),
+gone AS (SELECT DISTINCT row, i + j AS i FROM g, unnest([0, 1, 2]) AS t(j) WHERE k > 1),
+r AS (SELECT row, list(i) AS gone FROM gone GROUP BY row)
+SELECT doc_id, len(s) AS n_sentences, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)), '')) AS kept_sha256 FROM d LEFT JOIN r USING (row)"""
+
 SUBSTRINGS = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT row, doc_id, p, substr(h, 2 * p + 1, 100) AS gram FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(p)),
@@ -58,4 +65,4 @@ run AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(ta
 mix AS (SELECT *, (epochs + CASE WHEN target - epochs * source_size > 0 AND ahead + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies FROM run)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM mix"""
 
-SQL = {"op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS, "op7_decontaminate": DECONTAMINATE, "op9_mixing": MIXING}
+SQL = {"op1_sentence_dedup": SENTENCES, "op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS, "op7_decontaminate": DECONTAMINATE, "op9_mixing": MIXING}

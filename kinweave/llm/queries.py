@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, language, mixing, ngrams, oracles, pii, quality, simhash, substrings, tokens
+from kinweave.llm import decontaminate, language, mixing, ngrams, oracles, pii, quality, sentences, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup_sentences(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +68,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
+    return {f.__name__: f for f in (op1_sentence_dedup, op2_token_binary, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -168,16 +168,16 @@ class Bucket:
         return np.cumsum(change[:-1]) > 0
 
 
-def _flags(answers: pa.Table, round: int) -> np.ndarray:
+def flags_of(answers: pa.Table, round: int) -> np.ndarray:
     """Answers of one round in the order of shards."""
     rows = sorted((r["shard"], r["blob"]) for r in answers.filter(pa.compute.equal(answers.column("round"), round)).to_pylist())
     return np.frombuffer(b"".join(b for _, b in rows), np.uint8)
 
 
-_REQUEST = "shard int, bucket int, round int, blob binary"
+REQUEST = "shard int, bucket int, round int, blob binary"
 
 
-def _request_table(rows, round: int) -> pa.Table:
+def request_table(rows, round: int) -> pa.Table:
     held = [(s, b, round, raw) for s, b, raw in rows]
     names, kinds = ["shard", "bucket", "round", "blob"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(list(zip(*held)) or [()] * 4, kinds)], names)
@@ -190,6 +190,19 @@ def _id_bounds(docs: DataFrame, n_buckets: int) -> np.ndarray:
     return np.unique(np.array(found or [], np.int64))
 
 
+def deal(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """``rows`` of doc_id and text with the bucket of their id: a lower bucket has smaller ids."""
+    held = rows.sparkSession.sparkContext.broadcast(_id_bounds(rows, n_buckets))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(_LAST).to_numpy()
+            bucket = np.searchsorted(held.value, ids, "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "doc_id", "text"])
+
+    return rows.mapInArrow(place, "bucket int, doc_id long, text string")
+
+
 def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``spans``, the removed (start, end) in bytes.
 
@@ -199,35 +212,27 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_buckets = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // bucket_bytes))
     n_shards = n_buckets
-    held = spark.sparkContext.broadcast(_id_bounds(rows, n_buckets))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(_LAST).to_numpy()
-            bucket = np.searchsorted(held.value, ids, "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "doc_id", "text"])
-
-    dealt = rows.mapInArrow(place, "bucket int, doc_id long, text string")
+    dealt = deal(rows, n_buckets)
 
     def ask_cells(key, table):
         bucket = Bucket(table, size, n_shards)
-        return _request_table(bucket.cells.rows(key[0].as_py()), 1)
+        return request_table(bucket.cells.rows(key[0].as_py()), 1)
 
     def ask_groups(key, table, answers):
         if not table.num_rows:
-            return _request_table([], 2)
+            return request_table([], 2)
         bucket = Bucket(table, size, n_shards)
-        return _request_table(bucket.suffix_groups(_flags(answers, 1))[2].rows(key[0].as_py()), 2)
+        return request_table(bucket.suffix_groups(flags_of(answers, 1))[2].rows(key[0].as_py()), 2)
 
     def reply(key, table):
         out = answer([(r["bucket"], r["blob"]) for r in table.select(["bucket", "blob"]).to_pylist()])
-        return _request_table([(key[0].as_py(), b, raw) for b, raw in out], table.column("round")[0].as_py())
+        return request_table([(key[0].as_py(), b, raw) for b, raw in out], table.column("round")[0].as_py())
 
     def finish(key, table, answers):
         bucket = Bucket(table, size, n_shards) if table.num_rows else None
         out = []
         if bucket is not None:
-            gone = bucket.removed(_flags(answers, 1), _flags(answers, 2))
+            gone = bucket.removed(flags_of(answers, 1), flags_of(answers, 2))
             for d, (a, b) in enumerate(zip(bucket.offsets[:-1].tolist(), bucket.offsets[1:].tolist())):
                 mask = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
@@ -238,8 +243,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     by_bucket = dealt.groupBy("bucket")
-    first = by_bucket.applyInArrow(ask_cells, _REQUEST).groupBy("shard").applyInArrow(reply, _REQUEST)
-    second = by_bucket.cogroup(first.groupBy("bucket")).applyInArrow(ask_groups, _REQUEST).groupBy("shard").applyInArrow(reply, _REQUEST)
+    first = by_bucket.applyInArrow(ask_cells, REQUEST).groupBy("shard").applyInArrow(reply, REQUEST)
+    second = by_bucket.cogroup(first.groupBy("bucket")).applyInArrow(ask_groups, REQUEST).groupBy("shard").applyInArrow(reply, REQUEST)
     answers = first.union(second)
     return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 

@@ -166,3 +166,16 @@ def base_scores(docs):
         w = [*WORD.findall(lower(t)), None]
         out[i] = (crc(i) % 5 == 1, len(w), sum(train[x] > 0 for x in w), n, sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
     return out
+
+
+def sentences(docs, span=3):
+    """Spans of sentences; of equal ones all but the first, by id and place, lose their sentences."""
+    split = {i: [x for x in (m.strip(" \t\n\r\x0b\x0c") for m in re.findall(r"[^.!?\n]+[.!?]*", t or "")) if x] for i, t in docs}
+    seen, gone = set(), defaultdict(set)
+    for i in sorted(split):
+        for k in range(len(split[i]) - span + 1):
+            run = tuple(split[i][k : k + span])
+            if run in seen:
+                gone[i] |= set(range(k, k + span))
+            seen.add(run)
+    return {i: (len(s), len(gone[i]), hashlib.sha256("\n".join(x for k, x in enumerate(s) if k not in gone[i]).encode()).hexdigest()) for i, s in split.items()}

@@ -16,6 +16,12 @@ def by_id(df, *names):
     return out
 
 
+def test_sentences(spark, sample, sample_dir):
+    want = brute.sentences([r[:2] for r in sample])
+    assert any(w[1] for w in want.values())
+    assert by_id(q.op1_sentence_dedup(spark, sample_dir), "n_sentences", "n_removed", "kept_sha256") == want
+
+
 def test_tokens(spark, sample, sample_dir):
     from tokenizers import Tokenizer
 
