@@ -43,9 +43,9 @@ SAMPLE_PRINTS = 2000
 STAGE = {"shingle": 5, "tau": 12, "bound": 21}
 #: Stands for a null id where one is joined on.
 NO_ID = -(1 << 63)
-BUCKET_ROWS = 4096
-#: Costs of a row sent to a bucket and of a comparison, in microseconds.
-_SEND, _COMPARE = 2.0, 0.005
+BUCKET_ROWS = 16384
+#: Measured costs of a row sent to a bucket (made, shuffled, sorted and read) and of a comparison, in microseconds.
+_SEND, _COMPARE = 5.0, 0.003
 _SMALL = 16
 _LOWER = bytes(tb._LOWER)
 
@@ -152,8 +152,8 @@ def allocate(costs: list[list[float]], tau: int) -> tuple[float, list[int]]:
     return best[tau + 1]
 
 
-def make_plan(prints: np.ndarray, n: int, tau: int, most_threshold: int = 2) -> Plan:
-    """The cheapest plan for n distinct fingerprints of which ``prints`` is a sample."""
+def make_plan(prints: np.ndarray, n: int, tau: int, most_threshold: int = 2, bucket_rows: int = BUCKET_ROWS) -> Plan:
+    """The cheapest plan for n distinct fingerprints of which ``prints`` is a sample; rows of split buckets are sent once for each block."""
     found = []
     for m in range(1, tau + 2):
         if m * (most_threshold + 1) < tau + 1:
@@ -162,7 +162,8 @@ def make_plan(prints: np.ndarray, n: int, tau: int, most_threshold: int = 2) ->
         for part in parts:
             shares = pair_shares(prints, part, most_threshold)
             probes = [1 + sum(math.comb(len(part), d) for d in range(1, t + 1)) / 2 for t in range(most_threshold + 1)]
-            costs.append([0.0] + [_SEND * n * p + _COMPARE * n * n / 2 * s for p, s in zip(probes, shares)])
+            blocks = [math.ceil(n * p / 2 ** len(part) / bucket_rows) for p in probes]
+            costs.append([0.0] + [_SEND * n * p * b + _COMPARE * n * n / 2 * s for p, b, s in zip(probes, blocks, shares)])
         cost, thresholds = allocate(costs, tau)
         found.append((cost, m, Plan(parts, thresholds)))
     return min(found, key=lambda x: x[:2])[2]
@@ -230,7 +231,7 @@ def link_edges(prints: DataFrame, n: int, tau: int = 4, bound: int | None = None
     """Edges (u, v) between nodes of distinct (node, fp, fp2) whose components are those of all links."""
     spark = prints.sparkSession
     picked = prints.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // sample_prints))) == 0).limit(2 * sample_prints).collect()
-    plan = make_plan(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), n, tau)
+    plan = make_plan(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), n, tau, bucket_rows=bucket_rows)
     held = spark.sparkContext.broadcast(plan)
     names = ["node", "fp", "fp2"]
 
