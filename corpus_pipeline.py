@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, mixing, quality, simhash, tokens
+from kinweave.llm import decontaminate, mixing, quality, similarity, tokens
 from kinweave.llm.queries import table, tokenizer_path
 from kinweave.plans.scratch import materialize
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near duplicates by five-word shingles at a similarity of 0.8."""
-    return simhash.keep_first(docs, **simhash.STAGE)
+    """The document of least id of each component of near duplicates: a Jaccard similarity of five-word shingles of 0.8 or more, verified."""
+    return similarity.keep_first(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,7 +297,12 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
 
     In a component whose ids are all null one row stays.
     """
-    classes = near_duplicates(docs, id, text, **options).where("doc_id <=> component_id")
+    return keep_least(docs, near_duplicates(docs, id, text, **options), id, text)
+
+
+def keep_least(docs: DataFrame, classes: DataFrame, id: str, text: str) -> DataFrame:
+    """``keep_first`` from the doc_id and component_id of each document."""
+    classes = classes.where("doc_id <=> component_id")
     key = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
     first = classes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_key")).distinct()
     names = docs.columns
