@@ -41,8 +41,6 @@ SAMPLE_PRINTS = 2000
 #: For five-word shingles and a similarity of 0.8 or more. At 0.8 fingerprints differ in 15 % of their bits:
 #: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1.
 STAGE = {"shingle": 5, "tau": 12, "bound": 21}
-#: Stands for a null id where one is joined on.
-NO_ID = -(1 << 63)
 BUCKET_ROWS = 16384
 #: Measured costs of a row sent to a bucket (made, shuffled, sorted and read) and of a comparison, in microseconds.
 _SEND, _COMPARE = 5.0, 0.003
@@ -290,23 +288,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     names = classes.groupBy(F.col("root").alias("n_root")).agg(F.min("least_id").alias("component_id"))
     named = classes.join(names, F.col("root") == F.col("n_root")).select(F.col("node").alias("c_node"), "component_id")
     return prints.join(named, F.col("node") == F.col("c_node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component of ``near_duplicates`` with these options, with all columns: that of the least id; of rows sharing it, the least text.
-
-    In a component whose ids are all null one row stays.
-    """
-    return keep_least(docs, near_duplicates(docs, id, text, **options), id, text)
-
-
-def keep_least(docs: DataFrame, classes: DataFrame, id: str, text: str) -> DataFrame:
-    """``keep_first`` from the doc_id and component_id of each document."""
-    classes = classes.where("doc_id <=> component_id")
-    key = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))
-    first = classes.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_key")).distinct()
-    names = docs.columns
-    rows = docs.select(key.alias("d_key"), F.struct(*names).alias("row"), F.col(text).alias("d_text"))
-    kept = rows.join(first, F.col("d_key") == F.col("k_key"), "left_semi")
-    one = kept.groupBy("d_key").agg(F.min_by("row", F.struct(F.col("d_text").isNull(), "d_text")).alias("row"))
-    return one.select(*(F.col("row")[name].alias(name) for name in names))

@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from kinweave.llm import textbytes as tb
-from kinweave.llm.simhash import NO_ID, _runs, keep_least, shingle_hashes
+from kinweave.llm.simhash import _runs, shingle_hashes
 from kinweave.operators.components import connected_components
 from kinweave.plans.scratch import materialize
 
+#: Stands for a null id where one is joined on.
+NO_ID = -(1 << 63)
 BANDS, ROWS = 32, 6
 BLOCK_SHINGLES = 1 << 19
 _ODD = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -162,5 +164,20 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", s
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component of ``similar_documents`` with these options, chosen as by ``simhash.keep_first``."""
-    return keep_least(docs, similar_documents(docs, id, text, **options), id, text)
+    """One row of each component of ``similar_documents`` with these options, with all columns: that of the least id; of rows sharing it, the least text.
+
+    In a component whose ids are all null the least text stays. Components are told apart by their root, so neither a
+    null id nor a repeated one joins them.
+    """
+    classes = similar_documents(docs, id, text, **options).where("doc_id <=> component_id")
+    firsts = materialize(classes.select("root", *ROW_KEY).distinct(), "firsts")
+    roots = firsts.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(*ROW_KEY)).alias("key"))
+    several = roots.where("n > 1").select(F.col("root").alias("s_root"))
+    tied = materialize(firsts.join(several, F.col("root") == F.col("s_root"), "left_semi"), "tied")
+    texts = docs.select(*row_key(F.col(id), F.col(text)), F.col(text).alias("text")).join(tied, ROW_KEY)
+    least = texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull().alias("empty"), "text", *ROW_KEY)).alias("key"))
+    chosen = materialize(roots.where("n = 1").select(*(f"key.{c}" for c in ROW_KEY)).union(least.select(*(f"key.{c}" for c in ROW_KEY))), "chosen")
+    names = docs.columns
+    rows = docs.select(*row_key(F.col(id), F.col(text)), F.struct(*names).alias("row")).join(chosen, ROW_KEY)
+    one = rows.groupBy(*ROW_KEY).agg(F.first("row").alias("row"))
+    return one.select(*(F.col("row")[name].alias(name) for name in names))

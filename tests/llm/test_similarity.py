@@ -77,3 +77,15 @@ def test_recall_of_keys():
         a, b = (set(similarity.band_keys(np.sort(s)).tolist()) for s in (x[:99], x[11:]))  # 88 of 110
         found += bool(a & b)
     assert found >= n - 5
+
+
+def test_a_row_of_each_component(spark):
+    """Unrelated texts under a null or a repeated id all stay; copies go, also those under an id that names another component."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(9)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (7, texts[3]), (7, texts[4]), (7, texts[4] + " more"), (7, texts[4]), (1, texts[5]), (7, texts[5]), (None, texts[5]), (9, texts[0] + " more"), (None, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*d, k) for k, d in enumerate(data)], "doc_id long, text string, key int")
+    got = similarity.keep_first(docs).collect()
+    want = [(9, texts[0] + " more"), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (8, "")]
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"]) == sorted(w for w in want if w[0])
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted(w[1] for w in want if w[0] is None)
+    assert all(data[r["key"]] == (r["doc_id"], r["text"]) for r in got)
