@@ -18,8 +18,8 @@ from kinweave.functions import DISTANCE_DIGITS
 from kinweave.plans.scratch import materialize
 
 METRICS = ("l2", "euclidean", "cosine", "ip")
-#: Candidates beyond k whose distances are computed again without cancellation.
-_SLACK = 16
+#: Pairs whose distances are computed again at once.
+_PAIRS = 1 << 16
 _ROWS = "src long, dst long, dist double"
 
 
@@ -43,23 +43,42 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, metric: str, include_self: bool):
-    """(src, dst, dist) of the k nearest rows of ``b`` for each row of ``a``: a coarse pass by one product, then an exact one."""
+    """(src, dst, dist) of the k nearest rows of ``b`` for each row of ``a``: a coarse pass by one product, then an exact one over all rows that may be among them, ties included."""
     rough = -(a @ b.T)
     if metric in ("l2", "euclidean"):
         rough = 2 * rough + (b * b).sum(1)
     elif metric == "cosine":
         rough = rough / np.maximum(np.linalg.norm(b, axis=1), 1e-300)
-    m = min(len(b), k + _SLACK + (not include_self))
-    near = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(b) else np.broadcast_to(np.arange(len(b)), (len(a), len(b)))
-    dist = np.concatenate([_exact(a[i : i + 256], b[near[i : i + 256]], metric) for i in range(0, len(a), 256)])
-    dst, src = others[near], np.broadcast_to(ids[:, None], near.shape)
+    if not len(a) or not len(b):
+        return np.empty(0, ids.dtype), np.empty(0, others.dtype), np.empty(0)
+    need = min(len(b), k + (not include_self))
+    most = np.partition(rough, need - 1, axis=1)[:, need - 1] + _tolerance(a, b, rough, need, metric)
+    row, near = np.nonzero(rough <= most[:, None])
+    dist = np.concatenate([_exact(a[row[i : i + _PAIRS]], b[near[i : i + _PAIRS]][:, None], metric)[:, 0] for i in range(0, max(1, len(row)), _PAIRS)])
+    dst = others[near]
     dist = np.round(dist, DISTANCE_DIGITS) + 0.0
     if not include_self:
-        dist = np.where(dst == src, np.inf, dist)
-    order = np.lexsort((dst, dist), axis=1)[:, :k]
-    src, dst, dist = (np.take_along_axis(x, order, 1).ravel() for x in (src, dst, dist))
-    keep = np.isfinite(dist)
-    return src[keep], dst[keep], dist[keep]
+        dist = np.where(dst == ids[row], np.inf, dist)
+    order = np.lexsort((dst, dist, row))
+    row, dst, dist = row[order], dst[order], dist[order]
+    keep = np.isfinite(dist) & (np.arange(len(row)) - np.searchsorted(row, row) < k)
+    return ids[row[keep]], dst[keep], dist[keep]
+
+
+def _tolerance(a: np.ndarray, b: np.ndarray, rough: np.ndarray, need: int, metric: str) -> np.ndarray:
+    """For each row of ``a`` how far beyond its last coarse distance a row may be that equals it after rounding."""
+    one, other = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1).max()
+    error = 8 * (a.shape[1] + 8) * np.finfo(float).eps
+    step = 2 * 10.0**-DISTANCE_DIGITS
+    if metric == "cosine":
+        return (step + error) * one
+    if metric == "ip":
+        return step + error * one * other
+    error = error * (one + other) ** 2
+    if metric == "l2":
+        return step + error
+    last = np.sqrt(np.maximum(np.partition(rough, need - 1, axis=1)[:, need - 1] + one**2, 0) + error)
+    return error + 2 * step * last + step**2
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
