@@ -37,13 +37,21 @@ class Kind:
     context_boost: float = 0.0
 
 
+#: Countries by the length of their account numbers (IBAN registry).
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A number ends at its country's length, whatever follows; any other run is tried whole.
+_IBAN_BODY = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in _IBAN.items())
+
 #: In this order where spans start together.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9][.][0-9]"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])", "[0-9][ -]?[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z][A-Z][0-9][0-9]", 0.4, 0.5, "iban|account|konto|compte|cuenta|bank", 0.1),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN_BODY}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))", "[A-Z][A-Z][0-9][0-9]", 0.4, 0.5, "iban|account|konto|compte|cuenta|bank", 0.1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.5, 0.0, "ssn|social security|tax id", 0.4),
     Kind("phone2", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "[0-9][.-][0-9]", 0.4, 0.0, "phone|call|tel|fax|mobile", 0.3),
     Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])", "[0-9a-f]{32}|AKIA|ghp_|sk-", 0.4, 0.0, "token|secret|password|passwd|api[_ -]?key|credential", 0.4),
