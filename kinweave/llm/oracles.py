@@ -20,9 +20,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * n_lettered >= 7 * n_words AND 10 * n_ellipsis <= 3 * n_lines AS kept FROM f"""
 
 SENTENCES = r"""
-WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS row, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS s FROM documents),
-g AS (SELECT row, i, row_number() OVER (PARTITION BY s[i:i + 2] ORDER BY row, i) AS k FROM d, unnest(range(1, len(s) - 1)) AS t(i)),
-gone AS (SELECT DISTINCT row, i + j AS i FROM g, unnest([0, 1, 2]) AS t(j) WHERE k > 1),
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D.!?,;:]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D.!?,;:]+){0,11}[.!?,;:]*') AS s FROM documents),
+n AS (SELECT *, list_transform(s, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS w FROM d),
+e AS (SELECT row, i, min(j) AS j FROM n, unnest(range(1, len(s) + 1)) AS t(i), unnest(range(i + 1, least(i + 20, len(s) + 1))) AS u(j) WHERE list_sum(w[i:j]) >= 20 GROUP BY row, i),
+a AS (SELECT row, i, j FROM e UNION ALL SELECT row, 1, len(s) FROM n WHERE len(s) > 0 AND row NOT IN (SELECT row FROM e)),
+g AS (SELECT row, i, j, row_number() OVER (PARTITION BY s[i:j] ORDER BY row, i) AS k FROM a JOIN n USING (row)),
+gone AS (SELECT DISTINCT row, x AS i FROM g, unnest(range(i, j + 1)) AS t(x) WHERE k > 1),
 r AS (SELECT row, list(i) AS gone FROM gone GROUP BY row)
 SELECT doc_id, len(s) AS n_sentences, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)), '')) AS kept_sha256 FROM d LEFT JOIN r USING (row)"""
 

@@ -168,14 +168,18 @@ def base_scores(docs):
     return out
 
 
-def sentences(docs, span=3):
-    """Spans of sentences; of equal ones all but the first, by id and place, lose their sentences."""
-    split = {i: [x for x in (m.strip(" \t\n\r\x0b\x0c") for m in re.findall(r"[^.!?\n]+[.!?]*", t or "")) if x] for i, t in docs}
+def sentences(docs, least=2, words=20):
+    """Runs of sentences with enough words; of equal ones all but the first, by id and place, lose their sentences."""
+    split = {i: re.findall(r"[^\x20\x09-\x0D.!?,;:]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D.!?,;:]+){0,11}[.!?,;:]*", t or "") for i, t in docs}
     seen, gone = set(), defaultdict(set)
     for i in sorted(split):
-        for k in range(len(split[i]) - span + 1):
-            run = tuple(split[i][k : k + span])
-            if run in seen:
-                gone[i] |= set(range(k, k + span))
-            seen.add(run)
+        s = split[i]
+        runs = []
+        for a in range(len(s)):
+            b = next((b for b in range(a + least, len(s) + 1) if sum(len(WORD.findall(x)) for x in s[a:b]) >= words), None)
+            runs += [(a, b)] if b else []
+        for a, b in runs or ([(0, len(s))] if s else []):
+            if tuple(s[a:b]) in seen:
+                gone[i] |= set(range(a, b))
+            seen.add(tuple(s[a:b]))
     return {i: (len(s), len(gone[i]), hashlib.sha256("\n".join(x for k, x in enumerate(s) if k not in gone[i]).encode()).hexdigest()) for i, s in split.items()}

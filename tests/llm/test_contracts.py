@@ -1,10 +1,12 @@
 """Every query against a brute-force version of its contract, over whole tables with odd rows."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 
+from kinweave.llm import dealing, sentences
 from kinweave.llm import queries as q
 from tests.llm import brute
 
@@ -158,3 +160,41 @@ def test_lm_split_contexts(spark, sample_dir, monkeypatch):
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_empty(spark, empty_dir, name):
     assert q.queries()[name](spark, empty_dir).collect() == []
+
+
+def test_sentences_catch_planted_passages(spark):
+    """Passages of over 50 words that begin and end within sentences, and within text without punctuation."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    prose = lambda n, ends: " ".join(word() + (rng.choice(ends) if rng.random() < 0.12 else "") for _ in range(n))
+    docs, later = [], set()
+    for k in range(60):
+        ends = [".", "! ", ",", ";"] if k % 3 else [""]
+        passage = prose(55, ends) if k % 6 else " ".join([word()] * 55)
+        for copy in range(2):
+            i = 2 * k + copy
+            later |= {i} if copy else set()
+            docs.append((i, f"{prose(rng.randrange(5, 80), ends)} {passage} {prose(rng.randrange(5, 80), ends)}"))
+    docs += [(1000 + i, prose(200, [".", ","])) for i in range(60)]
+    got = {r["doc_id"]: r["n_removed"] for r in sentences.dedup_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    punctuated = {i for i in later if (i // 2) % 3}
+    assert sum(got[i] > 0 for i in punctuated) >= 0.95 * len(punctuated)
+    # A passage of one word repeats within its own document too.
+    assert not any(got[i] for i, _ in docs if i not in later and (i >= 1000 or (i // 2) % 6))
+
+
+def test_dealing_splits_a_hot_id(spark):
+    """Rows of one id are split by text; buckets follow the order of id and text, and those of one id share their order."""
+    data = [(7, f"{k:05d} text") for k in range(4000)] + [(i, "x" * 30) for i in range(100) if i != 7] + [(None, f"{k:05d} none") for k in range(3000)]
+    dealt = dealing.deal(spark.createDataFrame(data, "doc_id long, text string"), 4000)
+    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["bucket"]) for r in dealt.rows.collect())
+    buckets = [r[3] for r in rows]
+    assert buckets == sorted(buckets) and len(rows) == len(data)
+    sizes = {b: buckets.count(b) for b in set(buckets)}
+    assert max(sizes.values()) < 1000 and dealt.n_buckets > max(buckets)
+    for missing, i, _, b in rows:
+        others = {r[3] for r in rows if r[:2] != (missing, i)}
+        if len({r[3] for r in rows if r[:2] == (missing, i)}) > 1:
+            assert b not in others
+    order = dealt.order[[r[3] for r in rows]]
+    assert len(set(order[[k for k, r in enumerate(rows) if r[1] == 7]])) == len(set(order[[k for k, r in enumerate(rows) if r[0]]])) == 1
