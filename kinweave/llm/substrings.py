@@ -4,39 +4,36 @@ A byte goes if a string of ``size`` bytes around it also starts in a document wi
 are judged on the input. Null text counts as empty, null ids come after all others, and equal ids never
 remove each other's bytes. Other columns aren't read.
 
-Suffixes are far more than documents, so what is sent is compressed in three steps.
-
-1. Documents are dealt to buckets by ranges of ids, so that a lower bucket means smaller ids. A bucket cuts
-   its texts into cells (see ``cells``) and sends each distinct one, as 96 bits, to the shard of its
-   anchor. A shard tells the bucket whether a lower bucket has the cell, and whether the anchor also
-   occurs in other cells.
-2. Cells that differ but share their anchor may have some strings in common. A bucket sorts the suffixes
-   that start in them into an enhanced suffix array and scans the common prefixes with a stack; intervals
-   of ``size`` bytes or more are groups of equal strings with all their places, and each group is sent once.
-   Shards answer which groups a lower bucket has.
-3. A bucket marks cells and groups that a lower bucket has, and within itself those that a smaller id has.
-
-A cell or group is sent once by each bucket, however often it occurs there, so a hot one costs a shard at
-most one entry for each bucket. Shards and buckets hold a bounded number of bytes each.
+Documents are dealt to buckets by ranges of ids, so that a lower bucket means smaller ids (buckets that share an id count
+as equal). A byte can go for either of two reasons.
+
+1. A smaller id of its own bucket has the string. The bucket sorts the suffixes that may begin a maximal repeat, whole up to
+   their documents' ends, into an enhanced suffix array and scans the common prefixes with a stack into the interval
+   tree. Intervals of ``size`` bytes or more whose occurrences differ in the byte before them are the maximal repeat
+   groups, with all their places; each place loses the longest group's bytes that has a smaller id.
+2. A lower bucket has it. Strings are far more than documents, so a bucket cuts its texts into cells (see ``cells``) and
+   sends each distinct one, as 96 bits, to the shard of its anchor, which tells it whether a lower bucket has the
+   cell, and whether the anchor also occurs in other cells. Strings of such open cells are then sent themselves.
+
+A cell or string is sent once by each bucket, however often it occurs there, so a hot one costs a shard at most one entry
+for each bucket. An exchange has at most as many rows as entries. A document is held whole by one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm import suffixes, textbytes as tb
-from kinweave.llm.cells import cells, string_hashes
-from kinweave.plans.scratch import input_bytes, shuffle_partitions
+from kinweave.llm.cells import cells, repeated_starts, string_hashes
+from kinweave.llm.dealing import LAST, deal
 
 SIZE = 50
-#: Bytes of input for each bucket, as files store it.
+#: Bytes of text for each bucket.
 BUCKET_BYTES = 3 << 20
-_LAST = np.iinfo(np.int64).max
 _SHARD_BITS = np.uint64(32)
 
 
@@ -81,13 +78,13 @@ def decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key, np.frombuffer(raw, "<u4", n, at).astype(np.uint64) | (np.frombuffer(raw, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-def answer(blobs: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """For each bucket's entries a byte each: bit 0 if a lower bucket has the entry, bit 1 if its key has other entries."""
+def answer(blobs: list[tuple[int, bytes]], order_of: np.ndarray) -> list[tuple[int, bytes]]:
+    """For each bucket's entries a byte each: bit 0 if a bucket of lower order has the entry, bit 1 if its key has other entries."""
     blobs = sorted(blobs)
     parts = [decode(raw) for _, raw in blobs]
     key, rest = (np.concatenate(x) for x in zip(*parts))
     sizes = [len(k) for k, _ in parts]
-    bucket = np.repeat(np.arange(len(blobs)), sizes)
+    bucket = np.repeat(order_of[[b for b, _ in blobs]], sizes)
     both = tb.mix(key * np.uint64(0x9E3779B97F4A7C15) + rest)
     order = np.argsort(both, kind="stable")
     k, r = key[order], rest[order]
@@ -116,38 +113,27 @@ class Bucket:
         by = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
         self.size, self.n_shards = size, n_shards
         self.ids = [ids[i] for i in by]
-        self.rank = np.array([_LAST if i is None else i for i in self.ids], np.int64)
+        self.rank = np.array([LAST if i is None else i for i in self.ids], np.int64)
         held = [texts[i] or b"" for i in by]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in held])]).astype(np.int64)
         self.data = np.frombuffer(b"".join(held), np.uint8)
         self.start, self.count, anchor, whole, self.doc = cells(self.data, self.offsets, size)
         self.cells = Request(anchor, whole, n_shards)
 
-    def suffix_groups(self, flags: np.ndarray):
-        """(places, documents, request): strings in cells that share their anchor with other cells, grouped by the suffix array.
-
-        Strings that occur once here are groups of their own. ``flags`` are the answers for distinct cells.
-        """
+    def open_strings(self, flags: np.ndarray):
+        """(places, documents, request) of the strings in cells that no lower bucket has but whose anchor occurs in other cells. ``flags`` are the answers for distinct cells."""
         mine = flags[self.cells.group]
         open_cells = np.flatnonzero((mine & 3) == 2)
         count = self.count[open_cells]
         begin = np.cumsum(count) - count
         places = np.repeat(self.start[open_cells] - begin, count) + np.arange(int(count.sum()))
-        one, two = string_hashes(self.data, places, self.size)
-        docs = np.repeat(self.doc[open_cells], count)
-        # Only strings that occur again here need sorting.
-        order = np.argsort(one)
-        again = np.zeros(len(places), bool)
-        if len(order) > 1:
-            same = one[order][1:] == one[order][:-1]
-            again[order[1:][same]] = again[order[:-1][same]] = True
-        repeated = np.flatnonzero(again)
-        if len(repeated):
-            index, lcp = suffixes.enhanced_suffix_array(self.data, places[repeated], places[repeated] + self.size)
-            for node in suffixes.common_prefix_intervals(lcp, self.size):
-                rows = repeated[index[node.first : node.last]]
-                one[rows], two[rows] = one[rows[0]], two[rows[0]]
-        return places, docs, Request(one, two, self.n_shards)
+        return places, np.repeat(self.doc[open_cells], count), Request(*string_hashes(self.data, places, self.size), self.n_shards)
+
+    def repeats(self) -> tuple[suffixes.RepeatTree, np.ndarray]:
+        """The interval tree of the suffixes that begin a repeat within the bucket, up to their documents' ends, and their documents."""
+        places = repeated_starts(self.data, self.offsets, self.size)
+        docs = np.searchsorted(self.offsets, places, "right") - 1
+        return suffixes.RepeatTree(self.data, places, self.offsets[docs + 1], self.offsets[docs], self.size), docs
 
     def removed(self, cell_flags: np.ndarray, group_flags: np.ndarray) -> np.ndarray:
         """True for each byte to remove."""
@@ -157,14 +143,14 @@ class Bucket:
             np.add.at(change, places, 1)
             np.subtract.at(change, places + lengths, 1)
 
-        below = self.rank[self.doc] > self.cells.least(self.rank[self.doc])[self.cells.group] if len(self.doc) else np.zeros(0, bool)
-        gone = below | ((cell_flags[self.cells.group] & 1) > 0)
-        cover(self.start[gone], self.count[gone] + self.size - 1)
-        places, docs, request = self.suffix_groups(cell_flags)
+        tree, docs = self.repeats()
+        cover(tree.starts, tree.covered(self.rank[docs]))
+        del tree
+        lower = (cell_flags[self.cells.group] & 1) > 0
+        cover(self.start[lower], self.count[lower] + self.size - 1)
+        places, _, request = self.open_strings(cell_flags)
         if len(places):
-            rank = self.rank[docs]
-            gone = (rank > request.least(rank)[request.group]) | ((group_flags[request.group] & 1) > 0)
-            cover(places[gone], self.size)
+            cover(places[(group_flags[request.group] & 1) > 0], self.size)
         return np.cumsum(change[:-1]) > 0
 
 
@@ -183,36 +169,13 @@ def request_table(rows, round: int) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(list(zip(*held)) or [()] * 4, kinds)], names)
 
 
-def _id_bounds(docs: DataFrame, n_buckets: int) -> np.ndarray:
-    """Ids that deal documents to about equal ranges."""
-    shares = [i / n_buckets for i in range(1, n_buckets)]
-    found = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * n_buckets)))).first()[0] if shares else []
-    return np.unique(np.array(found or [], np.int64))
-
-
-def deal(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """``rows`` of doc_id and text with the bucket of their id: a lower bucket has smaller ids."""
-    held = rows.sparkSession.sparkContext.broadcast(_id_bounds(rows, n_buckets))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(_LAST).to_numpy()
-            bucket = np.searchsorted(held.value, ids, "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "doc_id", "text"])
-
-    return rows.mapInArrow(place, "bucket int, doc_id long, text string")
-
-
 def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``spans``, the removed (start, end) in bytes.
 
     ``bucket_bytes`` bounds what a task holds; a task needs about thirty times as much memory.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_buckets = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // bucket_bytes))
-    n_shards = n_buckets
-    dealt = deal(rows, n_buckets)
+    dealing = deal(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), bucket_bytes)
+    dealt, order, n_shards = dealing.rows, dealing.order, dealing.n_buckets
 
     def ask_cells(key, table):
         bucket = Bucket(table, size, n_shards)
@@ -222,10 +185,10 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
         if not table.num_rows:
             return request_table([], 2)
         bucket = Bucket(table, size, n_shards)
-        return request_table(bucket.suffix_groups(flags_of(answers, 1))[2].rows(key[0].as_py()), 2)
+        return request_table(bucket.open_strings(flags_of(answers, 1))[2].rows(key[0].as_py()), 2)
 
     def reply(key, table):
-        out = answer([(r["bucket"], r["blob"]) for r in table.select(["bucket", "blob"]).to_pylist()])
+        out = answer([(r["bucket"], r["blob"]) for r in table.select(["bucket", "blob"]).to_pylist()], order)
         return request_table([(key[0].as_py(), b, raw) for b, raw in out], table.column("round")[0].as_py())
 
     def finish(key, table, answers):

@@ -170,6 +170,21 @@ def test_substrings_across_buckets(spark):
     assert got == brute.substrings(docs)
 
 
+def test_removal_rests_on_maximal_repeats(spark, monkeypatch):
+    """Without groups that differ on the left nothing within a bucket goes; the tree alone gives the brute-force result there."""
+    rng = np.random.default_rng(7)
+    passage = "".join(rng.choice(list("xyz "), 90))
+    docs = [(i, "".join(rng.choice(list("abcdefgh "), 100)) + passage[i % 4 :] + passage[: 60 + i % 3]) for i in range(12)] + [(20, "ab" * 90), (21, "b" + "ab" * 60)]
+    data, offsets = tb.text_bytes(pa.array([t for _, t in docs]))
+    bucket = substrings.Bucket(pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]}), 50, 1)
+    no_flags = np.zeros(len(bucket.cells.first), np.uint8)
+    want = {i: w[1] for i, w in brute.substrings(docs).items()}
+    per_document = lambda gone: {i: int(gone[a:b].sum()) for (i, _), a, b in zip(docs, offsets[:-1], offsets[1:])}
+    assert per_document(bucket.removed(no_flags, no_flags)) == want and any(want.values())
+    monkeypatch.setattr(suffixes, "left_diverse", lambda left, first, last: np.zeros(len(first), bool))
+    assert not bucket.removed(no_flags, no_flags).any()
+
+
 def test_packed_requests():
     rng = np.random.default_rng(8)
     for n in (1, 2, 500):
