@@ -9,8 +9,8 @@ bits of some partition i. A bounded sample of fingerprints gives the share of pa
 in a partition; dynamic programming over these estimates chooses the thresholds with the least cost, for each
 m, and the cheapest m wins. The plan only changes the cost: every choice finds all links.
 
-With ``bound`` a fingerprint has 64 further bits from a second hash of each shingle, and a link also needs at
-most ``bound`` different bits of all 128: of N documents' pairs a wide ``tau`` lets many pass by chance.
+A wide fingerprint has 64 further bits from a second hash of each shingle; all 128 are partitioned alike. The number of
+probes and comparisons grows with ``tau``: the work is linear for a few bits and nears all pairs for a fifth of them.
 
 Work is on distinct fingerprints, so exact copies never meet. Each is sent to the bucket of its own value
 in each partition, and to those within t_i that are smaller, as a probe. A bucket's members are compared in
@@ -38,9 +38,6 @@ from kinweave.operators.components import connected_components
 from kinweave.plans.scratch import materialize
 
 SAMPLE_PRINTS = 2000
-#: For five-word shingles and a similarity of 0.8 or more. At 0.8 fingerprints differ in 15 % of their bits:
-#: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1.
-STAGE = {"shingle": 5, "tau": 12, "bound": 21}
 BUCKET_ROWS = 16384
 #: Measured costs of a row sent to a bucket (made, shuffled, sorted and read) and of a comparison, in microseconds.
 _SEND, _COMPARE = 5.0, 0.003
@@ -88,6 +85,14 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, fp long, fp2 long")
 
 
+def packed(prints: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The bits of ``part`` of each row of words, side by side."""
+    out = np.zeros(len(prints), np.uint64)
+    for k, bit in enumerate(part.tolist()):
+        out |= ((prints[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
 class Plan:
     """Partitions (arrays of bit positions) and their thresholds."""
 
@@ -96,11 +101,8 @@ class Plan:
         self.parts, self.thresholds = [p for p, _ in used], [t for _, t in used]
 
     def values(self, prints: np.ndarray, i: int) -> np.ndarray:
-        """The bits of partition i, packed."""
-        out = np.zeros(len(prints), np.uint64)
-        for k, bit in enumerate(self.parts[i]):
-            out |= ((prints >> np.uint64(bit)) & np.uint64(1)) << np.uint64(k)
-        return out
+        """The bits of partition i of fingerprints (rows of words), packed."""
+        return packed(prints, self.parts[i])
 
     def masks(self, i: int) -> np.ndarray:
         """Nonzero differences within the threshold."""
@@ -110,14 +112,16 @@ class Plan:
 
 def group_bits(prints: np.ndarray, m: int) -> list[np.ndarray]:
     """m partitions of nearly equal width; each grows by the bit most correlated with those it has."""
-    bits = ((prints[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
+    bits = ((prints[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
+    n_bits = 64 * bits.shape[1]
+    bits = bits.reshape(len(bits), n_bits)
     bits -= bits.mean(0) if len(bits) else 0
     norm = np.sqrt((bits**2).sum(0)) + 1e-9
     related = np.abs(bits.T @ bits) / norm[:, None] / norm
     np.fill_diagonal(related, 0)
-    free, parts = set(range(64)), []
+    free, parts = set(range(n_bits)), []
     for i in range(m):
-        width = (64 - sum(map(len, parts))) // (m - i)
+        width = (n_bits - sum(map(len, parts))) // (m - i)
         own = [max(sorted(free), key=lambda b: related[b, sorted(free)].max())]
         free.discard(own[0])
         while len(own) < width:
@@ -133,8 +137,7 @@ def pair_shares(prints: np.ndarray, part: np.ndarray, most: int) -> list[float]:
     uniform = [sum(math.comb(width, d) for d in range(t + 1)) / 2**width for t in range(most + 1)]
     if len(prints) < 2:
         return uniform
-    mask = np.uint64(sum(1 << int(b) for b in part))
-    held = prints & mask
+    held = packed(prints, part)
     counts = np.zeros(65, np.int64)
     for i in range(len(held) - 1):
         counts += np.bincount(np.bitwise_count(held[i + 1 :] ^ held[i]), minlength=65)
@@ -153,9 +156,8 @@ def allocate(costs: list[list[float]], tau: int) -> tuple[float, list[int]]:
 def make_plan(prints: np.ndarray, n: int, tau: int, most_threshold: int = 2, bucket_rows: int = BUCKET_ROWS) -> Plan:
     """The cheapest plan for n distinct fingerprints of which ``prints`` is a sample; rows of split buckets are sent once for each block."""
     found = []
-    for m in range(1, tau + 2):
-        if m * (most_threshold + 1) < tau + 1:
-            continue
+    fewest = -(-(tau + 1) // (most_threshold + 1))
+    for m in sorted({min(tau + 1, fewest + more) for more in (0, 1, 2, 4, 8)}):
         parts, costs = group_bits(prints, m), []
         for part in parts:
             shares = pair_shares(prints, part, most_threshold)
@@ -172,23 +174,22 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, tau: int, bound: int | None) -> np.ndarray:
-    """Whether fingerprints (two words each, along the last axis) link."""
-    first = np.bitwise_count(a[..., 0] ^ b[..., 0])
-    near = first <= tau
-    if bound is not None and near.any():
-        near &= first + np.bitwise_count(a[..., 1] ^ b[..., 1]) <= bound
-    return near
+def _linked(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+    """Whether fingerprints (words along the last axis) link."""
+    differ = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    for word in range(1, a.shape[-1]):
+        differ += np.bitwise_count(a[..., word] ^ b[..., word])
+    return differ <= tau
 
 
-def _classes(prints: np.ndarray, own: np.ndarray, side: np.ndarray | None, tau: int, bound: int | None) -> np.ndarray:
+def _classes(prints: np.ndarray, own: np.ndarray, side: np.ndarray | None, tau: int) -> np.ndarray:
     """The least row that each row reaches by links with a member in ``own``; with ``side`` only links between sides count."""
     label = np.arange(len(prints))
     members = np.flatnonzero(own)
     step = max(1, (1 << 20) // max(1, len(prints)))
     for at in range(0, len(members), step):
         rows = members[at : at + step]
-        near = _linked(prints[rows][:, None], prints[None], tau, bound)
+        near = _linked(prints[rows][:, None], prints[None], tau)
         if side is not None:
             near &= side[rows][:, None] != side[None]
         near[np.arange(len(rows)), rows] = False
@@ -199,7 +200,7 @@ def _classes(prints: np.ndarray, own: np.ndarray, side: np.ndarray | None, tau:
     return label
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, own: np.ndarray, block: np.ndarray, tau: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, prints: np.ndarray, own: np.ndarray, block: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that link, or of a row and the least that it reaches, within runs of equal keys (partition, value, block i, block j).
 
     ``own`` marks rows whose own value is the bucket's; if blocks i and j differ only links between them count.
@@ -215,21 +216,21 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, own: np.ndarray, block: n
         i = np.flatnonzero((run[:-lag] == run[lag:]) & small[:-lag])
         if not len(i):
             break
-        ok = _linked(prints[i], prints[i + lag], tau, bound) & (~cross[i] | (block[i] != block[i + lag]))
+        ok = _linked(prints[i], prints[i + lag], tau) & (~cross[i] | (block[i] != block[i + lag]))
         out.append((i[ok], i[ok] + lag))
     for r in np.flatnonzero(sizes > _SMALL):
         a, b = edges[r], edges[r + 1]
-        label = _classes(prints[a:b], own[a:b], block[a:b] if cross[a] else None, tau, bound)
+        label = _classes(prints[a:b], own[a:b], block[a:b] if cross[a] else None, tau)
         moved = np.flatnonzero(label != np.arange(b - a))
         out.append((a + label[moved], a + moved))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def link_edges(prints: DataFrame, n: int, tau: int = 4, bound: int | None = None, bucket_rows: int = BUCKET_ROWS, sample_prints: int = SAMPLE_PRINTS) -> DataFrame:
-    """Edges (u, v) between nodes of distinct (node, fp, fp2) whose components are those of all links."""
-    spark = prints.sparkSession
+def link_edges(prints: DataFrame, n: int, tau: int = 4, wide: bool = False, bucket_rows: int = BUCKET_ROWS, sample_prints: int = SAMPLE_PRINTS) -> DataFrame:
+    """Edges (u, v) between nodes of distinct (node, fp, fp2) whose components are those of all links; fp2 counts if ``wide``."""
+    spark, n_words = prints.sparkSession, 2 if wide else 1
     picked = prints.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // sample_prints))) == 0).limit(2 * sample_prints).collect()
-    plan = make_plan(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), n, tau, bucket_rows=bucket_rows)
+    plan = make_plan(np.array([(r["fp"], r["fp2"])[:n_words] for r in picked], np.int64).reshape(-1, n_words).view(np.uint64), n, tau, bucket_rows=bucket_rows)
     held = spark.sparkContext.broadcast(plan)
     names = ["node", "fp", "fp2"]
 
@@ -238,8 +239,9 @@ def link_edges(prints: DataFrame, n: int, tau: int = 4, bound: int | None = None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = [batch.column(c).slice(at, 1024).to_numpy(zero_copy_only=False) for c in range(3)]
+                words = np.stack(rows[1 : 1 + n_words], 1).view(np.uint64)
                 for i in range(len(plan.parts)):
-                    values = plan.values(rows[1].view(np.uint64), i)
+                    values = plan.values(words, i)
                     masks = np.concatenate([np.zeros(1, np.uint64), plan.masks(i)])
                     keys = values[:, None] ^ masks
                     keep = keys <= values[:, None]
@@ -270,19 +272,19 @@ def link_edges(prints: DataFrame, n: int, tau: int = 4, bound: int | None = None
             yield found(kept)
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
-        u, v = bucket_links(rows[:, :4], np.ascontiguousarray(rows[:, 7:9]).view(np.uint64), rows[:, 5] == 1, rows[:, 4], tau, bound)
+        u, v = bucket_links(rows[:, :4], np.ascontiguousarray(rows[:, 7 : 7 + n_words]).view(np.uint64), rows[:, 5] == 1, rows[:, 4], tau)
         return pa.RecordBatch.from_arrays([pa.array(rows[u, 6]), pa.array(rows[v, 6])], ["u", "v"])
 
     return dealt.mapInArrow(link, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, tau: int = 4, bound: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, tau: int = 4, wide: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id (its component's least doc_id)."""
-    prints = fingerprints(docs, id, text, shingle, bound is not None)
-    node = F.col("fp") if bound is None else F.xxhash64("fp", "fp2")
+    prints = fingerprints(docs, id, text, shingle, wide)
+    node = F.xxhash64("fp", "fp2") if wide else F.col("fp")
     prints = materialize(prints.withColumn("node", node), "prints")
     distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("doc_id").alias("least_id")), "distinct")
-    edges = materialize(link_edges(distinct, distinct.count(), tau, bound, bucket_rows), "links")
+    edges = materialize(link_edges(distinct, distinct.count(), tau, wide, bucket_rows), "links")
     reached = connected_components(edges)
     classes = distinct.join(reached, F.col("node") == F.col("v"), "left").select("node", "least_id", F.coalesce("component", "node").alias("root"))
     names = classes.groupBy(F.col("root").alias("n_root")).agg(F.min("least_id").alias("component_id"))

@@ -1,14 +1,16 @@
-"""Near-duplicates at a similarity: texts link if the Jaccard similarity of their sets of word shingles reaches it.
+"""SimHash near-duplicates at a similarity: texts link if the Jaccard similarity of their sets of word shingles reaches it.
 
-Every link is verified on the sets. Candidates come from min-hashes: a set has ``BANDS`` keys of ``ROWS`` least hashes
-each, and sets with an equal key are candidates. Two sets of similarity s share a key with a probability of
-1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, and more above.
+Fingerprints only propose: two sets are candidates if at most ``TAU`` of 128 fingerprint bits differ, which the
+generalised pigeonhole search of ``simhash`` finds without loss. Every link is then verified on the sets. Of pairs at a
+similarity of 0.8 or more the fingerprints propose about 99 in 100 (the README has figures); what they propose grows with
+the radius and not with the similarity, so a radius for other similarities has to be measured.
 
 Work is on distinct sets, so copies never meet. Sets that candidates connect are compared in one task up to
 ``block_shingles`` shingles; more are dealt into blocks and each pair of blocks is its own task. A task returns
 edges with the components of its links, fewer than it has sets. The text of sets without a candidate isn't read again.
 
-Texts without words have the empty set and are alike; null counts as empty.
+Texts without words have the empty set and are alike; null counts as empty. An id of -2**63 counts as null. Rows of equal
+id and text are one. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +23,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from kinweave.llm import textbytes as tb
-from kinweave.llm.simhash import _runs, shingle_hashes
+from kinweave.llm.simhash import BUCKET_ROWS, _runs, link_edges, majority, shingle_hashes
 from kinweave.operators.components import connected_components
 from kinweave.plans.scratch import materialize
 
 #: Stands for a null id where one is joined on.
 NO_ID = -(1 << 63)
-BANDS, ROWS = 32, 6
+#: Bits of 128 in which candidates may differ.
+TAU = 26
 BLOCK_SHINGLES = 1 << 19
-_ODD = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_TURN = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(1 << 32))
-_BAND = tb.mix(np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(1 << 33))
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -39,17 +39,10 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band; none for the empty set."""
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[at : at + 1024] ^ _TURN[:, None]) * _ODD[:, None]).min(1), out=least)
-    keys = _BAND.copy()
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = tb.mix(keys ^ column)
-    return keys
+def set_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two fingerprint words of each set of shingle hashes."""
+    counts, hashes = np.array([len(s) for s in sets]), np.concatenate([np.empty(0, np.uint64), *sets])
+    return majority(hashes, counts), majority(tb.mix(hashes + np.uint64(1)), counts)
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -92,19 +85,19 @@ ROW_KEY = ["r_id", "r_one", "r_two"]
 
 
 def _prints(docs: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, the row key, node (a hash of the set), its size and its keys."""
+    """doc_id, the row key, node (a hash of the set), its size and its fingerprint words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 sets = [shingle_set(t.as_py() or b"", shingle) for t in part.column(4).cast(pa.large_binary())]
-                nodes = np.array([xxh64_intdigest(s.astype("<u8").tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-                keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(4)), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", *ROW_KEY, "node", "size", "keys"])
+                nodes = np.array([xxh64_intdigest(s.astype("<u8").tobytes(), 7) for s in sets], np.uint64)
+                words = [pa.array(x.view(np.int64)) for x in (nodes, *set_prints(sets))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(4)), words[0], pa.array([len(s) for s in sets], pa.int64()), *words[1:]], ["doc_id", *ROW_KEY, "node", "size", "fp", "fp2"])
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), *row_key(F.col(id), F.col(text)), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, r_id long, r_one long, r_two long, node long, size long, keys array<long>")
+    return rows.mapInArrow(scan, "doc_id long, r_id long, r_one long, r_two long, node long, size long, fp long, fp2 long")
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -139,15 +132,12 @@ def _verified(docs: DataFrame, candidates: DataFrame, id: str, text: str, shingl
     return dealt.mapInArrow(link, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = TAU, block_shingles: int = BLOCK_SHINGLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each document: doc_id, the row key, root (of its component) and component_id (its component's least doc_id)."""
     prints = materialize(_prints(docs, id, text, shingle), "prints")
     first = F.min(F.struct(*ROW_KEY)).alias("row")
-    distinct = materialize(prints.groupBy("node").agg(first, F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.min("doc_id").alias("least_id")), "distinct")
-    keys = distinct.select("node", F.explode("keys").alias("key"))
-    leads = keys.groupBy(F.col("key").alias("l_key")).agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    near = keys.join(leads, F.col("key") == F.col("l_key")).where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    near = connected_components(materialize(near, "candidates"))
+    distinct = materialize(prints.groupBy("node").agg(first, F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2"), F.min("doc_id").alias("least_id")), "distinct")
+    near = connected_components(materialize(link_edges(distinct, distinct.count(), tau, True, bucket_rows), "candidates"))
     members = near.select("v", "component").union(near.select(F.col("component").alias("v"), "component").distinct())
     members = materialize(distinct.join(members, F.col("node") == F.col("v")).select("node", "row.*", "size", F.col("component").alias("group")), "members")
     blocks = members.groupBy(F.col("group").alias("b_group")).agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("n_blocks"))

@@ -120,9 +120,9 @@ def fingerprint(text, size=4, more=False):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def simhash(docs, most=4, size=4, bound=None):
+def simhash(docs, most=4, size=4, wide=False):
     prints = {i: fingerprint(t, size) for i, t in docs}
-    second = {i: fingerprint(t, size, True) for i, t in docs} if bound is not None else None
+    second = {i: fingerprint(t, size, True) for i, t in docs} if wide else dict.fromkeys(prints, 0)
     parent = {i: i for i in prints}
 
     def root(i):
@@ -132,7 +132,7 @@ def simhash(docs, most=4, size=4, bound=None):
 
     for i in prints:
         for j in prints:
-            if i < j and (d := (prints[i] ^ prints[j]).bit_count()) <= most and (bound is None or d + (second[i] ^ second[j]).bit_count() <= bound):
+            if i < j and (prints[i] ^ prints[j]).bit_count() + (second[i] ^ second[j]).bit_count() <= most:
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (f"{prints[i]:016x}", root(i)) for i in prints}

@@ -50,13 +50,18 @@ def edited(n_bases=40, seed=3):
 
 @pytest.mark.parametrize("block_shingles", [300, 1 << 19])
 def test_links_are_those_of_the_similarity(spark, block_shingles):
+    """No component holds texts that links at the similarity don't join; of pairs that link nearly all share a component, and all of a wide enough radius."""
     docs = edited()
-    got = similarity.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_shingles=block_shingles).collect()
-    want = components(docs)
-    assert {r["doc_id"]: r["component_id"] for r in got} == {i: want[i] for i, _ in docs}
+    frame, want = spark.createDataFrame(docs, "doc_id long, text string"), components(docs)
     sets = [shingles(t) for _, t in docs]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a & b and alike(a, b)]
     shares = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a & b]
     assert sum(0.8 <= s < 0.87 for s in shares) > 20 and sum(0.73 < s < 0.8 for s in shares) > 20
+    got = {r["doc_id"]: r["component_id"] for r in similarity.similar_documents(frame, block_shingles=block_shingles).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    got = similarity.similar_documents(frame, tau=48, block_shingles=block_shingles).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: want[i] for i, _ in docs}
 
 
 def test_stage_on_documents(spark):
@@ -67,16 +72,15 @@ def test_stage_on_documents(spark):
     assert kept == Counter(rows[k][0] for k in set(components(rows)))
 
 
-def test_recall_of_keys():
-    """Of sets at a similarity of 0.8 nearly all share a key."""
+def test_recall_of_fingerprints():
+    """Of sets at a similarity of exactly 0.8, 110 to 1,100 shingles in both together, at least nine in ten are candidates, and more above it."""
     rng = np.random.default_rng(1)
-    n = 2000
-    found = 0
-    for _ in range(n):
-        x = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
-        a, b = (set(similarity.band_keys(np.sort(s)).tolist()) for s in (x[:99], x[11:]))  # 88 of 110
-        found += bool(a & b)
-    assert found >= n - 5
+    near = lambda a, b: [sum((p ^ q).bit_count() for p, q in zip(x, y)) <= similarity.TAU for x, y in zip(a, b)]
+    prints = lambda sets: [tuple(map(int, p)) for p in zip(*similarity.set_prints(sets))]
+    for unit in (10, 100):
+        drawn = [rng.integers(0, 1 << 63, 11 * unit, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 11 * unit, dtype=np.uint64) for _ in range(1000)]
+        for cut, share in ((unit + unit // 10, 0.9), (unit // 2, 0.99)):
+            assert sum(near(prints([x[: len(x) - cut] for x in drawn]), prints([x[cut:] for x in drawn]))) >= share * len(drawn)
 
 
 def test_a_row_of_each_component(spark):

@@ -111,25 +111,27 @@ def test_simhash_splits_buckets(spark, bucket_rows):
 @FAST
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4), st.integers(10, 10**12))
 def test_plan_finds_every_pair(x, flips, n):
-    """Any two prints within tau share a bucket in some partition, one of them as a probe if their values differ."""
+    """Any two prints within tau share a bucket in some partition, one of them as a probe if their values differ; of one word or two."""
     rng = np.random.default_rng(0)
-    plan = simhash.make_plan(rng.integers(0, 1 << 63, 200, dtype=np.uint64), n, 4)
-    assert sum(t + 1 for t in plan.thresholds) == 5 and sum(t + 1 for t in simhash.make_plan(np.arange(9, dtype=np.uint64), n, 12).thresholds) == 13
-    y = x
-    for b in flips:
-        y ^= 1 << b
-    meet = False
-    for i in range(len(plan.parts)):
-        a, b = (int(plan.values(np.array([z], np.uint64), i)[0]) for z in (x, y))
-        meet |= a == b or (a ^ b) in set(plan.masks(i).tolist())
-    assert meet
+    for words in (1, 2):
+        plan = simhash.make_plan(rng.integers(0, 1 << 63, (200, words), dtype=np.uint64), n, 4)
+        assert sum(t + 1 for t in plan.thresholds) == 5 and sum(t + 1 for t in simhash.make_plan(np.arange(10, dtype=np.uint64).reshape(-1, words), n, 12).thresholds) == 13
+        y = x
+        for b in flips:
+            y ^= 1 << b
+        rows = [np.array([[z] + [x & (1 << 40) - 1] * (words - 1)], np.uint64) for z in (x, y)]
+        meet = False
+        for i in range(len(plan.parts)):
+            a, b = (int(plan.values(z, i)[0]) for z in rows)
+            meet |= a == b or (a ^ b) in set(plan.masks(i).tolist())
+        assert meet
 
 
 @pytest.mark.parametrize("bucket_rows", [5, 4096])
 def test_simhash_at_similarity(spark, bucket_rows):
     docs = copies(120)
-    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **simhash.STAGE, bucket_rows=bucket_rows).collect()
-    want = brute.simhash(docs, 12, 5, 21)
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, tau=21, wide=True, bucket_rows=bucket_rows).collect()
+    want = brute.simhash(docs, 21, 5, True)
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
     assert len({c for _, c in want.values()}) < 80
 
