@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near duplicates: a Jaccard similarity of five-word shingles of 0.8 or more, verified."""
+    """The document of least id of each component of near duplicates: SimHash proposes, and a Jaccard similarity of five-word shingles of 0.8 or more is verified."""
     return similarity.keep_first(docs, shingle=5, similarity=0.8)
 
 
