@@ -48,12 +48,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame, text: str) -> int:
-    """The size of the files that ``df`` reads, or, if it reads anything else, that of its column ``text``."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    leaves = [leaves.apply(i) for i in range(leaves.size())]
-    if all(leaf.getClass().getSimpleName() == "LogicalRelation" for leaf in leaves):
-        return sum(int(str(leaf.stats().sizeInBytes())) for leaf in leaves)
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of the column ``text``, as they are and not as files compress them."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
