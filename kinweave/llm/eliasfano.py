@@ -1,7 +1,10 @@
-"""Elias-Fano codes of non-decreasing integers, with select and successor search.
+"""Elias-Fano codes of non-decreasing integers, with select and successor search on the code itself.
 
 n values up to ``top`` take about n * (2 + log2(top / n)) bits: the low bits of each value side by side, and
-the high bits as a bit string with a one for each value after as many zeros as its high part.
+the high bits as a bit string with a one for each value after as many zeros as its high part. Stored with the code are
+the number of ones before every ``_BLOCK``-th byte of the high bits, as 32-bit numbers: an eighth of a bit a value. They
+serve select of ones (value i) and of zeros (the run of values with a high part); both then look at one block.
+Nothing is expanded: a query of q values holds some hundred bytes for each of at most ``_MOST`` of them at a time.
 """
 
 from __future__ import annotations
@@ -9,19 +12,22 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-#: A select sample for so many ones; rows packed at once (a multiple of 8).
-_SAMPLE = 64
+#: Bytes of high bits for each stored count, and rows packed at once (multiples of 8).
+_BLOCK = 64
 _ROWS = 1 << 14
 #: So that the low bits and a shift fit 64 bits.
 _MOST_LOW = 56
+#: Values that a query looks up at once.
+_MOST = 1 << 13
+#: The place of the k-th one in each byte.
+_IN_BYTE = np.array([[[*(b for b in range(8) if x >> b & 1), *[0] * 8][k] for k in range(8)] for x in range(256)], np.uint8)
 
 
 class EliasFano:
     """A non-decreasing sequence; its arrays may be views of a memory-mapped file."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._samples = self._before = self._starts = None
+    def __init__(self, n: int, low_bits: int, runs: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.n, self.low_bits, self.runs, self.low, self.high, self.before = n, low_bits, runs, low, high, before
 
     def __len__(self) -> int:
         return self.n
@@ -33,20 +39,24 @@ class EliasFano:
         low_bits = min(_MOST_LOW, max(0, (top // max(n, 1)).bit_length() - 1))
         mask, places = U64((1 << low_bits) - 1), np.arange(low_bits, dtype=U64)
         low = [np.packbits((((values[a : a + _ROWS] & mask)[:, None] >> places) & U64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, _ROWS)]
-        flags = np.zeros((top >> low_bits) + n + 1, np.uint8)
+        runs = (top >> low_bits) + 1
+        flags = np.zeros(-(-(runs + n) // (8 * _BLOCK)) * 8 * _BLOCK, np.uint8)
         flags[(values >> U64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, np.concatenate([*low, np.zeros(8, np.uint8)]), np.packbits(flags, bitorder="little"))
+        high = np.packbits(flags, bitorder="little")
+        before = np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(1)) - np.bitwise_count(high).reshape(-1, _BLOCK).sum(1)
+        return cls(n, low_bits, runs, np.concatenate([*low, np.zeros(8, np.uint8)]), high, before.astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u8").tobytes()
-        return head + self.low.tobytes() + self.high.tobytes()
+        head = np.array([self.n, self.low_bits, self.runs, len(self.low), len(self.high)], "<u8").tobytes()
+        return head + self.low.tobytes() + self.high.tobytes() + self.before.tobytes()
 
     @classmethod
     def from_buffer(cls, raw, at: int = 0) -> EliasFano:
         """The code that begins at byte ``at``; its arrays are views of ``raw``."""
         raw = np.frombuffer(raw, np.uint8) if not isinstance(raw, np.ndarray) else raw
-        n, low_bits, n_low, n_high = np.frombuffer(raw[at : at + 32].tobytes(), "<u8").tolist()
-        return cls(n, low_bits, raw[at + 32 : at + 32 + n_low], raw[at + 32 + n_low : at + 32 + n_low + n_high])
+        n, low_bits, runs, n_low, n_high = np.frombuffer(raw[at : at + 40].tobytes(), "<u8").tolist()
+        a, b = at + 40 + n_low, at + 40 + n_low + n_high
+        return cls(n, low_bits, runs, raw[at + 40 : a], raw[a:b], raw[b : b + 4 * (n_high // _BLOCK)].view("<u4"))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         """The low bits of values i."""
@@ -54,42 +64,53 @@ class EliasFano:
         held = np.ascontiguousarray(self.low[(bit >> 3)[:, None] + np.arange(8)]).view("<u8").ravel()
         return (held >> (bit & 7).astype(U64)) & U64((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """Value i: from the nearest select sample to the byte of the high bits that has the i-th one."""
-        if self._samples is None:
-            self._before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
-            self._samples = np.searchsorted(self._before[1:], np.arange(0, self.n, _SAMPLE), "right")
-        byte = int(self._samples[i // _SAMPLE])
-        while self._before[byte + 1] <= i:
-            byte += 1
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        place = 8 * byte + int(ones[i - self._before[byte]])
-        return ((place - i) << self.low_bits) | int(self._lows(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
-            return np.empty(0, U64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((places - i).astype(U64) << U64(self.low_bits)) | self._lows(i)
-
-    def find(self, values: np.ndarray, first=0, last=None) -> np.ndarray:
-        """The index of each value within its range [first, last), or -1: the high part gives a run, whose low bits are searched by halves."""
+    def _place(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The places of the k-th ones, or zeros, in the high bits: by the counts to a block, and by its bytes' counts to the bit."""
+        at, stop = np.zeros(len(k), np.int64), np.full(len(k), len(self.before))
+        while (todo := stop - at > 1).any():
+            middle = (at + stop) >> 1
+            held = self.before[middle].astype(np.int64)
+            ahead = todo & ((held if ones else 8 * _BLOCK * middle - held) <= k)
+            at = np.where(ahead, middle, at)
+            stop = np.where(todo & ~ahead, middle, stop)
+        held = self.before[at].astype(np.int64)
+        k = k - (held if ones else 8 * _BLOCK * at - held)
+        block = self.high[(at * _BLOCK)[:, None] + np.arange(_BLOCK)]
+        block = block if ones else ~block
+        upto = np.cumsum(np.bitwise_count(block), axis=1, dtype=np.int16)
+        byte = (upto <= k[:, None]).sum(1)
+        row = np.arange(len(k))
+        k = k - np.where(byte > 0, upto[row, byte - 1], 0)
+        return (at * _BLOCK + byte) * 8 + _IN_BYTE[block[row, byte], k]
+
+    def select(self, i):
+        """Value i, or those of an array of places."""
+        if np.ndim(i) == 0:
+            return int(self.select(np.array([i]))[0])
+        out = np.empty(len(i), U64)
+        for a in range(0, len(i), _MOST):
+            at = np.asarray(i[a : a + _MOST], np.int64)
+            out[a : a + _MOST] = ((self._place(at, True) - at).astype(U64) << U64(self.low_bits)) | self._lows(at)
+        return out
+
+    def find(self, values: np.ndarray, first=None, last=None) -> np.ndarray:
+        """The index of each value within its range [first, last), or -1: two selects of zeros give the run of its high part, whose low bits are searched by halves."""
         values = np.asarray(values, U64)
         out = np.full(len(values), -1, np.int64)
-        if not self.n or not len(values):
-            return out
-        if self._starts is None:
-            bits = np.unpackbits(self.high, bitorder="little")
-            zeros = np.flatnonzero(bits == 0)
-            self._starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        for a in range(0, len(values) if self.n else 0, _MOST):
+            part = slice(a, a + _MOST)
+            out[part] = self._find(values[part], 0 if first is None else first[part], self.n if last is None else last[part])
+        return out
+
+    def _find(self, values: np.ndarray, first, last) -> np.ndarray:
+        out = np.full(len(values), -1, np.int64)
         high = (values >> U64(self.low_bits)).astype(np.int64)
         low = values & U64((1 << self.low_bits) - 1)
-        inside = high < len(self._starts) - 1
+        inside = high < self.runs
         high = np.where(inside, high, 0)
-        at = np.maximum(self._starts[high], first)
-        stop = np.minimum(self._starts[high + 1], self.n if last is None else last)
+        both = self._place(np.concatenate([np.maximum(high - 1, 0), high]), False)
+        at = np.maximum(np.where(high > 0, both[: len(high)] - (high - 1), 0), first)
+        stop = np.minimum(both[len(high) :] - high, last)
         todo = np.flatnonzero(inside & (at < stop))
         end = stop.copy()
         while len(todo):

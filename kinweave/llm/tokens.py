@@ -4,8 +4,8 @@ Format. A data set is a Parquet table of segments, one row each, so that Spark's
 atomic and any Hadoop store can hold it: shard and part (segments in this order hold the documents in
 ascending id order), inner (ids in earlier segments of its shard), doc_ids (int64, little-endian), ids (all ids
 concatenated, little-endian, uint16 or uint32 by ``width``) and bounds, the Elias-Fano code of the end offset
-of each document within the segment. There is no table of 64-bit offsets: ``EliasFano.select`` finds the
-i-th bound from the high bits' select samples and the low bits, near n * (2 + log2(ids / n)) bits.
+of each document within the segment, with its select samples. There is no table of 64-bit offsets: readers find the
+i-th bound by ``EliasFano.select`` in near n * (2 + log2(ids / n)) bits, and nothing is built to read one document.
 
 Documents are ordered by id, null first, then by text; repeated rows stay. Null and empty texts hold the
 end id alone. Other columns aren't read. An empty table gives no segments.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.eliasfano import EliasFano
-from kinweave.plans.scratch import input_bytes, scratch_path, shuffle_partitions
+from kinweave.plans.scratch import scratch_path, shuffle_partitions, text_bytes
 
 SEGMENT_IDS = 1 << 21
 SHARD_BYTES = 32 << 20
@@ -41,9 +41,10 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 def _cuts_pieces(config: dict) -> bool:
     """Whether a tokenizer lower-cases, drops white space and encodes each piece of ``_PATTERN`` by itself."""
-    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    steps = (config.get("normalizer") or {}).get("normalizers", [{}])
     cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+    blanks = [{k: v for k, v in x.items() if k != "type"} for x in steps[1:2]] == [{"pattern": {"Regex": r"\s+"}, "content": " "}]
+    return blanks and [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and cuts[0].get("behavior") == "Removed" and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
 
 
 class _Cache(dict):
@@ -131,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     with open(tokenizer, encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_shards = max(shuffle_partitions(spark), -(-input_bytes(rows, "text") // shard_bytes))
+    n_shards = max(shuffle_partitions(spark), -(-text_bytes(rows, "text") // shard_bytes))
     ordered = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,8 @@ def read_tokens(spark, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 shard, inner, doc_ids, ids, width, bounds = (batch.column(c)[row].as_py() for c in range(6))
                 ids = np.frombuffer(ids, f"<u{width}")
-                ends = EliasFano.from_buffer(bounds).all().astype(np.int64)
+                code = EliasFano.from_buffer(bounds)
+                ends = code.select(np.arange(len(code))).astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends)]
                 keys = [None if k == NO_ID else k for k in np.frombuffer(doc_ids, "<i8").tolist()]
