@@ -145,16 +145,16 @@ def test_lm(spark, sample, sample_dir):
     assert {i: g[:4] for i, g in got.items()} == {i: w[:4] for i, w in want.items()}
     for i, g in got.items():
         assert g[4] == pytest.approx(want[i][4], rel=1e-9)
-        # Counts above 128 are quantised within a ratio of 10 ** 0.043.
-        assert g[5] == pytest.approx(scores[i], rel=0.01, abs=0.05 * g[1])
+        # A word's probability is the sum of two parts, each quantised within half a step of its logarithm.
+        assert abs(g[5] - scores[i]) <= 1.01 * q.ngrams.STEP / 2 * g[1]
 
 
 def test_lm_split_contexts(spark, sample_dir, monkeypatch):
     """Splitting contexts changes no score."""
     plain = by_id(q.op10_lm_score(spark, sample_dir), "score")
-    monkeypatch.setattr(q.ngrams, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(q.ngrams, "HOT_PARTS", 40)
     split = by_id(q.op10_lm_score(spark, sample_dir), "score")
-    assert all(split[i][0] == pytest.approx(plain[i][0], rel=1e-12) for i in plain)
+    assert all(split[i][0] == pytest.approx(plain[i][0], rel=2e-4) for i in plain)
 
 
 @pytest.mark.parametrize("name", sorted(q.queries()))

@@ -29,7 +29,7 @@ def test_words(texts):
 def test_elias_fano(values):
     values.sort()
     code = eliasfano.EliasFano.from_buffer(b"pad" + eliasfano.EliasFano.encode(np.array(values, np.uint64)).to_bytes(), 3)
-    assert code.all().tolist() == values and [code.select(i) for i in range(len(values))] == values
+    assert code.select(np.arange(len(values))).tolist() == values and [code.select(i) for i in range(len(values))] == values
     ask = sorted({*values, 0, 5, 1 << 62})
     found = code.find(np.array(ask, np.uint64)).tolist()
     assert all((values[i] == x) if i >= 0 else (x not in values) for x, i in zip(ask, found))
@@ -37,7 +37,35 @@ def test_elias_fano(values):
 
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(0).integers(1, 2000, 10_000))
-    assert len(eliasfano.EliasFano.encode(values).to_bytes()) < 10_000 * 13 / 8 + 100
+    assert len(eliasfano.EliasFano.encode(values).to_bytes()) < 10_000 * 13 / 8 + 300
+
+
+def test_elias_fano_builds_no_tables():
+    """Loading a code of a million values and asking it for some holds a small part of the code's own size."""
+    import tracemalloc
+
+    values = np.cumsum(np.random.default_rng(0).integers(1, 2000, 1_000_000))
+    raw = np.frombuffer(eliasfano.EliasFano.encode(values).to_bytes(), np.uint8)
+    ask = np.arange(0, len(values), 997)
+    tracemalloc.start()
+    code = eliasfano.EliasFano.from_buffer(raw)
+    assert code.select(777_777) == values[777_777] and code.find(values[ask[:1]]).tolist() == [0]
+    assert tracemalloc.get_traced_memory()[1] < 100_000
+    assert (code.select(ask) == values[ask]).all() and (code.find(values[ask]) == ask).all()
+    assert tracemalloc.get_traced_memory()[1] < 1_500_000 < len(raw)
+    tracemalloc.stop()
+
+
+def test_tokenizers_with_other_steps_are_left_to_the_library():
+    import json
+
+    config = json.loads(open(q.tokenizer_path(), encoding="utf-8").read())
+    assert tokens._cuts_pieces(config)
+    for change in ({"pattern": {"Regex": "x"}}, {"content": "_"}):
+        other = json.loads(json.dumps(config))
+        other["normalizer"]["normalizers"][1] |= change
+        assert not tokens._cuts_pieces(other)
+    assert not tokens._cuts_pieces(config | {"normalizer": None})
 
 
 @FAST
@@ -265,14 +293,28 @@ def test_token_segments(spark, tmp_path):
 
 
 def test_trie():
+    """Codes of contexts and pairs, by search; loading and asking builds no tables."""
+    import tracemalloc
+
     contexts = np.array([3, 9, 1 << 60], np.uint64)
     sizes, successors = np.array([2, 1, 3]), np.array([5, 7, 5, 0, 1, (1 << 40) - 1], np.uint64)
-    trie = ngrams.Trie(np.frombuffer(ngrams.Trie.build(contexts, sizes, successors, np.array([1, 2, 3, 128, 1000, 10**9])), np.uint8))
-    ask = np.array([3, 4, 9, 1 << 60], np.uint64)
-    owner, want = np.array([0, 0, 0, 1, 2, 2, 3, 3, 3, 3]), [1, 2, 0, 0, 3, 0, 128, 1000, 10**9, 0]
-    codes = trie.lookup(ask, owner, np.array([5, 7, 6, 5, 5, 7, 0, 1, (1 << 40) - 1, 2], np.uint64))
-    got = ngrams.COUNTS[codes]
-    assert all(g == w if w <= 128 else abs(np.log10(g / w)) < 0.044 for g, w in zip(got, want))
+    weights, logs = np.array([-0.5, -3, -11]), np.array([0, -1.25, -2, -3, -9.5, -12])
+    trie = ngrams.Trie(np.frombuffer(ngrams.Trie.build(contexts, sizes, successors, weights, logs), np.uint8))
+    owner = np.array([0, 0, 0, 1, 2, 2, 3, 3, 3, 3])
+    found, codes = trie.lookup(np.array([3, 4, 9, 1 << 60], np.uint64), owner, np.array([5, 7, 6, 5, 5, 7, 0, 1, (1 << 40) - 1, 2], np.uint64))
+    want = [10 ** logs[i] if i >= 0 else 0 for i in (0, 1, -1, -1, 2, -1, 3, 4, 5, -1)]
+    assert ngrams.PROBABILITIES[codes] == pytest.approx(want, rel=1.1 * ngrams.STEP * np.log(10) / 2)
+    assert ngrams.PROBABILITIES[found] == pytest.approx([10**-0.5, 0, 1e-3, 1e-11], rel=1.1 * ngrams.STEP * np.log(10) / 2)
+    rng = np.random.default_rng(5)
+    n = 200_000
+    contexts, sizes = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)), np.full(n, 3)
+    successors = np.sort(rng.integers(0, 1 << 40, (n, 3), dtype=np.uint64), axis=1).ravel()
+    raw = np.frombuffer(ngrams.Trie.build(contexts, sizes, successors, np.full(n, -1.0), np.full(3 * n, -2.0)), np.uint8)
+    tracemalloc.start()
+    trie = ngrams.Trie(raw)
+    found, codes = trie.lookup(contexts[::400], np.arange(500), successors[::1200])
+    assert codes.all() and tracemalloc.get_traced_memory()[1] < 1_000_000 < len(raw) / 5
+    tracemalloc.stop()
 
 
 ODD = [(None, "some text of a null id " * 20, "en", "a"), (5, "same row " * 60, "en", "a"), (5, "same row " * 60, "en", "a"), (5, "same id other text " * 30, None, None), (6, None, None, "a"), (None, None, None, None), (7, "same row " * 60, "de", "b")]
