@@ -97,25 +97,14 @@ def string_hashes(data: np.ndarray, places: np.ndarray, size: int) -> tuple[np.n
     return one, two
 
 
-def repeated_starts(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """Places of strings of ``size`` bytes that occur again and whose occurrences aren't all preceded by one and the same string.
+def repeated_starts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Those ``places`` whose string of ``size`` bytes occurs again and whose occurrences aren't all preceded by one and the same string.
 
-    Strings are told apart by 64-bit hashes. If a string and the one a byte before it occur equally often, each occurrence
-    of the later one follows one of the earlier, so every repeat that begins there can be extended to the left.
+    ``places`` have all strings that may occur again, in order. Strings are told apart by 64-bit hashes. If a string and the one
+    a byte before it occur equally often, each occurrence of the later one follows one of the earlier, so every repeat
+    that begins there can be extended to the left.
     """
-    n = len(data) - size + 1
-    if n < 2:
-        return np.empty(0, np.int64)
-    held = _doubled(data)
-    hashes = mix(held[:n])
-    for j, add in enumerate((16, 32, size - 16)):
-        hashes = mix(hashes * _ODD[9 + j] + held[add : add + n])
-    del held
-    inside = np.ones(n, bool)
-    for end in offsets[1:].tolist():
-        inside[max(0, end - size + 1) : end] = False
-    places = np.flatnonzero(inside)
-    hashes = hashes[places]
+    hashes = string_hashes(data, places, size)[0]
     order = np.argsort(hashes)
     hashes = hashes[order]
     edge = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]])) if len(hashes) else np.zeros(1, np.int64)

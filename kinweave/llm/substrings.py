@@ -119,19 +119,26 @@ class Bucket:
         self.data = np.frombuffer(b"".join(held), np.uint8)
         self.start, self.count, anchor, whole, self.doc = cells(self.data, self.offsets, size)
         self.cells = Request(anchor, whole, n_shards)
+        #: Equal strings lie in cells of equal anchors.
+        keys = self.cells.key
+        self.anchor_group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))[self.cells.group] if len(keys) else self.cells.group
 
     def open_strings(self, flags: np.ndarray):
         """(places, documents, request) of the strings in cells that no lower bucket has but whose anchor occurs in other cells. ``flags`` are the answers for distinct cells."""
-        mine = flags[self.cells.group]
-        open_cells = np.flatnonzero((mine & 3) == 2)
-        count = self.count[open_cells]
+        places, docs = self._strings(np.flatnonzero((flags[self.cells.group] & 3) == 2))
+        return places, docs, Request(*string_hashes(self.data, places, self.size), self.n_shards)
+
+    def _strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and documents of the strings in the chosen cells."""
+        count = self.count[chosen]
         begin = np.cumsum(count) - count
-        places = np.repeat(self.start[open_cells] - begin, count) + np.arange(int(count.sum()))
-        return places, np.repeat(self.doc[open_cells], count), Request(*string_hashes(self.data, places, self.size), self.n_shards)
+        return np.repeat(self.start[chosen] - begin, count) + np.arange(int(count.sum())), np.repeat(self.doc[chosen], count)
 
     def repeats(self) -> tuple[suffixes.RepeatTree, np.ndarray]:
         """The interval tree of the suffixes that begin a repeat within the bucket, up to their documents' ends, and their documents."""
-        places = repeated_starts(self.data, self.offsets, self.size)
+        again = np.bincount(self.anchor_group) > 1 if len(self.anchor_group) else np.zeros(0, bool)
+        places, _ = self._strings(np.flatnonzero(again[self.anchor_group]))
+        places = repeated_starts(self.data, self.offsets, places, self.size)
         docs = np.searchsorted(self.offsets, places, "right") - 1
         return suffixes.RepeatTree(self.data, places, self.offsets[docs + 1], self.offsets[docs], self.size), docs
 

@@ -7,16 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_STEP = 48
-
-
-def _block(data: np.ndarray, at: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The next bytes of each suffix plus 1, 0 beyond its limit, as big-endian words."""
-    place = at[:, None] + np.arange(_STEP)
-    inside = place < limits[:, None]
-    held = np.zeros((len(at), _STEP), np.uint16)
-    held[inside] = data[place[inside]].astype(np.uint16) + 1
-    return held.astype(">u2").view(">u8").astype(np.uint64)
+#: Bytes compared at once (a multiple of 8); sixteen times as many once at most ``_FEW`` suffixes are tied.
+_STEP, _FEW = 48, 128
 
 
 def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,28 +21,33 @@ def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, limits: np.ndarr
     order, lcp = np.arange(n), np.zeros(n, np.int64)
     group = np.zeros(n, np.int64)
     active, depth = np.arange(n), 0
+    data = np.concatenate([data, np.zeros(16 * _STEP, np.uint8)])
     while len(active) > 1:
         rows = order[active]
-        words = _block(data, starts[rows] + depth, limits[rows])
-        by = np.lexsort((rows, *words.T[::-1], group[active]))
-        rows, words, held = rows[by], words[by], group[active][by]
+        step = _STEP if len(rows) > _FEW else 16 * _STEP
+        at = starts[rows] + depth
+        left = np.minimum(limits[rows] - at, step)
+        held = np.lib.stride_tricks.sliding_window_view(data, step)[at]
+        # Bytes beyond the limit are zeros; of texts equal with these the shorter comes first.
+        short = np.flatnonzero(left < step)
+        held[short] *= np.arange(step) < left[short, None]
+        words = held.view(">u8").astype(np.uint64)
+        by = np.lexsort((rows, left, *words.T[::-1], group[active]))
+        rows, held, left, own = rows[by], held[by], left[by], group[active][by]
         order[active] = rows
-        same_group = np.concatenate([[False], held[1:] == held[:-1]])
-        equal = np.concatenate([[False], np.all(words[1:] == words[:-1], axis=1)])
-        units = np.ascontiguousarray(words.astype(">u8")).view(">u2").reshape(len(rows), _STEP)
-        differ = np.zeros(len(rows), np.int64)
-        if len(rows) > 1:
-            unlike = units[1:] != units[:-1]
-            differ[1:] = np.where(unlike.any(1), unlike.argmax(1), np.minimum((units[1:] > 0).sum(1), (units[:-1] > 0).sum(1)))
-        lcp[active[same_group]] = depth + differ[same_group]
-        tied = same_group & equal & (units[:, -1] > 0)
+        same = np.flatnonzero(own[1:] == own[:-1])
+        unlike = held[same + 1] != held[same]
+        common = np.minimum(np.where(unlike.any(1), unlike.argmax(1), step), np.minimum(left[same + 1], left[same]))
+        lcp[active[same + 1]] = depth + common
+        tied = np.zeros(len(rows), bool)
+        tied[same[common == step] + 1] = True
         member = tied.copy()
         member[:-1] |= tied[1:]
         label = np.cumsum(~tied)
-        active, group_new = active[member], label[member]
+        active, label = active[member], label[member]
         group = np.zeros(n, np.int64)
-        group[active] = group_new
-        depth += _STEP
+        group[active] = label
+        depth += step
     return order, lcp
 
 
