@@ -44,7 +44,7 @@ class EliasFano:
         flags[(values >> U64(low_bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little")
         before = np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(1)) - np.bitwise_count(high).reshape(-1, _BLOCK).sum(1)
-        return cls(n, low_bits, runs, np.concatenate([*low, np.zeros(8, np.uint8)]), high, before.astype("<u4"))
+        return cls(n, low_bits, runs, np.concatenate([*low, np.zeros(8 + -sum(map(len, low)) % 8, np.uint8)]), high, before.astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, self.runs, len(self.low), len(self.high)], "<u8").tobytes()
@@ -65,23 +65,20 @@ class EliasFano:
         return (held >> (bit & 7).astype(U64)) & U64((1 << self.low_bits) - 1)
 
     def _place(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """The places of the k-th ones, or zeros, in the high bits: by the counts to a block, and by its bytes' counts to the bit."""
-        at, stop = np.zeros(len(k), np.int64), np.full(len(k), len(self.before))
-        while (todo := stop - at > 1).any():
-            middle = (at + stop) >> 1
-            held = self.before[middle].astype(np.int64)
-            ahead = todo & ((held if ones else 8 * _BLOCK * middle - held) <= k)
-            at = np.where(ahead, middle, at)
-            stop = np.where(todo & ~ahead, middle, stop)
-        held = self.before[at].astype(np.int64)
-        k = k - (held if ones else 8 * _BLOCK * at - held)
-        block = self.high[(at * _BLOCK)[:, None] + np.arange(_BLOCK)]
-        block = block if ones else ~block
-        upto = np.cumsum(np.bitwise_count(block), axis=1, dtype=np.int16)
-        byte = (upto <= k[:, None]).sum(1)
-        row = np.arange(len(k))
-        k = k - np.where(byte > 0, upto[row, byte - 1], 0)
-        return (at * _BLOCK + byte) * 8 + _IN_BYTE[block[row, byte], k]
+        """The places of the k-th ones, or zeros, in the high bits: by the counts to a block, by its words' to a word, by its bytes' to the bit."""
+        before = self.before if ones else np.arange(len(self.before), dtype=np.uint32) * np.uint32(8 * _BLOCK) - self.before
+        block = np.searchsorted(before, k.astype(np.uint32), "right") - 1
+        k = k - before[block]
+        row, word = np.arange(len(k)), np.zeros(len(k), np.int64)
+        held = self.high.view("<u8")[(block * (_BLOCK // 8))[:, None] + np.arange(_BLOCK // 8)]
+        for _ in range(2):  # words of the block, then bytes of the word
+            upto = np.cumsum(np.bitwise_count(held if ones else ~held), axis=1, dtype=np.int16)
+            at = (upto <= k[:, None]).sum(1)
+            k = k - np.where(at > 0, upto[row, at - 1], 0)
+            word = 8 * word + at
+            held = np.ascontiguousarray(held[row, at]).view(np.uint8).reshape(len(k), -1)[:, :8]
+        byte = self.high[block * _BLOCK + word]
+        return (block * _BLOCK + word) * 8 + _IN_BYTE[byte if ones else ~byte, k]
 
     def select(self, i):
         """Value i, or those of an array of places."""

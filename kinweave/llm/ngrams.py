@@ -234,7 +234,11 @@ def answer(blobs: list[tuple[int, bytes]], discount: float) -> list[tuple[int, b
     new[1:] = held[1:] != held[:-1]
     begin = np.flatnonzero(new)
     sums = np.add.reduceat(np.concatenate([a[4] for _, a in asked])[order], begin) if len(begin) else begin
-    pairs = held[begin][sums > 0]
+    distinct = held[begin]
+    place = np.empty(len(held), np.int64)
+    place[order] = np.cumsum(new) - 1
+    del both, held, order, owner
+    pairs = distinct[sums > 0]
     sums = sums[sums > 0]
     after = np.bincount((pairs >> _SUCCESSOR_BITS).astype(np.int64), minlength=len(keys))
     used = after > 0
@@ -246,15 +250,15 @@ def answer(blobs: list[tuple[int, bytes]], discount: float) -> list[tuple[int, b
     with tempfile.NamedTemporaryFile(prefix="trie-") as f:
         f.write(Trie.build(keys[used], after[used], pairs & U64((1 << 40) - 1), weights, logs))
         f.flush()
-        trie = Trie(np.memmap(f.name, np.uint8, "r"))
-        at = 0
-        for bucket, (own, _, sizes, successors, _) in asked:
-            mine = node[at : at + len(own)]
-            at += len(own)
-            weights, codes = trie.lookup(own, np.repeat(np.arange(len(own)), sizes), successors)
-            raw = np.array([len(own), len(codes)], "<u8").tobytes() + _narrow(counts[mine]) + weights.tobytes() + codes.tobytes()
-            replies.append((bucket, raw))
+        trie = Trie(np.memmap(f.name, np.uint8, "r").view(np.ndarray))
+        weights, codes = trie.lookup(keys, (distinct >> _SUCCESSOR_BITS).astype(np.int64), distinct & U64((1 << 40) - 1))
         del trie
+    at = to = 0
+    for bucket, (own, _, _, successors, _) in asked:
+        mine, found = node[at : at + len(own)], place[to : to + len(successors)]
+        at, to = at + len(own), to + len(successors)
+        raw = np.array([len(own), len(found)], "<u8").tobytes() + _narrow(counts[mine]) + weights[mine].tobytes() + codes[found].tobytes()
+        replies.append((bucket, raw))
     return replies
 
 
