@@ -2,7 +2,7 @@
 
 Priorities are hashes of ids, so a colouring depends on neither the partitions nor the number of tasks.
 Up to ``LOCAL_EDGES`` edges, which are counted first, one task colours the graph on arrays; beyond, rounds
-of joins do. A distance-1 colouring is the same either way.
+of joins do. Every colouring is the same either way.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def _local(vertices: DataFrame, pairs: DataFrame, seed: int, colors: DataFrame |
         graph = kernels.Graph(src, dst, np.ones(len(src)), len(names))
         held = np.asarray(nodes.column("rank"))[order]
         found = held.astype(np.int64) if given else kernels.color_greedy(graph, held)
-        found = kernels.balance(graph, found, least_used) if balanced else found
+        found = kernels.balance(graph, found, names, least_used, seed=seed) if balanced else found
         return pa.table({"v": names, "color": pa.array(found.astype(np.int32))})
 
     one = F.lit(1).alias("one")
@@ -81,8 +81,7 @@ def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | No
     """A distance-1 colouring whose over-full colours are emptied towards the mean.
 
     In rounds of joins, vertices of colours above the mean that beat all such neighbours by hash ask for an allowed
-    colour below the mean: the first one, or the least used. As many as there is room for move. In one task
-    vertices move one by one in order of id.
+    colour below the mean: the first one, or the least used. As many as there is room for move.
     """
     pairs = materialize(_pairs(edges), "pairs")
     if pairs.count() <= local_edges:

@@ -112,10 +112,10 @@ def knn_exact(rows: DataFrame, k: int = 30, distance: str = "l2", include_self:
     return _rank(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, _ROWS), k)
 
 
-def knn_lists(rows: DataFrame, k: int = 30, distance: str = "l2", include_self: bool = True, n_lists: int | None = None, probes: int = 8, block_rows: int = 4096, sample_rows: int = 8192, seed: int = 1) -> DataFrame:
+def knn_lists(rows: DataFrame, k: int = 30, distance: str = "l2", include_self: bool = True, n_lists: int | None = None, probes: int = 8, block_rows: int = 4096, seed: int = 1) -> DataFrame:
     """Approximate neighbours: every row is in the list of its nearest centroid and searches those of its ``probes`` nearest.
 
-    Centroids are a bounded sample of rows. A list of more than ``block_rows`` rows is dealt into blocks that are
+    Centroids are a sample of ``n_lists`` rows, by default the square root of the rows', which the driver holds. A list of more than ``block_rows`` rows is dealt into blocks that are
     searched side by side, so a crowded list is split over tasks. Recall rises with ``probes``.
     """
     metric = metric_name(distance)
@@ -124,7 +124,7 @@ def knn_lists(rows: DataFrame, k: int = 30, distance: str = "l2", include_self:
     n = base.count()
     if not n:
         return _rank(spark.createDataFrame([], _ROWS), k)
-    n_lists = min(sample_rows, n_lists or max(1, math.isqrt(n)))
+    n_lists = n_lists or max(1, math.isqrt(n))
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
     picked = base.where(draw < min(1.0, 3 * n_lists / n) * (1 << 30)).orderBy(draw, "id").limit(n_lists).collect() or base.limit(1).collect()
     held = spark.sparkContext.broadcast(np.array([r["features"] for r in picked], float))
@@ -143,7 +143,7 @@ def knn_lists(rows: DataFrame, k: int = 30, distance: str = "l2", include_self:
     stored = base.mapInArrow(place, schema)
     asking = base.mapInArrow(lambda batches: place(batches, probes), schema)
     sizes = stored.groupBy(F.col("list").alias("s_list")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
-    sizes = F.broadcast(materialize(sizes, "lists"))  # one row for each list, at most sample_rows
+    sizes = F.broadcast(materialize(sizes, "lists"))  # one row for each list
     stored = stored.join(sizes, F.col("list") == F.col("s_list")).select("list", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int").alias("block"), "id", "features")
     asking = asking.join(sizes, F.col("list") == F.col("s_list")).select("list", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "id", "features")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinweave.functions import GAIN_DIGITS
 from kinweave.operators import kernels
 from kinweave.operators.coloring import color_balanced, color_distance_one, color_max_min
-from kinweave.operators.graph import coarsen, compose, vertex_following, weighted_degree
+from kinweave.operators.graph import coarsen, compose, vertex_following
 from kinweave.operators.metrics import modularity
 from kinweave.plans.scratch import materialize
 
@@ -62,16 +62,24 @@ def neighbor_comm_weights(edges: DataFrame, assign: DataFrame) -> DataFrame:
     return edges.join(to, F.col("dst") == F.col("t_v")).groupBy(F.col("src").alias("v"), "community").agg(F.sum("weight").alias("weight"))
 
 
-def best_move(edges: DataFrame, assign: DataFrame, movable: Column | None = None, total_factor: float = 1.0) -> DataFrame:
-    """v and the community that it moves to in one sweep; those that ``movable`` (on v) excludes and those without gain keep theirs."""
-    degree = weighted_degree(edges)
-    loops = edges.where("src = dst").groupBy(F.col("src").alias("l_v")).agg(F.sum("weight").alias("loop"))
-    total = edges.agg((F.sum("weight") * total_factor).alias("m2"))
-    info = assign.select(F.col("v").alias("i_v"), F.col("community").alias("own")).join(degree.withColumnRenamed("v", "d_v"), F.col("i_v") == F.col("d_v"), "left")
-    info = info.join(loops, F.col("i_v") == F.col("l_v"), "left").select("i_v", "own", F.coalesce("degree", F.lit(0.0)).alias("degree"), F.coalesce("loop", F.lit(0.0)).alias("loop"))
+def vertex_weights(edges: DataFrame) -> DataFrame:
+    """d_v, degree and loop: the weights of each vertex's edges and of its self-loops."""
+    loop = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0))
+    return edges.groupBy(F.col("src").alias("d_v")).agg(F.sum("weight").alias("degree"), loop.alias("loop"))
+
+
+def best_move(edges: DataFrame, assign: DataFrame, movable: Column | None = None, total_factor: float = 1.0, weights: DataFrame | None = None, moving: DataFrame | None = None) -> DataFrame:
+    """v and the community that it moves to in one sweep; those that ``movable`` (on v) excludes and those without gain keep theirs.
+
+    ``weights`` are the edges' ``vertex_weights`` if they are at hand. ``moving`` has the edges of the vertices that may move, if not all.
+    """
+    weights = vertex_weights(edges) if weights is None else weights
+    total = weights.agg((F.sum("degree") * total_factor).alias("m2"))
+    info = assign.select(F.col("v").alias("i_v"), F.col("community").alias("own")).join(weights, F.col("i_v") == F.col("d_v"), "left")
+    info = info.select("i_v", "own", F.coalesce("degree", F.lit(0.0)).alias("degree"), F.coalesce("loop", F.lit(0.0)).alias("loop"))
     sums = info.groupBy(F.col("own").alias("c")).agg(F.sum("degree").alias("a"), F.count("*").alias("size"))
     to, at = (sums.select(*(F.col(x).alias(f"{p}_{x}") for x in ("c", "a", "size"))) for p in ("to", "at"))
-    near = neighbor_comm_weights(edges, assign)
+    near = neighbor_comm_weights(edges if moving is None else moving, assign)
     mine = near.select(F.col("v").alias("e_v"), F.col("community").alias("e_c"), F.col("weight").alias("e_own"))
     held = info.join(mine, (F.col("i_v") == F.col("e_v")) & (F.col("own") == F.col("e_c")), "left").join(at, F.col("own") == F.col("at_c"))
     rows = near.join(held, F.col("v") == F.col("i_v")).join(to, F.col("community") == F.col("to_c")).crossJoin(total)  # one row
@@ -100,6 +108,11 @@ def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: floa
     turns = [r["color"] for r in colors.select("color").distinct().orderBy("color").collect()] if colors is not None else None
     factor = 2.0 if options.directed else 1.0
     still = None
+    weights = materialize(vertex_weights(edges), "weights")
+    if turns is not None:
+        # Each turn reads the edges of its own colour alone.
+        by_color = edges.join(colors.select(F.col("v").alias("c_v"), "color"), F.col("src") == F.col("c_v")).select("color", "src", "dst", "weight")
+        by_color = materialize(by_color.repartition("color", "src"), "by_color", ["color"])
     for round in range(options.max_rounds):
         now = _quality(edges, state)
         if round and now - previous < threshold:
@@ -107,12 +120,10 @@ def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: floa
         previous, before = now, state
         if turns is not None:
             for color in turns:
-                held = state.join(colors.select(F.col("v").alias("c_v"), "color"), F.col("v") == F.col("c_v"))
-                moved = best_move(edges, state).select(F.col("v").alias("n_v"), F.col("community").alias("n_c"))
-                state = materialize(held.join(moved, F.col("v") == F.col("n_v")).select("v", F.when(F.col("color") == color, F.col("n_c")).otherwise(F.col("community")).alias("community")), "assign")
+                state = materialize(best_move(edges, state, weights=weights, moving=by_color.where(F.col("color") == color)), "assign")
             continue
         movable = _share(F.col("v"), round if options.redraw else min(round, 1), options.percent) if options.percent < 100 else None
-        moved = best_move(edges, state, movable, factor)
+        moved = best_move(edges, state, movable, factor, weights)
         if options.sync == 3:
             if still is None:
                 still = materialize(state.select("v", F.lit(0).alias("still")), "still")
@@ -127,14 +138,20 @@ def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: floa
     return before, previous
 
 
-def _local_phase(graph: kernels.Graph, start: np.ndarray, options: Options, threshold: float, colored: bool, names: np.ndarray, priority: np.ndarray):
+def _colors(graph: kernels.Graph, names: np.ndarray, options: Options) -> np.ndarray:
+    """The colours that the operators in ``coloring`` give the graph."""
+    if options.coloring == 3 and options.sync == 0:
+        return kernels.color_max_min(graph, names, options.num_colors)
+    colors = kernels.color_greedy(graph, kernels.row_hash(names, 1))
+    return kernels.balance(graph, colors, names) if options.coloring == 2 and options.sync == 0 else colors
+
+
+def _local_phase(graph: kernels.Graph, start: np.ndarray, options: Options, threshold: float, colored: bool, names: np.ndarray):
     rounds = options.max_rounds
     if options.sync in (1, 4):
         return kernels.serial(graph, start, threshold, rounds, early=options.sync == 4)[:2]
     if colored or options.sync == 2:
-        colors = kernels.color_greedy(graph, priority)
-        if options.coloring == 3 and options.sync != 2:
-            colors = np.minimum(colors, max(1, options.num_colors) - 1)
+        colors = _colors(graph, names, options)
         order = np.argsort(colors, kind="stable")
         turns = np.split(order, np.searchsorted(colors[order], np.arange(1, colors.max(initial=0) + 1)))
         return kernels.in_turns(graph, start, threshold, rounds, turns)[:2]
@@ -142,11 +159,6 @@ def _local_phase(graph: kernels.Graph, start: np.ndarray, options: Options, thre
     return kernels.jacobi(graph, start, threshold, rounds, eligible, early=options.sync == 3)[:2]
 
 
-def _mix(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def run_local(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, options: Options, start: dict[int, int] | None = None, phase: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """(ids, communities named by their least member, modularity) of a graph in arrays."""
     names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -175,7 +187,7 @@ def run_local(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, options: Opt
     previous, best = graph.modularity(current), current[total]
     for k in range(phase, options.max_phases):
         use_color = colored and (k == 0 or graph.n > options.min_graph_size)
-        own, quality = _local_phase(graph, current, options, options.c_threshold if use_color else options.threshold, use_color, own_names, _mix(own_names))
+        own, quality = _local_phase(graph, current, options, options.c_threshold if use_color else options.threshold, use_color, own_names)
         gained = quality - previous > options.threshold
         if gained:
             best, previous = own[total], quality

@@ -10,9 +10,6 @@ from kinweave.operators.links import dedup_links, jaccard_links
 from kinweave.operators.louvain import Options, louvain
 from kinweave.plans.scratch import materialize
 
-#: Above this many rows neighbours are approximate.
-EXACT_ROWS = 100_000
-
 
 def fast_cluster(
     data: DataFrame,
@@ -32,18 +29,21 @@ def fast_cluster(
     threshold: float = 1e-9,
     sync_type: int = 0,
     basic_opt: int = 1,
-    exact_rows: int = EXACT_ROWS,
+    neighbors: str = "exact",
 ) -> DataFrame:
     """id, community and modularity from rows of id (from 1) and features.
 
-    ``ef`` (at least k, at most the rows) sets how many lists a row searches beyond ``exact_rows`` rows, and
-    ``ef_construction`` how many rows there are to a list; ``M`` is accepted for compatibility, as are
+    Neighbours are exact at every size unless ``neighbors`` is "lists": then ``ef`` (at least k, at most the rows) sets how many
+    lists a row searches and ``ef_construction`` how many rows there are to a list, and their recall has to be measured
+    (``knn_exact`` on a sample of queries); ``M`` is accepted for compatibility, as are
     ``num_threads``, ``grain_size``, ``verbose``, ``progress`` and ``basic_opt``: Spark's own settings decide.
     """
     rows = materialize(data.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")), "features")
     n = rows.count()
     ef_construction, ef = min(max(k, ef_construction), n), min(max(k, ef or k), n)
-    if n <= exact_rows:
+    if neighbors not in ("exact", "lists"):
+        raise ValueError("neighbors is 'exact' or 'lists'")
+    if neighbors == "exact":
         near = knn_exact(rows, min(k, max(n, 1)), distance)
     else:
         near = knn_lists(rows, k, distance, n_lists=max(1, n // max(1, ef_construction)), probes=max(4, ef // 4))

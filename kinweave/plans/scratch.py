@@ -40,11 +40,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinweave-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+def materialize(df: DataFrame, name: str = "table", folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of the columns ``folders``, and return the table read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,12 +29,26 @@ def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a coordinate matrix as edges (pattern entries weigh 1); the line of sizes after the comments is left out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), r"\s+")
+    """Entries of a coordinate matrix as edges (pattern entries weigh 1).
+
+    The first line after the comments holds the sizes and is left out; entries that read the same stay. Entries of a matrix whose
+    header says symmetric or skew-symmetric are mirrored, except those on the diagonal, with the sign turned for the latter.
+    """
+    text = spark.read.text(path)
+    header = text.where(F.col("value").startswith("%%MatrixMarket")).first()
+    kind = header["value"].lower().split()[-1] if header else "general"
+    lines = text.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     sizes = lines.first()
-    rows = lines.where(F.col("value") != F.lit(sizes["value"] if sizes else ""))
-    return rows.select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
+    if sizes is None:
+        return spark.createDataFrame([], _EDGE)
+    alike = lines.where(F.col("value") == sizes["value"])
+    rows = lines.where(F.col("value") != sizes["value"]).union(alike.limit(alike.count() - 1))
+    parts = F.split(F.trim("value"), r"\s+")
+    entries = rows.select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
+    if kind not in ("symmetric", "skew-symmetric"):
+        return entries
+    sign = F.lit(1.0 if kind == "symmetric" else -1.0)
+    return entries.union(entries.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * sign).alias("weight")))
 
 
 def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:

@@ -130,6 +130,31 @@ def test_colorings(spark, local):
     assert few.agg(F.max("color")).first()[0] <= 8
 
 
+def test_colorings_at_both_sizes(spark):
+    """A colouring is the same on arrays and in rounds of joins, and Louvain takes it as it is."""
+    rng = np.random.default_rng(3)
+    edges = graph.build_graph(frame(spark, cliques(5, 5) + [(int(a), int(b), 1.0) for a, b in rng.integers(1, 60, (40, 2)) if a != b]))
+    nodes = vertices_of(spark, range(1, 60))
+    rows = lambda df: sorted((r["v"], r["color"]) for r in df.collect())
+    for least in (False, True):
+        assert rows(coloring.color_balanced(nodes, edges, least_used=least)) == rows(coloring.color_balanced(nodes, edges, least_used=least, local_edges=0))
+    ids = np.array([r["v"] for r in edges.select(F.col("src").alias("v")).distinct().orderBy("v").collect()])
+    held = [tuple(r) for r in edges.collect()]
+    src, dst, weight = (np.array(x) for x in zip(*held))
+    small = kernels.Graph(np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, len(ids))
+    own = spark.createDataFrame([(int(i),) for i in ids], "v long")
+    for options, far in ((louvain.Options(coloring=3, num_colors=8), coloring.color_max_min(own, edges, 8)), (louvain.Options(coloring=2), coloring.color_balanced(own, edges, local_edges=0)), (louvain.Options(), coloring.color_distance_one(own, edges, local_edges=0))):
+        assert list(zip(ids.tolist(), louvain._colors(small, ids, options).tolist())) == rows(far)
+    hashes = spark.range(-3, 4).select("id", F.xxhash64("id", F.lit(1), F.lit(7)).alias("h")).collect()
+    assert kernels.row_hash(np.array([r["id"] for r in hashes]), 1, 7).tolist() == [r["h"] for r in hashes]
+
+
+def test_rcm_raises_rather_than_losing_vertices(spark):
+    edges = graph.build_graph(frame(spark, [(i, i + 1, 1.0) for i in range(1, 12)]))
+    with pytest.raises(RuntimeError):
+        ordering.reverse_cuthill_mckee(vertices_of(spark, range(1, 13)), edges, max_levels=5)
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]

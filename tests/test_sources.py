@@ -27,6 +27,8 @@ def test_edge_list(spark, tmp_path):
 def test_other_formats(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n3 3 2\n1 2 0.5\n3 1 2\n")
     assert rows(sources.read_matrix_market(spark, f"{tmp_path}/m.mtx")) == [(1, 2, 0.5), (3, 1, 2.0)]
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n% x\n3 3 4\n1 1 2\n3 3 4\n2 1 0.5\n3 3 4\n")
+    assert rows(sources.read_matrix_market(spark, f"{tmp_path}/s.mtx")) == [(1, 1, 2.0), (1, 2, 0.5), (2, 1, 0.5), (3, 3, 4.0), (3, 3, 4.0)]
     (tmp_path / "d.gr").write_text("c x\np sp 3 2\na 1 2 7\na 2 3 1\n")
     assert rows(sources.read_dimacs(spark, f"{tmp_path}/d.gr")) == [(1, 2, 7.0), (2, 3, 1.0)]
     (tmp_path / "f.csv").write_text("id,x,y\n1,0.5,2\n2,1,3\n")
