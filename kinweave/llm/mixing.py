@@ -7,8 +7,10 @@ epoch in its source's target. What is left is drawn by Efraimidis-Spirakis sampl
 quality weight w and uniform u gets the key -ln(u)/w, and the smallest keys are taken until the prefix
 sum of sizes meets the rest of the budget (the document on the edge if at least half of it fits).
 
-u comes from md5 of the id, so reruns agree. No source is sorted in one task: keys fall into
-sqrt(rows) ranges, sizes are summed for each range first, and only rows of one range are sorted together.
+u comes from md5 of the id, so reruns agree. No source is sorted in one task: with a source's keys in units of their
+mean, x, its rows fall into sqrt(rows) ranges of x / (1 + x). Keys are exponential with rates from 0.05 to 1, so a range has at
+most about six times the mean range's rows whatever a source's weights (1.5 times if they are equal). Sizes are
+summed for each range first, and only rows of one range are sorted together. Sources are compared in one task, a row each.
 
 Null text has size 0. A null id hashes as "null". Repeated rows have equal keys, and are ordered by id and
 size; rows equal in these can be exchanged. Sizes of zero take no words but follow the copies. Extra
@@ -21,9 +23,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinweave.llm.rows import whole_row
 from kinweave.plans.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
+#: Sources whose mean keys are broadcast, a row each; more are joined.
+BROADCAST_SOURCES = 100_000
 #: Characters that count against a document's quality weight.
 _JUNK = "#*$%&|<>!"
 
@@ -65,7 +70,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     )
     sizes = materialize(sizes, "mix")
     n_ranges = max(1, math.isqrt(sizes.count()))
-    ranged = sizes.withColumn("range", F.least(F.lit(n_ranges - 1), F.floor(F.lit(n_ranges) * (1 - F.exp(-F.col("key"))))).cast("long"))
+    means = materialize(sizes.groupBy(F.col("source").alias("k_source")).agg(F.avg("key").alias("mean_key")), "means")
+    means = F.broadcast(means) if means.count() <= BROADCAST_SOURCES else means
+    unit = F.col("key") / F.col("mean_key")
+    ranged = sizes.join(means, F.col("source").eqNullSafe(F.col("k_source"))).withColumn("range", F.least(F.lit(n_ranges - 1), F.floor(F.lit(n_ranges) * (unit / (1 + unit)))).cast("long")).drop("k_source", "mean_key")
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(running), F.lit(0))).drop("range_size")
@@ -92,6 +100,6 @@ def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("m_copies"))
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id).alias("d_id"), F.col(source).alias("d_source"), size.cast("long").alias("d_size"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id).alias("d_id"), F.col(source).alias("d_source"), size.cast("long").alias("d_size"))
     taken = rows.join(plan, rows["d_id"].eqNullSafe(plan["m_id"]) & rows["d_source"].eqNullSafe(plan["m_source"]) & (rows["d_size"] == plan["m_size"]))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col("row")[name].alias(name) for name in names))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from kinweave.llm import textbytes as tb
+from kinweave.llm.rows import whole_row
 from kinweave.llm.simhash import BUCKET_ROWS, _runs, link_edges, majority, shingle_hashes
 from kinweave.operators.components import connected_components
 from kinweave.plans.scratch import materialize
@@ -168,6 +169,6 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", **option
     least = texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull().alias("empty"), "text", *ROW_KEY)).alias("key"))
     chosen = materialize(roots.where("n = 1").select(*(f"key.{c}" for c in ROW_KEY)).union(least.select(*(f"key.{c}" for c in ROW_KEY))), "chosen")
     names = docs.columns
-    rows = docs.select(*row_key(F.col(id), F.col(text)), F.struct(*names).alias("row")).join(chosen, ROW_KEY)
+    rows = docs.select(*row_key(F.col(id), F.col(text)), whole_row(docs).alias("row")).join(chosen, ROW_KEY)
     one = rows.groupBy(*ROW_KEY).agg(F.first("row").alias("row"))
     return one.select(*(F.col("row")[name].alias(name) for name in names))
