@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.llm.rows import numbered
+
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -96,15 +98,21 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def plan_cascade(texts: list[bytes | None], rules: list[Rule]) -> list[Rule]:
-    """The rules by rejections per second on the sample, highest first; ties and no sample keep the given order."""
-    scores = {}
+def measure(texts: list[bytes | None], rules: list[Rule]) -> list[tuple[str, int, float]]:
+    """(name, rejected texts, seconds) of each rule by itself."""
+    out = []
     for rule in rules:
         pages = [Page(text) for text in texts]
         began = time.perf_counter()
         rejected = sum(rule.rejects(page) for page in pages)
-        scores[rule.name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return sorted(rules, key=lambda rule: -scores[rule.name])
+        out.append((rule.name, rejected, time.perf_counter() - began))
+    return out
+
+
+def plan_cascade(measured: list[tuple[str, int, float]], rules: list[Rule]) -> list[Rule]:
+    """The rules by rejections per second, highest first; ties and no measures keep the given order."""
+    scores = {name: rejected / max(seconds, 1e-9) for name, rejected, seconds in measured}
+    return sorted(rules, key=lambda rule: -scores.get(rule.name, 0.0))
 
 
 def first_rejection(page: Page, cascade: list[Rule]) -> str | None:
@@ -112,15 +120,24 @@ def first_rejection(page: Page, cascade: list[Rule]) -> str | None:
     return next((rule.name for rule in cascade if rule.rejects(page)), None)
 
 
-def _sample(docs: DataFrame, text: str, rows: int) -> list[bytes | None]:
-    """At most ``rows`` texts from all partitions; only costs and the order depend on them."""
-    picked = docs.select(F.col(text).alias("t")).sample(fraction=0.02, seed=7).limit(rows).collect()
-    return [row["t"].encode() if row["t"] is not None else None for row in picked]
+def sample_measures(docs: DataFrame, text: str, rules: list[Rule], rows: int) -> list[tuple[str, int, float]]:
+    """Measures of about ``rows`` texts drawn by hash from all documents, taken where the texts are; only the order depends on them."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    picked = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure([t.as_py() for t in batch.column(0).cast(pa.large_binary())], rules)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64(), pa.float64()))], ["name", "rejected", "seconds"])
+
+    sums = picked.mapInArrow(scan, "name string, rejected long, seconds double").groupBy("name").agg(F.sum("rejected"), F.sum("seconds"))
+    return [tuple(r) for r in sums.collect()]
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    cascade = plan_cascade(_sample(docs, text, sample_rows), rules or default_rules())
+    rules = rules or default_rules()
+    cascade = plan_cascade(sample_measures(docs, text, rules, sample_rows), rules)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +145,8 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: list[Rule] | None
             texts = batch.column(at).cast(pa.large_binary())
             yield batch.filter(pa.array([first_rejection(Page(t.as_py()), cascade) is None for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -138,7 +156,7 @@ def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text", rule
     it doesn't depend on the order that was measured.
     """
     given = rules or default_rules()
-    cascade = plan_cascade(_sample(docs, text, sample_rows), given)
+    cascade = plan_cascade(sample_measures(docs, text, given, sample_rows), given)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
