@@ -5,9 +5,10 @@ consecutive words of a benchmark item is a window; an item of fewer words, but n
 A scan of the documents looks the hashes of its word windows up in the set, compares the words of each
 hit, and marks the words inside verified windows.
 
-The set is broadcast only while the benchmark's text is at most ``broadcast_bytes``. A larger benchmark
+The set is broadcast only while the index's own size is at most ``broadcast_bytes``. A larger benchmark
 is dealt by hash into blocks below that bound; the documents are then marked by one block after the
-other, each pass written to the shared folder, so that memory stays bounded at any size.
+other, each pass written to the shared folder, so that memory stays bounded at any size. Marks are on the whole texts, so
+the blocks don't change a result.
 
 Null text has no words. Items with a null id mark words but aren't listed; repeated item ids count once.
 Repeated documents are marked each on its own. Other columns are neither read nor changed.
@@ -17,41 +18,63 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kinweave.llm import textbytes as tb
+from kinweave.llm.rows import numbered
 from kinweave.plans.scratch import materialize
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
+#: Memory of an index for each word, and windows whose bytes are compared at once.
+_WORD_BYTES, _VERIFY = 64, 4096
 
 
 class WindowIndex:
-    """All windows of some items, by length: sorted hashes and for each the items and words."""
+    """All windows of some items, by length: distinct windows by hash, with the place of one occurrence and the items of all."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            words = normal_words(text)
-            size = min(n, len(words))
-            hashes = [tb.U64(tb.hash_text(w)) for w in words]
-            for i in range(len(words) - size + 1 if words else 0):
-                key = int(tb.combine(*(np.array([h]) for h in hashes[i : i + size]))[0])
-                found[size][key][tuple(words[i : i + size])] |= {item} - {None}
-        self.by_size = {size: (np.array(sorted(by_hash), np.uint64), {h: dict(w) for h, w in by_hash.items()}) for size, by_hash in found.items()}
-        firsts = {int(h) for by_hash in found.values() for words in by_hash.values() for w in words for h in map(tb.hash_text, w)}
-        self.vocabulary = np.array(sorted(firsts), np.uint64)
-
-
-def normal_words(text: str | None) -> list[bytes]:
-    data, offsets = tb.text_bytes(pa.array([text], pa.string()))
-    data = tb.lower(data)
-    starts, ends, _ = tb.word_spans(data, offsets, tb.ALNUM)
-    return [data[a:b].tobytes() for a, b in zip(starts, ends)]
+        data, offsets = tb.text_bytes(pa.array([text for _, text in items], pa.string()))
+        self.data = tb.lower(data)
+        self.starts, self.ends, first = tb.word_spans(self.data, offsets, tb.ALNUM)
+        self.names = [item for item, _ in items]
+        hashes = tb.word_hashes(self.data, self.starts, self.ends)
+        self.vocabulary = np.unique(hashes)
+        counts = np.diff(first)
+        item = np.repeat(np.arange(len(items)), counts)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(counts, n)).tolist():
+            if not size:
+                continue
+            fits = np.minimum(counts, n)[item] == size
+            at = np.flatnonzero(fits & (np.arange(len(item)) + size <= first[1:][item]))
+            one, two = tb.combine(*(hashes[at + j] for j in range(size))), tb.combine(*(~hashes[at + j] for j in range(size)))
+            order = np.lexsort((item[at], two, one))
+            at, one, two = at[order], one[order], two[order]
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            begin = np.flatnonzero(new)
+            self.by_size[size] = (one[begin], at[begin], np.append(begin, len(at)), item[at].astype(np.int32))
+
+    def same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, here: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+        """Whether the ``size`` words at ``here`` of a text have the bytes of those at ``there`` of the items."""
+        words = np.arange(size)
+        a, b = here[:, None] + words, there[:, None] + words
+        lengths = ends[a] - starts[a]
+        ok = (lengths == self.ends[b] - self.starts[b]).all(1)
+        for lo in range(0, len(here), _VERIFY):
+            rows = lo + np.flatnonzero(ok[lo : lo + _VERIFY])
+            if not len(rows):
+                continue
+            n = lengths[rows].ravel()
+            begin = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(begin, n)
+            equal = data[np.repeat(starts[a[rows]].ravel(), n) + place] == self.data[np.repeat(self.starts[b[rows]].ravel(), n) + place]
+            ok[rows] = np.logical_and.reduceat(equal, begin).reshape(-1, size).all(1)
+        return ok
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -68,7 +91,7 @@ def mark(data: np.ndarray, offsets: np.ndarray, index: WindowIndex):
     hashes = tb.word_hashes(data, starts, ends)
     known = _among(hashes, index.vocabulary)
     doc = tb.spread(first, len(starts))
-    for size, (table, windows) in index.by_size.items():
+    for size, (table, places, bounds, owners) in index.by_size.items():
         if len(starts) < size:
             continue
         m = len(starts) - size + 1
@@ -76,24 +99,34 @@ def mark(data: np.ndarray, offsets: np.ndarray, index: WindowIndex):
         at = np.flatnonzero((run[size:] - run[:m] == size) & (doc[size - 1 :] == doc[:m]))
         if not len(at):
             continue
-        at = at[_among(keys := tb.combine(*(hashes[at + j] for j in range(size))), table)] if len(at) else at
-        keys = tb.combine(*(hashes[at + j] for j in range(size))) if len(at) else keys[:0]
-        for i, key in zip(at.tolist(), keys.tolist()):
-            words = tuple(data[starts[j] : ends[j]].tobytes() for j in range(i, i + size))
-            if (found := windows[key].get(words)) is not None:
-                hit[i : i + size] = True
-                items[doc[i]] |= found
-    return starts, ends, first, hit, items
-
-
-def _indexes(benchmark: DataFrame, item: str, text: str, n: int, bound: int) -> Iterator[WindowIndex]:
-    """One index for each block of items; one block if the texts' size is within the bound."""
+        keys = tb.combine(*(hashes[at + j] for j in range(size)))
+        low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+        at, low, high = at[high > low], low[high > low], high[high > low]
+        # Windows of equal hash but other words are told apart by their bytes.
+        window = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        at = np.repeat(at, high - low)
+        ok = index.same(data, starts, ends, at, places[window], size)
+        at, window = at[ok], window[ok]
+        for j in range(size):
+            hit[at + j] = True
+        found = np.unique(doc[at] * np.int64(len(places)) + window)
+        for d, w in zip((found // len(places)).tolist(), (found % len(places)).tolist()):
+            items[d].update(owners[bounds[w] : bounds[w + 1]].tolist())
+    return starts, ends, first, hit, [{index.names[i] for i in mine} - {None} for mine in items]
+
+
+def _indexes(benchmark: DataFrame, item: str, text: str, n: int, bound: int) -> Iterator[tuple[bool, WindowIndex]]:
+    """(whether it is the last, index) for each block of items; an index takes about ``_WORD_BYTES`` for each word beside the text.
+
+    Items are dealt by hash of their texts; an item is never split, so one that is larger than the bound makes an index of its size.
+    """
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    size = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
+    words = F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    size = rows.select(F.sum(F.octet_length("t") + _WORD_BYTES * words)).first()[0] or 0
     n_blocks = max(1, math.ceil(2 * size / bound)) if size > bound else 1
     for b in range(n_blocks):
         block = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == b)
-        yield WindowIndex([(r["i"], r["t"]) for r in block.toLocalIterator()], n)
+        yield b == n_blocks - 1, WindowIndex([(r["i"], r["t"]) for r in block.toLocalIterator()], n)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -101,7 +134,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: s
     spark = docs.sparkSession
     base = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = base.schema
-    for k, index in enumerate(_indexes(benchmark, item, item_text, n, broadcast_bytes)):
+    for k, (_, index) in enumerate(_indexes(benchmark, item, item_text, n, broadcast_bytes)):
         held = spark.sparkContext.broadcast(index)
         base = materialize(base, "hits") if k else base
 
@@ -137,29 +170,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """``docs`` without contaminated rows (mode "document") or without the hit words (mode "span").
 
     All columns stay. In mode "span" the bytes from the first to the last word of each hit run go and
-    the rest of the text stays as it is. Blocks of a large benchmark are applied one after the other;
-    in mode "span" each pass sees what the earlier ones left.
+    the rest of the text stays as it is.
     """
     if mode not in ("document", "span"):
         raise ValueError("mode is 'document' or 'span'")
-    spark, at = docs.sparkSession, docs.columns.index(text)
-    out = docs
-    for k, index in enumerate(_indexes(benchmark, item, item_text, n, broadcast_bytes)):
+    spark, at, plain = docs.sparkSession, docs.columns.index(text), numbered(docs)
+    names, out = plain.columns, None
+    for last, index in _indexes(benchmark, item, item_text, n, broadcast_bytes):
         held = spark.sparkContext.broadcast(index)
-        out = materialize(out, "clean") if k else out
 
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], held=held, last=last, before=out is not None) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = tb.text_bytes(batch.column(at))
                 for a, b in tb.blocks(offsets):
                     lo, hi = offsets[a], offsets[b]
                     starts, ends, first, hit, _ = mark(data[lo:hi], offsets[a : b + 1] - lo, held.value)
                     part = batch.slice(a, b - a)
+                    if before:
+                        for d, old in enumerate(part.column(len(names)).to_pylist()):
+                            hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(old, np.uint8), count=first[d + 1] - first[d]).astype(bool)
+                    columns = [part.column(i) for i in range(len(names))]
+                    if not last:
+                        packed = pa.array([np.packbits(hit[i:j]).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*columns, packed], [*names, "marks"])
+                        continue
                     dirty = [bool(hit[i:j].any()) for i, j in zip(first[:-1], first[1:])]
                     if mode == "document":
-                        yield part.filter(pa.array([not x for x in dirty], pa.bool_()))
+                        yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not x for x in dirty], pa.bool_()))
                         continue
-                    texts = part.column(at).to_pylist()
+                    texts = columns[at].to_pylist()
                     for d in np.flatnonzero(dirty):
                         keep = np.ones(offsets[a + d + 1] - offsets[a + d], bool)
                         base, flags = offsets[a + d] - lo, hit[first[d] : first[d + 1]]
@@ -167,7 +206,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                         for i, j in zip(edges[::2], edges[1::2]):
                             keep[starts[first[d] + i] - base : ends[first[d] + j - 1] - base] = False
                         texts[d] = data[lo + base : lo + base + len(keep)][keep].tobytes().decode()
-                    yield part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                    columns[at] = pa.array(texts, columns[at].type)
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+        schema = plain.schema if last else StructType([*plain.schema.fields, StructField("marks", BinaryType())])
+        out = (plain if out is None else materialize(out, "marks")).mapInArrow(clean, schema)
+    return out.toDF(*docs.columns)
