@@ -54,7 +54,7 @@ KINDS = (
     Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN_BODY}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))", "[A-Z][A-Z][0-9][0-9]", 0.4, 0.5, "iban|account|konto|compte|cuenta|bank", 0.1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.5, 0.0, "ssn|social security|tax id", 0.4),
     Kind("phone2", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "[0-9][.-][0-9]", 0.4, 0.0, "phone|call|tel|fax|mobile", 0.3),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])", "[0-9a-f]{32}|AKIA|ghp_|sk-", 0.4, 0.0, "token|secret|password|passwd|api[_ -]?key|credential", 0.4),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])", "[0-9a-f]{32}|AKIA|ghp_|sk-", 0.4, 0.0, "token|secret|password|passwd|api[_ -]?key|credential", 0.4),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
 
