@@ -7,7 +7,7 @@ gives every word a distribution over languages. A document's language is that wi
 is also its score.
 
 The field is fitted on the driver by gradient ascent on a bounded sample: for each language at most
-``SAMPLE_DOCS`` labelled documents by hash of their id, and of each ``WINDOWS`` windows of ``WINDOW`` words
+``sample_docs`` labelled documents by hash of their id, and of each ``windows`` windows of ``window`` words
 spread over the whole text. Training sequences join two windows, of different languages in a third of
 the cases, so transitions between languages are learned too. The model has a fixed size and is broadcast.
 
@@ -29,6 +29,8 @@ from kinweave.llm import textbytes as tb
 
 FOLDS, HELD_FOLD = 4, 2
 SAMPLE_DOCS, WINDOWS, WINDOW = 300, 6, 24
+#: Text without spaces is cut into words of so many bytes, a multiple of two, three and four.
+WORD_BYTES = 60
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-6
 ROWS = 1 << 18
 UNKNOWN = "und"
@@ -41,9 +43,16 @@ _ODD = tb.powers(12)[1:]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray):
-    """(lower-case bytes, word starts, word ends, first word of each document)."""
+    """(lower-case bytes, word starts, word ends, first word of each document); a run of over ``WORD_BYTES`` is cut into words of that many."""
     data = tb.lower(data)
-    return data, *tb.word_spans(data, offsets, _LETTERS)
+    starts, ends, first = tb.word_spans(data, offsets, _LETTERS)
+    pieces = -(-(ends - starts) // WORD_BYTES)
+    if len(pieces) and pieces.max() > 1:
+        place = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, ends = np.repeat(starts, pieces) + WORD_BYTES * place, np.repeat(ends, pieces)
+        ends = np.minimum(ends, starts + WORD_BYTES)
+        first = np.searchsorted(starts, offsets)
+    return data, starts, ends, first
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,19 +218,20 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
-def _windows(text: bytes) -> list[list[bytes]]:
+def _windows(text: bytes, windows: int, window: int) -> list[list[bytes]]:
     data = np.frombuffer(text, np.uint8)
     data, starts, ends, _ = words_of(data, np.array([0, len(data)]))
-    short = ends - starts <= 64
-    starts, ends = starts[short], ends[short]
     if not len(starts):
         return []
-    at = np.unique(np.linspace(0, max(0, len(starts) - WINDOW), WINDOWS).astype(int))
-    return [[data[a:b].tobytes() for a, b in zip(starts[i : i + WINDOW], ends[i : i + WINDOW])] for i in at]
+    at = np.unique(np.linspace(0, max(0, len(starts) - window), windows).astype(int))
+    return [[data[a:b].tobytes() for a, b in zip(starts[i : i + window], ends[i : i + window])] for i in at]
 
 
-def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field from the labelled documents outside the held-out fold."""
+def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, window: int = WINDOW) -> Field | None:
+    """A field from the labelled documents outside the held-out fold: ``windows`` of ``window`` words from each of ``sample_docs`` documents a language.
+
+    The driver holds these windows, so its memory grows with the number of languages.
+    """
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -233,16 +243,16 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [[b" ".join(w) for w in _windows(t.as_py())] for t in batch.column(1).cast(pa.large_binary())]
+            held = [[b" ".join(w) for w in _windows(t.as_py(), windows, window)] for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.list_(pa.binary()))], ["lang", "draw", "windows"])
 
     found = sorted(tuple(r) for r in picked.mapInArrow(cut, "lang string, draw long, windows array<binary>").collect())
-    windows, taken = [], dict.fromkeys(counts, 0)
+    chosen, taken = [], dict.fromkeys(counts, 0)
     for name, _, held in found:
         if taken[name] < sample_docs:
             taken[name] += 1
-            windows += [(name, bytes(w).split()) for w in held]
-    return fit(windows)
+            chosen += [(name, bytes(w).split()) for w in held]
+    return fit(chosen)
 
 
 def identify(docs: DataFrame, field: Field | None, id: str = "doc_id", text: str = "text") -> DataFrame:

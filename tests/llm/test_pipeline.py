@@ -60,7 +60,7 @@ def test_odd_rows(spark, tmp_path):
     """Null ids, repeated rows and ids, and columns named like inner ones go through every stage."""
     text = " ".join(f"word{i} of text" for i in range(60))
     data = [(None, text, None, 1), (None, text, "a", 1), (1, text + " more", "a", 2), (1, text + " more", "a", 2), (2, "other " + " ".join(f"thing{i} is here" for i in range(60)), None, 3), (3, None, "b", 4)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string, size int").selectExpr("*", "'x' AS row", "0 AS copies", "1 AS m_id", "2 AS d_key")
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, size int").selectExpr("*", "'x' AS row", "0 AS copies", "1 AS m_id", "2 AS d_key", "3 AS `a.b`")
     docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "nothing here matches")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in cp.STAGES[:-1]:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from kinweave.llm import cells, decontaminate, eliasfano, mixing, ngrams, pii, quality, queries as q, simhash, substrings, suffixes, textbytes as tb, tokens
+from kinweave.llm import cells, decontaminate, eliasfano, language, mixing, ngrams, pii, quality, queries as q, simhash, substrings, suffixes, textbytes as tb, tokens
 from tests.llm import brute
 
 FAST = settings(max_examples=60, deadline=None)
@@ -190,6 +190,57 @@ def test_span_removal(spark):
     assert got == {1: "Keep this, Then ! And this.", 2: "nothing", 3: None}
 
 
+def test_span_removal_in_blocks(spark):
+    """Overlapping items remove the same words whichever block they are in."""
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n o y", 5, 1)], "doc_id long, text string, hits int, `a.b` int")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "f g h i j k l m n o"), (None, "never there at all")], "item_id long, text string")
+    for bound in (1 << 20, 100):
+        assert [tuple(r) for r in decontaminate.decontaminate(docs, items, mode="span", broadcast_bytes=bound).collect()] == [(1, "x  y", 5, 1)]
+
+
+def test_window_index_stays_near_its_estimate():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for i in range(2000)]
+    text, words = sum(len(t) for _, t in items), 60 * len(items)
+    tracemalloc.start()
+    index = decontaminate.WindowIndex(items, 10)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < text + decontaminate._WORD_BYTES * words and most < 6 * held
+    assert len(index.by_size[10][0]) == 51 * len(items)
+
+
+def test_mixing_ranges_are_even_at_any_weight(spark, monkeypatch):
+    """Of a source of junk texts no range holds over three times the mean."""
+    seen = {}
+    plain = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: seen.setdefault(name, plain(df, name)))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'#####' AS text", "CASE WHEN id % 2 = 0 THEN 'a' END AS source")
+    mixing.mix(docs)
+    keys = {s: np.sort([r["key"] for r in seen["mix"].collect() if r["source"] == s]) for s in ("a", None)}
+    for k in keys.values():
+        x = k / k.mean()
+        ranges = np.floor(20 * x / (1 + x))
+        assert k.mean() > 15 and np.bincount(ranges.astype(int)).max() < 3 * len(k) / 20
+
+
+def test_text_without_spaces_is_learned(spark):
+    han, kana = "的一是不了人我在有他这中大来上国", "あいうえおかきくけこさしすせそた"
+    rng = np.random.default_rng(1)
+    docs = [(i, "".join(rng.choice(list(abc), 200)), lang) for i, (abc, lang) in enumerate([(han, "zh"), (kana, "ja")] * 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, language.train(df)).collect()}
+    assert sum(got[i] == lang for i, _, lang in docs) >= 0.95 * len(docs)
+
+
+def test_long_secrets(spark):
+    text = f"token {'0123456789abcdef' * 20} password sk-{'a1B2' * 40} end"
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [text[s["start"] : s["end"]] for s in found if s["kind"] == "secret"] == [text.split()[1], text.split()[3]]
+
+
 def test_substrings_across_buckets(spark):
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(30)]
@@ -257,7 +308,7 @@ def test_cascade_order_and_verdict():
     slow = quality.Rule("slow", lambda p: sum(range(20_000)) < 0 or p.n_words < 3)
     never = quality.Rule("never", lambda p: False)
     texts = [b"a b", b"a b c d", None] * 10
-    assert [r.name for r in quality.plan_cascade(texts, [never, slow, fast])][0] == "fast"
+    assert [r.name for r in quality.plan_cascade(quality.measure(texts, [never, slow, fast]), [never, slow, fast])][0] == "fast"
     assert [r.name for r in quality.plan_cascade([], [never, slow, fast])] == ["never", "slow", "fast"]
     seen = []
     rules = [quality.Rule("x", lambda p: True), quality.Rule("y", lambda p: seen.append(1) or True)]
