@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.operators import kernels
-from kinweave.plans.scratch import materialize
+from kinweave.plans.scratch import Rotation, materialize
 
 LOCAL_EDGES = 2_000_000
 
@@ -47,6 +47,7 @@ def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max
     if pairs.count() <= local_edges:
         return _local(vertices, pairs, seed, None, False, False)
     state = materialize(vertices.select("v", F.xxhash64("v", F.lit(seed)).alias("rank"), F.lit(-1).alias("color")), "colors")
+    rotation = Rotation(vertices.sparkSession, "colors")
     for _ in range(max_rounds):
         if not state.where("color < 0").limit(1).count():
             return state.select("v", "color")
@@ -57,7 +58,7 @@ def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max
         used = F.coalesce("used", F.array().cast("array<int>"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
         joined = state.join(seen, F.col("v") == F.col("s_v"), "left")
-        state = materialize(joined.select("v", "rank", F.when(F.col("color") >= 0, F.col("color")).when(F.coalesce("beaten", F.lit(False)), -1).otherwise(free).alias("color")), "colors")
+        state = rotation.write(joined.select("v", "rank", F.when(F.col("color") >= 0, F.col("color")).when(F.coalesce("beaten", F.lit(False)), -1).otherwise(free).alias("color")))
     raise RuntimeError(f"colouring not done after {max_rounds} rounds")
 
 
@@ -66,6 +67,7 @@ def color_max_min(vertices: DataFrame, edges: DataFrame, n_colors: int = 16, n_h
     pairs = materialize(_pairs(edges), "pairs")
     state = materialize(vertices.select("v", F.lit(-1).alias("color")), "colors")
     last = 2 * n_hashes * max(1, n_colors // 4)
+    rotation = Rotation(vertices.sparkSession, "colors")
     for k in range(last // 2):
         open_ = state.where("color < 0").select("v", F.struct(F.xxhash64("v", F.lit(seed), F.lit(k)), "v").alias("h"))
         a, b = (open_.select(F.col("v").alias(f"{x}_v"), F.col("h").alias(f"{x}_h")) for x in "ab")
@@ -73,7 +75,7 @@ def color_max_min(vertices: DataFrame, edges: DataFrame, n_colors: int = 16, n_h
         joined = state.join(near, F.col("v") == F.col("n_v"), "left")
         top = F.col("own").isNull() | (F.col("own") > F.col("most"))
         color = F.when(F.col("color") >= 0, F.col("color")).when(top, 2 * k).when(F.col("own") < F.col("least"), 2 * k + 1).otherwise(-1)
-        state = materialize(joined.select("v", color.cast("int").alias("color")), "colors")
+        state = rotation.write(joined.select("v", color.cast("int").alias("color")))
     return state.select("v", F.when(F.col("color") < 0, last).otherwise(F.col("color")).cast("int").alias("color"))
 
 
@@ -87,6 +89,7 @@ def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | No
     if pairs.count() <= local_edges:
         return _local(vertices, pairs, seed, colors, True, least_used)
     state = materialize(colors if colors is not None else color_distance_one(vertices, edges, seed, local_edges=local_edges), "colors")
+    rotation = Rotation(vertices.sparkSession, "colors")
     for k in range(max_rounds):
         counts = {r["color"]: r["n"] for r in state.groupBy("color").agg(F.count("*").alias("n")).collect()}  # a row for each colour
         room = -(-sum(counts.values()) // max(1, len(counts)))
@@ -107,5 +110,5 @@ def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | No
             break
         share = F.create_map(*(x for c, n in wanted.items() for x in (F.lit(c), F.lit(min(1.0, (room - counts[c]) / n)))))
         moved = asking.where(F.pmod(F.xxhash64("v", F.lit(seed + 1), F.lit(k)), F.lit(1 << 20)) < share[F.col("to")] * (1 << 20)).select(F.col("v").alias("m_v"), "to")
-        state = materialize(state.join(moved, F.col("v") == F.col("m_v"), "left").select("v", F.coalesce("to", "color").cast("int").alias("color")), "colors")
+        state = rotation.write(state.join(moved, F.col("v") == F.col("m_v"), "left").select("v", F.coalesce("to", "color").cast("int").alias("color")))
     return state.select("v", "color")

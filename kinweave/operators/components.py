@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.plans.scratch import materialize
+from kinweave.plans.scratch import Rotation
 
 
 def _with_least(sym: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Self-loops, repeats and both directions of an edge may occur; edges with a null end are ignored.
     """
     state = edges.select("u", "v").where("u <> v").distinct()
-    held = None
+    held, rotation = None, Rotation(edges.sparkSession, "stars")
     for _ in range(max_rounds):
-        state = materialize(_small_star(_large_star(state)), "stars")
+        state = rotation.write(_small_star(_large_star(state)))
         seen = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == held:
             break

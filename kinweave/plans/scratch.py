@@ -22,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if held:
+        return held.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -48,6 +48,19 @@ def materialize(df: DataFrame, name: str = "table", folders: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rotation:
+    """State of a loop, written in turn to two places, so that a loop of any length holds two tables."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.paths = spark, [scratch_path(spark, name) for _ in range(2)]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, which may read the last state but none before it, and return the table read back."""
+        self.paths.reverse()
+        df.write.mode("overwrite").parquet(self.paths[0])
+        return self.spark.read.schema(df.schema).parquet(self.paths[0])
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """The bytes of the column ``text``, as they are and not as files compress them."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
