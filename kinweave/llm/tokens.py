@@ -72,7 +72,7 @@ class TextEncoder:
     encoded as they are.
     """
 
-    def __init__(self, tokenizer_json: str, cache_size: int = 150_000):
+    def __init__(self, tokenizer_json: str, cache_size: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -83,7 +83,7 @@ class TextEncoder:
         if _cuts_pieces(config):
             bytes_only = config["pre_tokenizer"]["pretokenizers"][1]
             pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": bytes_only}))
-            self.cache = _Cache(lambda piece: self._ids(pieces, piece), cache_size)
+            self.cache = _Cache(lambda piece: array(self._code, pieces.encode(piece, add_special_tokens=False).ids).tobytes(), cache_size)
 
     def _ids(self, tokenizer, text: str) -> bytes:
         return array(self._code, tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
