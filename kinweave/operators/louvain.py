@@ -12,7 +12,8 @@ a graph, or a coarser one of a later phase, is below it, the rest runs in one ta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from copy import copy
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ class Options:
 
     ``c_threshold`` ends coloured phases, ``threshold`` the others. ``percent`` below 100 lets only a
     hashed share of vertices move; the share is drawn again in the second sweep and then stays, or with
-    ``redraw`` is drawn in every sweep. ``directed`` uses outgoing arcs alone.
+    ``redraw`` is drawn in every sweep. ``directed`` uses outgoing arcs alone and doubles the constant of the
+    null model, in gains and in the quality that ends phases; the modularity returned is the plain one.
     """
 
     coloring: int = 1
@@ -98,15 +100,26 @@ def _share(v, round: int, percent: int):
     return (mixed % (1 << 32)) < percent * (1 << 32) // 100
 
 
-def _quality(edges: DataFrame, assign: DataFrame) -> float:
-    return modularity(edges, assign).first()[0] or 0.0
+def _quality(edges: DataFrame, assign: DataFrame, factor: float = 1.0) -> float:
+    """Modularity, judged by ``factor`` times the edges' total weight."""
+    return modularity(edges, assign, factor).first()[0] or 0.0
+
+
+def _named(assign: DataFrame) -> DataFrame:
+    """The assignment with communities named by their least members."""
+    least = assign.groupBy(F.col("community").alias("l_c")).agg(F.min("v").alias("least"))
+    return assign.join(least, F.col("community") == F.col("l_c")).select("v", F.col("least").alias("community"))
+
+
+def _factor(options: Options) -> float:
+    return 0.5 if options.directed else 1.0
 
 
 def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: float, colors: DataFrame | None) -> tuple[DataFrame, float]:
     """One phase as a loop of DataFrame sweeps."""
     state, before, previous = start, start, -1.0
     turns = [r["color"] for r in colors.select("color").distinct().orderBy("color").collect()] if colors is not None else None
-    factor = 2.0 if options.directed else 1.0
+    factor = _factor(options)
     still = None
     weights = materialize(vertex_weights(edges), "weights")
     if turns is not None:
@@ -114,7 +127,7 @@ def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: floa
         by_color = edges.join(colors.select(F.col("v").alias("c_v"), "color"), F.col("src") == F.col("c_v")).select("color", "src", "dst", "weight")
         by_color = materialize(by_color.repartition("color", "src"), "by_color", ["color"])
     for round in range(options.max_rounds):
-        now = _quality(edges, state)
+        now = _quality(edges, state, factor)
         if round and now - previous < threshold:
             return (state, now) if turns and now > previous else (before, previous)
         previous, before = now, state
@@ -164,7 +177,8 @@ def run_local(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, options: Opt
     names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
     graph = whole = kernels.Graph(at[: len(src)], at[len(src) :], weight, len(names))
     if options.directed:
-        graph.total *= 2
+        graph = copy(graph)
+        graph.total *= _factor(options)
     total = np.arange(len(names))
     if start is not None:
         label = np.array([start.get(int(v), int(v)) for v in names])
@@ -238,27 +252,42 @@ def louvain(vertices: DataFrame, edges: DataFrame, options: Options = Options(),
     if n_edges <= options.local_edges:
         found = _local(graph, options, initial, 0)
     else:
-        whole, total, previous, phase = graph, None, -1.0, 0
-        colored = options.coloring > 0 and options.sync == 0 and options.percent == 100 and not options.directed or options.sync in (1, 2, 4)
+        whole, total, best, previous, phase, held = graph, None, None, None, 0, None
+        takes_turns = options.coloring > 0 and options.sync == 0 and options.percent == 100 and not options.directed
         while phase < options.max_phases and n_edges > options.local_edges:
             nodes = graph.select(F.col("src").alias("v")).union(graph.select(F.col("dst").alias("v"))).distinct()
-            start = materialize(singletons(nodes) if phase or initial is None else nodes.join(initial, "v", "left").select("v", F.coalesce("community", "v").alias("community")), "start")
-            if not phase and initial is None and options.follow and not options.directed:
-                start = materialize(vertex_following(nodes, graph), "start")
+            start = held
+            if not phase and initial is not None:
+                start = materialize(_named(nodes.join(initial, "v", "left").select("v", F.coalesce("community", "v").alias("community"))), "start")
+            elif not phase and options.follow and not options.directed:
+                total = materialize(vertex_following(nodes, graph), "follow")
+                graph, nodes = materialize(coarsen(graph, total), "coarse"), total.select(F.col("community").alias("v")).distinct()
+            start = materialize(singletons(nodes), "start") if start is None else start
+            if best is None:
+                best, previous = start if total is None else total, _quality(graph, start, _factor(options))
+            use_color = takes_turns and (phase == 0 or nodes.count() > options.min_graph_size)
             colors = None
-            if colored and (phase == 0 or nodes.count() > options.min_graph_size):
-                colors = color_max_min(nodes, graph, options.num_colors) if options.coloring == 3 else color_balanced(nodes, graph) if options.coloring == 2 else color_distance_one(nodes, graph)
-            own, quality = _phase(graph, start, options, options.c_threshold if colors is not None else options.threshold, colors)
-            if quality - previous <= options.threshold:
+            if use_color or options.sync in (1, 2, 4):
+                kind = options.coloring if use_color else 1
+                colors = color_max_min(nodes, graph, options.num_colors) if kind == 3 else color_balanced(nodes, graph) if kind == 2 else color_distance_one(nodes, graph)
+            own, quality = _phase(graph, start, options, options.c_threshold if use_color else options.threshold, colors)
+            gained = quality - previous > options.threshold
+            if gained:
+                best, previous = materialize(own if total is None else compose(total, own), "best"), quality
+            elif use_color:
+                # Turns found nothing more: go on without them, from the better assignment.
+                takes_turns, held = False, own if quality > previous else start
+                phase += 1
+                continue
+            elif initial is None or phase:
                 break
-            total = materialize(own if total is None else compose(total, own), "total")
-            previous, graph, phase = quality, materialize(coarsen(graph, own), "coarse"), phase + 1
+            graph = materialize(coarsen(graph, own if gained else start), "coarse")
+            total, held, phase = best, None, phase + 1
             n_edges = graph.count()
         if n_edges <= options.local_edges and phase < options.max_phases:
-            rest = _local(graph, options, None, max(phase, 1)).select("v", "community")
-            total = materialize(rest if total is None else compose(total, rest), "total")
-        least = total.groupBy(F.col("community").alias("l_c")).agg(F.min("v").alias("least"))
-        named = materialize(total.join(least, F.col("community") == F.col("l_c")).select("v", F.col("least").alias("community")), "named")
+            rest = _local(graph, options if takes_turns else replace(options, coloring=0), None, max(phase, 1)).select("v", "community")
+            best = materialize(compose(total, rest), "best")
+        named = materialize(_named(best), "named")
         found = named.withColumn("modularity", F.lit(_quality(whole, named)))
     found = found.withColumnRenamed("v", "f_v")
     return vertices.join(found, F.col("v") == F.col("f_v"), "left").select("v", F.coalesce("community", F.lit(-1).cast("long")).alias("community"), "modularity")

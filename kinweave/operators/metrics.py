@@ -15,9 +15,12 @@ def community_sums(edges: DataFrame, assign: DataFrame) -> DataFrame:
     return both.groupBy(F.col("cs").alias("community")).agg(F.sum(F.when(F.col("cs") == F.col("ct"), F.col("weight")).otherwise(0.0)).alias("inner"), F.sum("weight").alias("total"))
 
 
-def modularity(edges: DataFrame, assign: DataFrame) -> DataFrame:
-    """One row: the share of weight inside communities less the sum of their squared shares of degree; null without weight."""
-    sums = community_sums(edges, assign).agg(F.sum("inner").alias("i"), F.sum("total").alias("m2"), F.sum(F.col("total") * F.col("total")).alias("s"))
+def modularity(edges: DataFrame, assign: DataFrame, factor: float = 1.0) -> DataFrame:
+    """One row: the share of weight inside communities less the sum of their squared shares of degree; null without weight.
+
+    Shares are of ``factor`` times the whole weight.
+    """
+    sums = community_sums(edges, assign).agg(F.sum("inner").alias("i"), (F.sum("total") * factor).alias("m2"), F.sum(F.col("total") * F.col("total")).alias("s"))
     return sums.select((F.try_divide("i", "m2") - F.try_divide("s", F.col("m2") * F.col("m2"))).alias("modularity"))
 
 

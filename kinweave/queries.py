@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinweave import loops
 from kinweave.operators import coloring, graph, knn, links, louvain, metrics, ordering
 from kinweave.plans.cluster import fast_cluster
 from kinweave.plans.scratch import materialize
@@ -196,9 +197,39 @@ common AS (SELECT a.src, b.src AS dst, count(*) AS n FROM plain a JOIN plain b O
 overlap AS (SELECT plain.src, plain.dst, coalesce(common.n, 0) / (s.n + t.n - coalesce(common.n, 0)) AS similarity FROM plain LEFT JOIN common ON plain.src = common.src AND plain.dst = common.dst JOIN size s ON s.v = plain.src JOIN size t ON t.v = plain.dst)"""
 _ATTR = ", attrs AS (SELECT vec_id + 1 AS v, label AS attr FROM embeddings), same AS (SELECT src, dst, weight FROM edges JOIN attrs a ON src = a.v JOIN attrs b ON dst = b.v AND a.attr = b.attr)"
 
+_VERTICES = ", vertices AS (SELECT vec_id + 1 AS v FROM embeddings)"
+_PLAIN = _VERTICES + ", pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), "
+
+
+def _color_sql(ctes: str) -> str:
+    return f"WITH RECURSIVE {_EDGES}{_PLAIN}{ctes} SELECT v, color FROM colors"
+
+
+def _louvain_sql(method: str = "none", edges: str = _EDGES, name: str = "v", **options) -> str:
+    return f"WITH RECURSIVE {edges}{_VERTICES}, {loops.louvain(method, **options)} SELECT vertices.v AS {name}, coalesce(community, -1) AS community, round(modularity, 9) AS modularity FROM vertices LEFT JOIN found ON vertices.v = found.v"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "cluster_pipeline": _louvain_sql("greedy", name="id"),
+        "louvain": _louvain_sql("greedy"),
+        "louvain_balanced": _louvain_sql("balanced"),
+        "louvain_maxmin": _louvain_sql("max_min"),
+        "louvain_colored": _louvain_sql("greedy_all"),
+        "louvain_basic": _louvain_sql(),
+        "louvain_sync1": _louvain_sql("serial"),
+        "louvain_sync2": _louvain_sql("turns"),
+        "louvain_sync4": _louvain_sql("serial", early=True),
+        "louvain_sync3": _louvain_sql(early=True),
+        "louvain_warm": _louvain_sql(edges=_EDGES + _LABELS, warm=True),
+        "louvain_approx": _louvain_sql(percent=50),
+        "louvain_approx_redrawn": _louvain_sql(percent=50, redraw=True),
+        "louvain_directed": _louvain_sql(edges=_JACCARD + ", edges AS (SELECT src, dst, weight FROM jaccard WHERE weight > 0)", directed=True),
+        "color_d1": _color_sql(loops.greedy_colors("colors")),
+        "color_balanced": _color_sql(loops.greedy_colors("plain") + ", " + loops.balanced_colors("colors", "plain")),
+        "color_equitable": _color_sql(loops.greedy_colors("plain") + ", " + loops.balanced_colors("colors", "plain", least_used=True)),
+        "color_maxmin": _color_sql(loops.max_min_colors("colors")),
+        "rcm": f"WITH RECURSIVE {_EDGES}{_PLAIN}{loops.RCM}",
         **{f"knn_{m}": f"WITH {_near_sql(m)} SELECT src, rank::INT AS rank, dst, dist FROM near" for m in knn.METRICS},
         "jaccard_links": f"WITH {_JACCARD} SELECT src, dst, round(weight, 9) AS weight FROM jaccard",
         "dedup_links": f"WITH {_LINKS} SELECT src, dst, round(weight, 9) AS weight FROM links",

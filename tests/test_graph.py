@@ -30,6 +30,14 @@ def vertices_of(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "v long")
 
 
+def random_graph(spark, seed, n, links):
+    """Symmetric edges with weights, self-loops and leaves, and their vertices."""
+    rng = np.random.default_rng(seed)
+    held = {(min(a, b), max(a, b)): round(float(w), 3) for a, b, w in zip(rng.integers(1, n, links).tolist(), rng.integers(1, n, links).tolist(), rng.random(links) + 0.1)}
+    rows = [(*pair, w) for pair, w in held.items()] + [(1, n + 5, 1.0), (2, n + 6, 0.5)]
+    return graph.build_graph(frame(spark, rows)), sorted({x for r in rows for x in r[:2]})
+
+
 def assignment(df):
     return {r["v"]: r["community"] for r in df.collect()}
 
@@ -62,6 +70,37 @@ def test_distributed_matches_quality(spark, options):
         assert len(set(got.values())) == len(set(want.values())) == 6
 
 
+SAME = [dict(), dict(coloring=0), dict(coloring=2), dict(coloring=3), dict(min_graph_size=0), dict(coloring=0, sync=2), dict(coloring=0, sync=3), dict(coloring=0, percent=60), dict(coloring=0, percent=60, redraw=True), dict(coloring=0, directed=True), dict(coloring=0, follow=False)]
+
+
+@pytest.mark.parametrize("options", SAME)
+def test_one_meaning_at_all_sizes(spark, options):
+    """Loops of joins that end on arrays, or for some options never do, and arrays alone give one assignment."""
+    edges, ids = random_graph(spark, 7, 20, 30)
+    nodes = vertices_of(spark, [*ids, 999])
+    want = {tuple(r) for r in louvain.louvain(nodes, edges, louvain.Options(**options)).collect() if r["v"] != 999}
+    bound = 0 if options in (dict(coloring=0), dict(coloring=0, directed=True)) else edges.count() - 1
+    far = {tuple(r) for r in louvain.louvain(nodes, edges, louvain.Options(**options, local_edges=bound)).collect() if r["v"] != 999}
+    assert {r[:2] for r in far} == {r[:2] for r in want}
+    assert next(iter(far))[2] == pytest.approx(next(iter(want))[2])
+
+
+def test_warm_start_has_one_meaning(spark):
+    edges, ids = random_graph(spark, 8, 30, 50)
+    given = spark.createDataFrame([(i, 100 + i % 4) for i in ids], "v long, community long")
+    near, far = (assignment(louvain.louvain(vertices_of(spark, ids), edges, louvain.Options(coloring=0, local_edges=bound), given)) for bound in (10**6, 0))
+    assert near == far
+
+
+def test_directed_doubles_the_constant(spark):
+    """On a path of three the doubled null model keeps apart what the plain one joins."""
+    arcs = frame(spark, [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0)])
+    options = dict(coloring=0, follow=False)
+    plain = assignment(louvain.louvain(vertices_of(spark, range(1, 4)), arcs, louvain.Options(**options)))
+    doubled = assignment(louvain.louvain(vertices_of(spark, range(1, 4)), arcs, louvain.Options(**options, directed=True)))
+    assert set(plain.values()) == {1} and doubled == {1: 1, 2: 2, 3: 3}
+
+
 def test_sweep_matches_kernel(spark):
     rng = np.random.default_rng(3)
     rows = [(int(a), int(b), round(float(w), 3)) for a, b, w in zip(rng.integers(1, 40, 120), rng.integers(1, 40, 120), rng.random(120)) if w > 0]
