@@ -51,6 +51,42 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     return entries.union(entries.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * sign).alias("weight")))
 
 
+def read_pajek(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of a Pajek network file: lines "src dst [weight]" (1 where there is none) below *Arcs, and both directions of those below *Edges.
+
+    Sections are told apart by the places of their headings, of which a file has a few.
+    """
+    text = spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("place"))
+    headings = text.where(F.col("value").startswith("*")).orderBy("place").collect()
+    ends = [r["place"] for r in headings[1:]] + [(1 << 63) - 1]
+    found = spark.createDataFrame([], _EDGE)
+    parts = F.split("value", r"\s+")
+    for heading, end in zip(headings, ends):
+        kind = heading["value"].lower().split()[0]
+        if kind not in ("*arcs", "*edges"):
+            continue
+        rows = text.where((F.col("place") > heading["place"]) & (F.col("place") < end) & F.col("value").rlike("^[0-9]"))
+        arcs = rows.select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
+        found = found.union(arcs)
+        if kind == "*edges":
+            found = found.union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return found
+
+
+def read_communities(spark: SparkSession, path: str) -> DataFrame:
+    """v and community (its least member) from lines of blank-separated members; a vertex of several lines has a row for each."""
+    members = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("long"))
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(members.alias("members"))
+    return rows.select(F.explode("members").alias("v"), F.array_min("members").alias("community"))
+
+
+def write_matrix_market(edges: DataFrame, path: str) -> None:
+    """One coordinate file in the folder ``path``; the format has its sizes at the top, so one task writes all lines, a row at a time."""
+    sizes = edges.agg(F.coalesce(F.greatest(F.max("src"), F.max("dst")), F.lit(0)).alias("n"), F.count("*").alias("entries"))
+    top = sizes.select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate real general"), F.concat_ws(" ", "n", "n", "entries"))).alias("line"))
+    top.coalesce(1).union(edges.select(F.concat_ws(" ", "src", "dst", "weight").alias("line"))).coalesce(1).write.text(path)
+
+
 def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:
     """Delimited lines of src, dst and weight."""
     edges.select("src", "dst", "weight").write.csv(path, sep=sep)

@@ -38,6 +38,24 @@ def test_other_formats(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/assign")) == [(1, 1), (2, 1)]
 
 
+def test_pajek_and_communities(spark, tmp_path):
+    (tmp_path / "p.net").write_text('*Vertices 3\n1 "a"\n2 "b"\n3 "c"\n*Arcs\n1 2 0.5\n*Edges\n 2 3\n3 1 4\n')
+    assert rows(sources.read_pajek(spark, f"{tmp_path}/p.net")) == [(1, 2, 0.5), (1, 3, 4.0), (2, 3, 1.0), (3, 1, 4.0), (3, 2, 1.0)]
+    (tmp_path / "empty.net").write_text("")
+    assert rows(sources.read_pajek(spark, f"{tmp_path}/empty.net")) == []
+    (tmp_path / "c.txt").write_text("# members\n5\t3\t9\n4\n\n9 10\n")
+    assert rows(sources.read_communities(spark, f"{tmp_path}/c.txt")) == [(3, 3), (4, 4), (5, 3), (9, 3), (9, 9), (10, 9)]
+
+
+def test_matrix_market_round_trip(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i % 7 + 1, i / 4) for i in range(1, 200)], "src long, dst long, weight double").repartition(5)
+    sources.write_matrix_market(edges, f"{tmp_path}/m")
+    assert rows(sources.read_matrix_market(spark, f"{tmp_path}/m")) == rows(edges)
+    assert len(list((tmp_path / "m").glob("part-*"))) == 1
+    sources.write_matrix_market(edges.limit(0), f"{tmp_path}/none")
+    assert rows(sources.read_matrix_market(spark, f"{tmp_path}/none")) == []
+
+
 def test_global_rank(spark):
     df = spark.range(1000).select((F.pmod(F.xxhash64("id"), F.lit(50))).alias("a"), "id").repartition(7)
     got = global_rank(df, [F.col("a").desc(), F.col("id")], "place").collect()
