@@ -68,4 +68,48 @@ run AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(ta
 mix AS (SELECT *, (epochs + CASE WHEN target - epochs * source_size > 0 AND ahead + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies FROM run)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM mix"""
 
-SQL = {"op1_sentence_dedup": SENTENCES, "op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS, "op7_decontaminate": DECONTAMINATE, "op9_mixing": MIXING}
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS n FROM w, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, least(5, len(w) - i + 1) + 1)) AS u(k) GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1),
+cover AS (SELECT lang, array_to_string(s[i:i + m - 1], ' ') AS phrase, max(a) AS cover FROM c, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(i) GROUP BY ALL),
+cuts AS (SELECT lang, phrase, a, x AS cut, array_to_string(s[1:x], ' ') AS first, array_to_string(s[x + 1:], ' ') AS rest FROM c, unnest(range(1, k)) AS t(x)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, l.n AS l, r.n AS r, total.n AS n, (1000::HUGEINT * a * total.n) // (l.n::HUGEINT * r.n) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = first JOIN f r ON r.lang = cuts.lang AND r.phrase = rest JOIN total ON total.lang = cuts.lang
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT scored.*, row_number() OVER (PARTITION BY scored.lang ORDER BY score DESC, a DESC, scored.phrase) AS rank FROM scored LEFT JOIN cover ON cover.lang = scored.lang AND cover.phrase = scored.phrase WHERE cover IS NULL OR 100 * cover < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit; the polynomial is a fixed value.
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, lang, {_leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} ELSE {_leaf('text')} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS place FROM d),
+up AS (SELECT 0 AS k, lang, place AS idx, count(*) OVER (PARTITION BY lang) AS n, leaf AS node FROM placed UNION ALL
+  SELECT k + 1, lang, idx // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY k, lang, idx // 8, n),
+sub AS (SELECT lang, k AS top_k, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (SELECT 0 AS k, place AS idx, n, subroot AS node FROM sub UNION ALL
+  SELECT k + 1, idx // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY k, idx // 8, n),
+low_sides AS (SELECT a.k, a.lang, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS x, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS y
+  FROM up a JOIN up b ON a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.k, a.lang, a.idx),
+high_sides AS (SELECT a.k, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS x, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS y
+  FROM high a JOIN high b ON a.k = b.k AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.k, a.idx),
+climb AS (SELECT row, lang, 0 AS k, place AS idx, changed AS acc, '' AS proof FROM placed UNION ALL
+  SELECT row, c.lang, c.k + 1, c.idx // 8, sha256(x || acc || y), proof || x || y FROM climb c JOIN low_sides s ON s.k = c.k AND s.lang IS NOT DISTINCT FROM c.lang AND s.idx = c.idx),
+reached AS (SELECT row, subroot, place, acc, proof FROM climb JOIN sub ON climb.lang IS NOT DISTINCT FROM sub.lang AND k = top_k),
+last AS (SELECT row, 0 AS k, place AS idx, acc, proof FROM reached UNION ALL SELECT row, l.k + 1, l.idx // 8, sha256(x || acc || y), proof || x || y FROM last l JOIN high_sides s ON s.k = l.k AND s.idx = l.idx),
+root AS (SELECT k, node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(last.proof) AS proof_sha256, last.acc AS folded_root, last.acc = root AS verified FROM last JOIN root USING (k) JOIN reached USING (row) JOIN placed USING (row)"""
+
+SQL = {"op1_sentence_dedup": SENTENCES, "op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS, "op7_decontaminate": DECONTAMINATE, "op9_mixing": MIXING, "op11_phrases": PHRASES, "op12_manifest": MANIFEST}

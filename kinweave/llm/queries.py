@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, language, mixing, ngrams, oracles, pii, quality, sentences, simhash, substrings, tokens
+from kinweave.llm import decontaminate, language, manifest, mixing, ngrams, oracles, phrases, pii, quality, secretscan, sentences, simhash, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,8 +67,29 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proofs of all rows, checked against leaves of which a third have their text's A-Z in lower case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    found = manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": text})
+    folded = found.select(F.col("order").alias("doc_id"), "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), manifest.fold(F.col("changed_leaf"), F.col("steps")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secretscan.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secretscan.BASE_KINDS), F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_dedup, op2_token_binary, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score)}
+    return {f.__name__: f for f in (op1_sentence_dedup, op2_token_binary, op3_language_id, op4_quality_rules, op5_substring_dedup, op6_pii, op7_decontaminate, op8_simhash, op9_mixing, op10_lm_score, op11_phrases, op12_manifest, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
