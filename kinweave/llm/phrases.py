@@ -4,8 +4,9 @@ Texts are lower-cased (A-Z), cut into pieces at . , ; : ! ? and line ends, and t
 suffix is a word and up to ``max_n`` - 1 words after it in its piece. Everything is counted for each language
 (null: "und").
 
-1. Words are counted by hash. A phrase with a word below ``min_count`` can't reach it, so suffixes end before such words;
-   they are told by a bit map of fixed size, in which a collision only keeps a suffix longer than it need be.
+1. Words and pairs of neighbouring words are counted by hash. A phrase with a word or a pair below ``min_count`` can't
+   reach it, so suffixes end before those. They are told by bit maps of fixed size, in which a collision only keeps a
+   suffix longer than it need be: the more distinct pairs a corpus has, the less the second map saves, never a phrase.
 2. Suffixes are summed within a block of text and shuffled by language and first word. A word that alone would make
    more than half a mean partition is hot, and a key goes on through hot words to the first other one: no key has more
    rows than that, and a suffix of hot words alone is one row a block. The hot words are at most two a partition.
@@ -34,9 +35,9 @@ from kinweave.llm.textbytes import blocks, combine, hash_text, text_bytes, word_
 from kinweave.plans.scratch import materialize, shuffle_partitions
 
 MAX_N, MIN_COUNT, TOP = 5, 100, 2000
-#: Bits of the map of frequent words, and how many of them a row of it has.
+#: Bits of each map, and how many of them a row of it has.
 MAP_BITS, _ROW_BITS = 1 << 27, 32768
-_BLOCK_BYTES = 8 << 20
+_BLOCK_BYTES = 4 << 20
 
 # Within words the bytes 0 to 8 stand as bytes that UTF-8 doesn't have, so that the separator, a tab, is below all others
 # and phrases that begin with the same words are neighbours in any sorted order.
@@ -49,7 +50,10 @@ _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _INSIDE = ~_CUTS
 _INSIDE[_SEPARATOR] = False
-_BACK = bytes(np.where((np.arange(256) >= _FIRST_FREE) & (np.arange(256) < _FIRST_FREE + 9), np.arange(256) - _FIRST_FREE, np.where(np.arange(256) == _SEPARATOR, 0x20, np.arange(256))).astype(np.uint8))
+_FREE = bytes(range(_FIRST_FREE, _FIRST_FREE + 10))
+_BACK = bytes.maketrans(_FREE[:9] + bytes([_SEPARATOR]), bytes(range(9)) + b" ")
+#: The language stands before a suffix as if it were its first word.
+_LANG, _LANG_BACK = bytes.maketrans(bytes(range(10)), _FREE), bytes.maketrans(_FREE, bytes(range(10)))
 
 U64 = np.uint64
 
@@ -63,7 +67,7 @@ class _Words:
         counts = np.diff(np.append(first[:-1], len(self.starts)))
         doc = np.repeat(np.arange(len(offsets) - 1), counts)
         # Cuts before a word number its piece.
-        piece = np.cumsum(_CUTS[self.data])[self.starts] if len(self.data) else np.empty(0, np.int64)
+        piece = np.cumsum(_CUTS[self.data], dtype=np.int32)[self.starts] if len(self.data) else np.empty(0, np.int64)
         self.last = np.ones(len(self.starts), bool)
         self.last[:-1] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
         self.plain = word_hashes(self.data, self.starts, self.ends)
@@ -86,59 +90,120 @@ def _salted(words: _Words, names: list[str]) -> np.ndarray:
     return combine(of[words.lang], words.plain).view(np.int64)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word (a hash of both) and n from rows of lang and text."""
+def _pairs(words: _Words, salted: np.ndarray) -> np.ndarray:
+    """The place in the map of each word with the next one."""
+    return (combine(salted[:-1].view(U64), words.plain[1:]) & U64(MAP_BITS - 1)).astype(np.int64)
+
+
+def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of ascending places below ``_ROW_BITS``: steps of two bytes, then counts of one byte, larger ones as several steps of 0."""
+    times = -(-counts // 255)
+    steps = np.zeros(times.sum(), "<u2")
+    held = np.full(len(steps), 255, np.uint8)
+    last = np.cumsum(times) - 1
+    steps[last - times + 1] = np.diff(places, prepend=0)
+    held[last] = counts - 255 * (times - 1)
+    return steps.tobytes() + held.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 3
+    return np.cumsum(np.frombuffer(blob, "<u2", n), dtype=np.int64), np.frombuffer(blob, np.uint8, n, 2 * n)
+
+
+def hashed_counts(texts: DataFrame) -> DataFrame:
+    """Counts of each block of text: rows of lang, word (a hash of both) and n, and rows of word (a row of the map of pairs) and packed counts."""
 
     def count(batches):
         for words, names in _read(batches):
-            found, at, n = np.unique(_salted(words, names), return_index=True, return_counts=True)
+            salted = _salted(words, names)
+            found, at, n = np.unique(salted, return_index=True, return_counts=True)
+            place, times = np.unique(_pairs(words, salted)[~words.last[:-1]], return_counts=True)
+            row, first = np.unique(place // _ROW_BITS, return_index=True)
+            ends = np.append(first, len(place))
+            packed = [_packed(place[a:b] % _ROW_BITS, times[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
-            yield pa.RecordBatch.from_arrays([lang, pa.array(found), pa.array(n)], ["lang", "word", "n"])
+            columns = [(lang, pa.nulls(len(row), pa.string())), (pa.array(found), pa.array(row)), (pa.array(n), pa.nulls(len(row), pa.int64())), (pa.nulls(len(found), pa.binary()), pa.array(packed, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "word", "n", "packed"])
 
-    return texts.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "lang string, word long, n long, packed binary")
 
 
-def frequent_map(counts: DataFrame, min_count: int) -> np.ndarray:
-    """The bits of the words that reach ``min_count``, at most ``MAP_BITS`` whatever their number."""
+def word_map(counts: DataFrame, min_count: int) -> np.ndarray:
+    """The bits of the words that reach ``min_count``, whatever their number."""
     place = F.pmod("word", F.lit(MAP_BITS)) + 1
-    rows = counts.where(F.col("n") >= min_count).select(F.bitmap_bucket_number(place).alias("row"), F.bitmap_bit_position(place).alias("bit"))
+    rows = counts.where(F.col("n") >= min_count).select((F.bitmap_bucket_number(place) - 1).alias("row"), F.bitmap_bit_position(place).alias("bit"))
+    return _map_of(rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def pair_map(packed: DataFrame, min_count: int) -> np.ndarray:
+    """The bits of the pairs that reach ``min_count``; rows of the map are summed one after the other in each task."""
+
+    def total(batches):
+        row, sums = None, np.zeros(_ROW_BITS, np.int64)
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != row and row is not None:
+                    yield done(row, sums)
+                    sums[:] = 0
+                row = k
+                places, counts = _unpacked(blob)
+                np.add.at(sums, places, counts)
+        if row is not None:
+            yield done(row, sums)
+
+    def done(row: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([np.packbits(sums >= min_count, bitorder="little").tobytes()], pa.binary())], ["row", "bits"])
+
+    rows = packed.select(F.col("word").alias("row"), "packed").repartition("row").sortWithinPartitions("row")
+    return _map_of(rows.mapInArrow(total, "row long, bits binary"))
+
+
+def _map_of(rows: DataFrame) -> np.ndarray:
+    """The map from its rows, which are at most ``MAP_BITS`` together."""
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        at = (r["row"] - 1) * (_ROW_BITS // 8)
+    for r in rows.toLocalIterator():
+        at = r["row"] * (_ROW_BITS // 8)
         out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, hot: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
-    """Rows of lang, key, suffix and how often it stands in the block."""
+def _bits(held: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (held[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, paired: np.ndarray, hot: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of key, suffix (its language first) and how often it stands in the block."""
     for words, names in _read(batches):
         salted = _salted(words, names)
-        bit = salted & (MAP_BITS - 1)
-        used = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-        _, at, ids = np.unique(salted, return_index=True, return_inverse=True)
-        # Id 0 is the end of a piece or of the known words.
-        ids, n = np.where(used, ids + 1, 0), len(ids)
+        used = _bits(known, salted & (MAP_BITS - 1))
         if not used.any():
             continue
-        window = np.zeros((n, max_n), np.int64)
-        window[:, 0] = ids
+        _, at, ids = np.unique(salted, return_index=True, return_inverse=True)
+        n = len(ids)
+        # Id 0 is the end of a suffix.
+        window = np.zeros((n, max_n), np.int32)
+        window[:, 0] = ids + 1
+        goes_on = _bits(paired, _pairs(words, salted)) & ~words.last[:-1] & used[1:]
         goes = used
         for d in range(1, min(max_n, n)):
-            # A suffix goes on if it did so far, and its last word isn't its piece's last one or followed by an unknown one.
-            goes = goes[: n - d] & ~words.last[d - 1 : n - 1] & used[d:]
-            window[: n - d, d] = np.where(goes, ids[d:], 0)
+            goes = goes[: n - d] & goes_on[d - 1 :]
+            window[: n - d, d] = np.where(goes, ids[d:] + 1, 0)
         window = window[used]
-        order = np.lexsort(window.T[::-1])
+        # Equal suffixes come together by their hash; whether neighbours are equal is told by themselves.
+        order = np.argsort(combine(*(window[:, d].astype(U64) for d in range(max_n))))
         window = window[order]
         new = np.concatenate([[True], (window[1:] != window[:-1]).any(1)])
-        window, count = window[new], np.diff(np.append(np.flatnonzero(new), len(window)))
+        count = np.diff(np.append(np.flatnonzero(new), len(window)))
+        window = window[new]
         # Words as binary strings; a suffix is theirs, joined.
         begin, end = words.starts[at], words.ends[at]
         size = end - begin
         total = np.concatenate([[0], np.cumsum(size)])
         gather = np.arange(total[-1]) - np.repeat(total[:-1] - begin, size)
         vocabulary = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(total.astype(np.int64)), pa.py_buffer(words.data[gather])])
-        parts = [vocabulary.take(pa.array(window[:, d] - 1, mask=window[:, d] == 0)) for d in range(max_n)]
+        lang = pa.array([n.encode().translate(_LANG) for n in names], pa.large_binary()).take(pa.array(words.lang[at][window[:, 0] - 1]))
+        parts = [lang, *(vocabulary.take(pa.array(window[:, d] - 1, mask=window[:, d] == 0)) for d in range(max_n))]
         suffix = pc.binary_join_element_wise(*parts, pa.scalar(bytes([_SEPARATOR]), pa.large_binary()), null_handling="skip").cast(pa.binary())
         # The key is the words up to the first that isn't hot.
         hashes = salted[at]
@@ -148,22 +213,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, hot: np.ndar
         for d in range(1, max_n):
             key = np.where(goes & (window[:, d] > 0), combine(key, hashes[window[:, d]]), key)
             goes &= is_hot[window[:, d]]
-        lang = pa.array(names, pa.string()).take(pa.array(words.lang[at][window[:, 0] - 1]))
-        yield pa.RecordBatch.from_arrays([lang, pa.array(key.view(np.int64)), suffix, pa.array(count)], ["lang", "key", "suffix", "n"])
-
-
-class _Stack:
-    """The open prefixes of the last suffix read: a word and a count so far for each depth."""
-
-    def __init__(self):
-        self.lang, self.words, self.counts = None, [], []
-
-    def shared(self, lang: str, words: list[bytes]) -> int:
-        """How many words a suffix begins with that are open."""
-        n = 0
-        while lang == self.lang and n < min(len(words), len(self.words)) and words[n] == self.words[n]:
-            n += 1
-        return n
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), suffix, pa.array(count)], ["key", "suffix", "n"])
 
 
 def _hot_words(vocabulary: pa.Array, lang: str, hot: np.ndarray) -> np.ndarray:
@@ -172,57 +222,65 @@ def _hot_words(vocabulary: pa.Array, lang: str, hot: np.ndarray) -> np.ndarray:
     return np.isin(combine(np.full(len(plain), hash_text(lang.encode()), U64), plain).view(np.int64), hot)
 
 
-def _emitted(langs: list, phrases: list, size: int, n: np.ndarray) -> pa.RecordBatch:
-    """Prefixes as they were in the text, with spaces between words."""
-    phrases = [p.translate(_BACK) for p in phrases]
+def _lang_name(word: bytes) -> str:
+    return word.translate(_LANG_BACK).decode()
+
+
+def _emitted(phrases: list[bytes], size: int, n: np.ndarray) -> pa.RecordBatch:
+    """lang, phrase as it was in the text with spaces between words, size and n."""
+    cut = [p.split(bytes([_SEPARATOR]), 1) for p in phrases]
+    langs, phrases = [_lang_name(c[0]) for c in cut], [c[1].translate(_BACK) for c in cut]
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n, pa.int64())], ["lang", "phrase", "size", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch], hot: np.ndarray, max_n: int, min_count: int) -> Iterator[pa.RecordBatch]:
     """lang, phrase, size and n of the prefixes of sorted suffixes: those that reach ``min_count``, and all of hot words alone that are shorter than a suffix.
 
-    A batch moves through the stack at once: at each depth the rows between two changes of the prefix are summed,
-    what was open before the batch is added to its first prefix, and what is open at its end stays on the stack.
+    The stack holds the open prefixes of the last suffix, a word (the language first) and a count so far for each depth.
+    A batch moves through it at once: at each depth the rows between two changes of the prefix are summed, what was
+    open before the batch is added to its first prefix, and what is open at its end stays on the stack.
     """
-    stack, separator = _Stack(), bytes([_SEPARATOR])
-
-    def closed(depth: int) -> Iterator[pa.RecordBatch]:
-        """Take prefixes of more than ``depth`` words off the stack."""
-        while len(stack.words) > depth:
-            size, n = len(stack.words), stack.counts[-1]
-            if n >= min_count or (size < max_n and _hot_words(pa.array(stack.words, pa.large_binary()), stack.lang, hot).all()):
-                yield _emitted([stack.lang], [separator.join(stack.words)], size, np.array([n]))
-            stack.words.pop()
-            stack.counts.pop()
+    words_open: list[bytes] = []
+    counts_open: list[int] = []
+    separator, depth = bytes([_SEPARATOR]), max_n + 1
+
+    def closed(keep: int) -> Iterator[pa.RecordBatch]:
+        """Take prefixes of more than ``keep`` words off the stack."""
+        while len(words_open) > keep:
+            size, n = len(words_open) - 1, counts_open.pop()
+            if size and (n >= min_count or (size < max_n and _hot_words(pa.array(words_open[1:], pa.large_binary()), _lang_name(words_open[0]), hot).all())):
+                yield _emitted([separator.join(words_open)], size, np.array([n]))
+            words_open.pop()
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         # Words of each row by depth, as codes within the batch; -1 where a suffix has ended.
-        split = pc.split_pattern(batch.column(1).cast(pa.large_binary()), separator)
+        split = pc.split_pattern(batch.column(0).cast(pa.large_binary()), separator)
         coded = split.flatten().dictionary_encode()
         codes, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         lens = pc.list_value_length(split).to_numpy().astype(np.int64)
-        langs = batch.column(0).dictionary_encode()
-        words = np.full((n, max_n), -1, np.int64)
+        words = np.full((n, depth), -1, np.int64)
         words[np.repeat(np.arange(n), lens), np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)] = codes
-        lang = langs.indices.to_numpy()
         is_hot = np.zeros((n, max_n), bool)
-        for k, name in enumerate(langs.dictionary.to_pylist()):
-            rows = lang == k
-            seen = np.unique(words[rows])
+        for k in np.unique(words[:, 0]).tolist():
+            rows = words[:, 0] == k
+            seen = np.unique(words[rows, 1:])
             table = np.zeros(len(vocabulary) + 1, bool)
-            table[seen[seen >= 0]] = _hot_words(vocabulary.take(pa.array(seen[seen >= 0])), name, hot)
-            is_hot[rows] = table[words[rows]]
+            table[seen[seen >= 0]] = _hot_words(vocabulary.take(pa.array(seen[seen >= 0])), _lang_name(vocabulary[k].as_py()), hot)
+            is_hot[rows] = table[words[rows, 1:]]
         all_hot = np.logical_and.accumulate(is_hot, axis=1)
-        changes = np.ones((n + 1, max_n), bool)
-        changes[1:n] = np.logical_or.accumulate(words[1:] != words[:-1], axis=1) | (lang[1:] != lang[:-1])[:, None]
-        yield from closed(stack.shared(langs.dictionary[int(lang[0])].as_py(), vocabulary.take(pa.array(words[0, : lens[0]])).to_pylist()))
-        before, stack.lang = stack.counts, langs.dictionary[int(lang[-1])].as_py()
-        stack.words, stack.counts = [], []
-        total = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())])
-        for d in range(max_n):
+        changes = np.ones((n + 1, depth), bool)
+        changes[1:n] = np.logical_or.accumulate(words[1:] != words[:-1], axis=1)
+        first = vocabulary.take(pa.array(words[0, : lens[0]])).to_pylist()
+        same = 0
+        while same < min(len(first), len(words_open)) and first[same] == words_open[same]:
+            same += 1
+        yield from closed(same)
+        before, words_open, counts_open = counts_open, [], []
+        total = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+        for d in range(depth):
             edges = np.flatnonzero(changes[:, d])
             begins, ends = edges[:-1], edges[1:]
             there = words[begins, d] >= 0
@@ -233,13 +291,13 @@ def _count(batches: Iterator[pa.RecordBatch], hot: np.ndarray, max_n: int, min_c
             if begins[0] == 0 and d < len(before):
                 held[0] += before[d]
             if ends[-1] == n:
-                stack.words.append(vocabulary[words[-1, d]].as_py())
-                stack.counts.append(int(held[-1]))
-            told = (ends < n) & ((held >= min_count) | (all_hot[begins, d] & (d + 1 < max_n)))
-            rows = begins[told]
-            parts = [vocabulary.take(pa.array(words[rows, j])) for j in range(d + 1)]
-            phrases = pc.binary_join_element_wise(*parts, pa.scalar(separator, pa.large_binary())).to_pylist()
-            yield _emitted(batch.column(0).take(pa.array(rows)).to_pylist(), phrases, d + 1, held[told])
+                words_open.append(vocabulary[words[-1, d]].as_py())
+                counts_open.append(int(held[-1]))
+            if d:
+                told = (ends < n) & ((held >= min_count) | (all_hot[begins, d - 1] & (d < max_n)))
+                rows = begins[told]
+                parts = [vocabulary.take(pa.array(words[rows, j])) for j in range(d + 1)]
+                yield _emitted(pc.binary_join_element_wise(*parts, pa.scalar(separator, pa.large_binary())).to_pylist(), d, held[told])
     yield from closed(0)
 
 
@@ -247,14 +305,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
     """(lang, phrase, size and n of all phrases of up to ``max_n`` words that occur ``min_count`` times or more; lang and its n words)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counts = materialize(word_counts(texts), "words")
+    hashed = materialize(hashed_counts(texts), "hashes")
+    counts = materialize(hashed.where("packed IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     n_parts, n_words = shuffle_partitions(spark), counts.agg(F.sum("n")).first()[0] or 0
     hot = np.array([r["word"] for r in counts.where(F.col("n") * (2 * n_parts) > n_words).select("word").collect()], np.int64)  # at most two a partition
-    known = frequent_map(counts, min_count)
-    held = spark.sparkContext.broadcast((known, hot))
-    rows = texts.mapInArrow(lambda batches: _suffixes(batches, *held.value, max_n), "lang string, key long, suffix binary, n long")
-    dealt = rows.repartition(n_parts, "key").select("lang", "suffix", "n").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    found = dealt.mapInArrow(lambda batches: _count(batches, held.value[1], max_n, min_count), "lang string, phrase string, size int, n long")
+    held = spark.sparkContext.broadcast((word_map(counts, min_count), pair_map(hashed.where("packed IS NOT NULL"), min_count), hot))
+    rows = texts.mapInArrow(lambda batches: _suffixes(batches, *held.value, max_n), "key long, suffix binary, n long")
+    dealt = rows.repartition(n_parts, "key").select("suffix", "n").sortWithinPartitions(F.desc("suffix"))
+    found = dealt.mapInArrow(lambda batches: _count(batches, held.value[2], max_n, min_count), "lang string, phrase string, size int, n long")
     found = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return materialize(found, "phrases"), counts.groupBy("lang").agg(F.sum("n").alias("n"))
 

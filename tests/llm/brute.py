@@ -183,3 +183,72 @@ def sentences(docs, least=2, words=20):
                 gone[i] |= set(range(a, b))
             seen.add(tuple(s[a:b]))
     return {i: (len(s), len(gone[i]), hashlib.sha256("\n".join(x for k, x in enumerate(s) if k not in gone[i]).encode()).hexdigest()) for i, s in split.items()}
+
+
+def phrases(docs, max_n=5, min_count=100, top=2000):
+    """Rows of (lang, rank, phrase, a, l, r, n, score) from (lang, text)."""
+    n, f = Counter(), defaultdict(Counter)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for i in range(len(words)):
+                for k in range(1, min(max_n, len(words) - i) + 1):
+                    f[lang][tuple(words[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= min_count}
+        covered = {p[i : i + m] for p, a in candidates.items() for m in range(2, len(p)) for i in range(len(p) - m + 1) if a == counts[p[i : i + m]]}
+        rows = []
+        for p, a in candidates.items():
+            if p not in covered:
+                score, _, l, r = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, k + 1, p.decode(), -a, l, r, n[lang], -score) for k, (score, a, p, l, r) in enumerate(sorted(rows)[:top])]
+    return out
+
+
+def secrets(text):
+    """n_assign, n_access, n_hex and the digest of the base spans."""
+    text = text or ""
+    assign = re.compile("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    found = [[m.span() for m in assign.finditer(text) if len(m[2]) >= 6], [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20], [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]]
+    spans = sorted((a, k, b) for k, kind in enumerate(found) for a, b in kind)
+    return *map(len, found), hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def manifest(rows, fanout=8):
+    """Leaf, subroot, root, proof digest, folded root and verdict for rows of (doc_id, source, lang, n_chars, text), by row number."""
+    h = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    leaf = lambda r: h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in r))
+    first = lambda x: (x is not None, 0 if x is None else x)
+    by_lang = defaultdict(list)
+    for i, r in enumerate(rows):
+        changed = leaf((*r[:4], None if r[4] is None else lower(r[4]))) if r[0] is not None and crc(r[0]) % 3 == 0 else leaf(r)
+        by_lang[r[2]].append((first(r[0]), leaf(r), changed, i))
+
+    def tree(nodes):
+        """The top, and for each node its siblings (before, after) by level."""
+        steps, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            runs = [nodes[k : k + fanout] for k in range(0, len(nodes), fanout)]
+            for s, a in zip(steps, at):
+                run = runs[a // fanout]
+                s.append(("".join(run[: a % fanout]), "".join(run[a % fanout + 1 :])))
+            at, nodes = [a // fanout for a in at], [h(*run) for run in runs]
+        return nodes[0], steps
+
+    trees = []
+    for lang in sorted(by_lang, key=lambda x: (x is not None, (x or "").encode())):
+        held = sorted(by_lang[lang])
+        trees.append((held, *tree([x[1] for x in held])))
+    root, above = tree([t[1] for t in trees]) if trees else (None, [])
+    out = {}
+    for (held, subroot, steps), more in zip(trees, above):
+        for (_, mine, changed, i), s in zip(held, steps):
+            acc = changed
+            for a, b in s + more:
+                acc = h(a, acc, b)
+            out[i] = (mine, subroot, root, h(*(x for step in s + more for x in step)), acc, acc == root)
+    return out

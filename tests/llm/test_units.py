@@ -373,11 +373,14 @@ ODD = [(None, "some text of a null id " * 20, "en", "a"), (5, "same row " * 60,
 
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_null_and_repeated_ids(spark, tmp_path, name):
-    schema = "doc_id long, text string, lang string, source string, fp long, shard int, blob binary, start long, n_words int, part int"
-    rows = [(*r, 1, 2, b"x", 3, 4, 5) for r in ODD]
+    schema = "doc_id long, text string, lang string, source string, fp long, shard int, blob binary, start long, n_words int, part int, n_chars long, idx long, node string"
+    rows = [(*r, 1, 2, b"x", 3, 4, 5, len(r[1] or ""), 6, "y") for r in ODD]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, "same row same row"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = q.queries()[name](spark, str(tmp_path)).collect()
+    if name.startswith("op11"):  # a row for each phrase
+        assert {(r["lang"], r["phrase"]): r["a"] for r in got if r["rank"] == 1} == {("en", "same row"): 120}
+        return
     assert sorted((r["doc_id"] for r in got), key=str) == sorted((r[0] for r in ODD), key=str)
     if name.startswith("op5"):
         removed = [r["n_removed"] for r in got if r["doc_id"] == 5]
@@ -391,9 +394,12 @@ def test_very_long_text(spark, tmp_path):
     rng = np.random.default_rng(9)
     long = " ".join(rng.choice([f"wort{i}" for i in range(5000)], 250_000))
     docs = [(1, long, "de", "a"), (2, "x" * 400_000, "en", "a"), (3, "kurz und gut", "de", "b"), (4, long[:300_000], "de", "b")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(*d, len(d[1])) for d in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(long.split()[1000:1040]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {name: {r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for name, f in q.queries().items()}
+    queries = q.queries()
+    assert queries.pop("op11_phrases")(spark, str(tmp_path)).collect() == []
+    got = {name: {r["doc_id"]: r for r in f(spark, str(tmp_path)).collect()} for name, f in queries.items()}
     assert all(sorted(rows) == [1, 2, 3, 4] for rows in got.values())
     assert got["op4_quality_rules"][1]["n_words"] == got["op7_decontaminate"][1]["n_words"] == got["op9_mixing"][1]["size"] == 250_000
     assert got["op5_substring_dedup"][4]["n_removed"] == 300_000 and got["op5_substring_dedup"][1]["n_removed"] == 0
