@@ -94,14 +94,14 @@ SELECT v, component, level, row_number() OVER (ORDER BY component DESC, level DE
 def louvain(method: str = "none", warm: bool = False, directed: bool = False, early: bool = False, percent: int = 100, redraw: bool = False, c_threshold: float = 1e-6, threshold: float = 1e-9) -> str:
     """CTEs ending in ``found`` (v, community, modularity): all phases of Louvain, a row of ``state`` for each vertex and step.
 
-    ``method`` says who moves in a step: "none" all nodes, "serial" the first one in order that gains, the others a colour. "greedy",
+    ``method`` says who moves in a step: "none" all nodes, "matched" those whose gain (then least node) is the first at both communities that their move touches, the others a colour. "greedy",
     "balanced" and "max_min" colour the first phase only, which is right for graphs of at most ``min_graph_size`` vertices;
     "greedy_all" colours every phase until one gains nothing; "turns" colours all phases but judges them as uncoloured ones.
     ``warm`` starts at the CTE ``assign``. Steps read the given edges: ``node`` is a vertex's node in the phase's coarse graph.
     A step with a null ``color`` colours nodes and leaves all else as it is.
     """
-    use_color, precolored, serial = method in ("greedy", "balanced", "max_min", "greedy_all"), method in ("balanced", "max_min"), method == "serial"
-    in_turns = "true" if method in ("turns", "serial") else "use_color"
+    use_color, precolored, matched = method in ("greedy", "balanced", "max_min", "greedy_all"), method in ("balanced", "max_min"), method == "matched"
+    in_turns = "true" if method in ("turns", "matched") else "use_color"
     recolored = method in ("greedy", "greedy_all", "turns")
     if warm:
         start = "start AS (SELECT nodes.v, nodes.v AS node, min(nodes.v) OVER (PARTITION BY coalesce(community, nodes.v)) AS own FROM nodes LEFT JOIN assign ON nodes.v = assign.v)"
@@ -118,14 +118,14 @@ start AS (SELECT v, f AS node, f AS own FROM (SELECT a.v, CASE WHEN a.n = 1 AND
     color = "NULL::INT" if recolored else "turn_of" if precolored else "0"
     origin = "start JOIN (SELECT v AS turn_v, (dense_rank() OVER (ORDER BY color) - 1)::INT AS turn_of FROM turns) ON turn_v = node" if precolored else "start"
     chosen = "NOT frozen"
-    if method not in ("none", "serial"):
+    if method not in ("none", "matched"):
         chosen += f" AND (NOT {in_turns} OR info.color = info.turn)"
     if percent < 100:
         share = "round" if redraw else "least(round, 1)"
         chosen += f" AND ((info.node % 2147483648) * 2654435761::HUGEINT + {share} * {40503 * 65537}::HUGEINT) % 4294967296 < {percent * (1 << 32) // 100}"
-    swap = "" if serial else " AND NOT (to_size = 1 AND at_size = 1 AND c > own)"
-    first = " AND place >= turn QUALIFY row_number() OVER (ORDER BY place) = 1" if serial else ""
-    next_turn = "coalesce((SELECT max(place) + 1 FROM moves), 0)" if serial else f"(l.turn + 1) % CASE WHEN l.{in_turns} THEN (SELECT max(color) + 1 FROM live) ELSE 1 END".replace("l.true", "true")
+    swap = "" if matched else " AND NOT (to_size = 1 AND at_size = 1 AND c > own)"
+    first = """ WHERE node = (SELECT arg_min(w.node, (-w.gain, w.node)) FROM wanted w WHERE w.own IN (p.own, p.c) OR w.c IN (p.own, p.c))""" if matched else ""
+    next_turn = f"(l.turn + 1) % CASE WHEN l.{in_turns} THEN (SELECT max(color) + 1 FROM live) ELSE 1 END".replace("l.true", "true")
     columns = "v, node, own, cur, before, best, color, still, frozen, phase, round, turn, prev, outer_q, use_color, done"
     paint = f"""UNION ALL SELECT {columns.replace("color,", "CASE WHEN color IS NOT NULL THEN color WHEN coalesce(beaten, false) THEN NULL ELSE coalesce(list_min(list_filter(range(0, len(used) + 1), lambda x: NOT list_contains(used, x))), 0) END::INT AS color,", 1)} FROM (SELECT * FROM state WHERE NOT done AND EXISTS (SELECT 1 FROM state WHERE {in_turns} AND color IS NULL)) l
 LEFT JOIN (SELECT a.node AS n_node, bool_or(b.color IS NULL AND rb.h > ra.h) AS beaten, coalesce(list(b.color) FILTER (b.color IS NOT NULL), []) AS used
@@ -146,9 +146,10 @@ near AS (SELECT node, c, sum(weight) AS e FROM ends GROUP BY node, c),
 gains AS (SELECT info.node, info.own, place, turn, near.c, t.size AS to_size, s.size AS at_size, CASE WHEN near.c = info.own THEN 0 ELSE round(2 * (near.e - (coalesce(o.e, 0) - loop)) - 2 * degree * (t.a - (s.a - degree)) / m2, 12) END AS gain
   FROM info JOIN near ON near.node = info.node LEFT JOIN near o ON o.node = info.node AND o.c = info.own JOIN sizes t ON t.c = near.c JOIN sizes s ON s.c = info.own, whole WHERE {chosen}),
 pick AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, c) = 1),
-moves AS (SELECT node, c, place FROM pick WHERE gain > 0{swap}{first}),
+wanted AS (SELECT * FROM pick WHERE gain > 0{swap}),
+moves AS (SELECT node, c FROM wanted p{first}),
 next AS (SELECT l.*, coalesce(moves.c, l.own) AS moved, CASE WHEN l.turn = 0 THEN l.own ELSE l.before END AS held, CASE WHEN d.keep THEN l.own ELSE l.before END AS result, d.now, d.ended, d.gained, d.q, d.outer_q AS seen, {next_turn} AS next_turn FROM live l LEFT JOIN moves ON moves.node = l.node, decision d),
-stay AS (SELECT *, CASE WHEN gained THEN result WHEN use_color AND q > seen THEN result ELSE cur END AS again, {str(warm).lower()} AND phase = 0 AS goes_on, CASE WHEN next_turn > 0 THEN still WHEN moved = held THEN still + 1 ELSE 0 END AS stayed FROM next)
+stay AS (SELECT *, CASE WHEN gained THEN result WHEN use_color AND q > seen THEN result ELSE cur END AS again, {str(warm).lower()} AND phase = 0 AS goes_on, CASE WHEN next_turn > 0 THEN still WHEN moved = held{" AND node NOT IN (SELECT node FROM wanted)" if matched else ""} THEN still + 1 ELSE 0 END AS stayed FROM next)
 SELECT v, CASE WHEN ended AND (gained OR NOT use_color) THEN again ELSE node END AS node, CASE WHEN ended THEN again ELSE moved END AS own, CASE WHEN ended THEN again ELSE cur END AS cur,
   CASE WHEN ended THEN again ELSE held END AS before, CASE WHEN gained THEN result ELSE best END AS best, CASE WHEN ended AND {str(recolored or precolored).lower()} THEN NULL ELSE color END AS color,
   CASE WHEN ended THEN 0 ELSE stayed END AS still, NOT ended AND {str(early).lower()} AND (frozen OR (next_turn = 0 AND stayed >= 2 AND round > 1)) AS frozen,

@@ -1,114 +1,107 @@
 """Vertex colourings; ``edges`` are symmetric and colours start at 0.
 
-Priorities are hashes of ids, so a colouring depends on neither the partitions nor the number of tasks.
-Up to ``LOCAL_EDGES`` edges, which are counted first, one task colours the graph on arrays; beyond, rounds
-of joins do. Every colouring is the same either way.
+Priorities are hashes of ids, so a colouring depends on neither the partitions nor the number of tasks. Rounds of
+joins read only the edges whose ends are still open: a table of them is written whenever half have closed. The state of
+a loop goes through the shared folder.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from kinweave.operators import kernels
 from kinweave.plans.scratch import Rotation, materialize
 
-LOCAL_EDGES = 2_000_000
 
+#: A round of ``color_distance_one``: one statement, as it is analysed once in each round.
+_ROUND = """WITH ends AS (SELECT src, max(o.color < 0 AND after) AS beaten, collect_set(CASE WHEN o.color >= 0 THEN o.color END) AS used FROM {near} JOIN {state} o ON dst = o.v GROUP BY src),
+held AS (SELECT v, color, coalesce(beaten, false) AS beaten, coalesce(used, CAST(array() AS array<int>)) AS used FROM {state} LEFT JOIN ends ON v = src)
+SELECT v, CASE WHEN color >= 0 THEN color WHEN beaten THEN -1 ELSE array_min(array_except(sequence(0, size(used)), used)) END AS color FROM held"""
 
-def _local(vertices: DataFrame, pairs: DataFrame, seed: int, colors: DataFrame | None, balanced: bool, least_used: bool) -> DataFrame:
-    """The colouring of a small graph in one task."""
-    given = colors is not None
 
-    def solve(nodes, edges):
-        ids = np.asarray(nodes.column("v"))
-        order = np.argsort(ids)
-        names = ids[order]
-        src, dst = (np.searchsorted(names, np.asarray(edges.column(c))) for c in ("src", "dst"))
-        graph = kernels.Graph(src, dst, np.ones(len(src)), len(names))
-        held = np.asarray(nodes.column("rank"))[order]
-        found = held.astype(np.int64) if given else kernels.color_greedy(graph, held)
-        found = kernels.balance(graph, found, names, least_used, seed=seed) if balanced else found
-        return pa.table({"v": names, "color": pa.array(found.astype(np.int32))})
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst").select("src", "dst").distinct()
 
-    one = F.lit(1).alias("one")
-    ranked = colors.select(one, "v", F.col("color").cast("long").alias("rank")) if given else vertices.select(one, F.col("v").cast("long"), F.xxhash64("v", F.lit(seed)).alias("rank"))
-    return ranked.groupBy("one").cogroup(pairs.select(one, F.col("src").cast("long"), F.col("dst").cast("long")).groupBy("one")).applyInArrow(solve, "v long, color int")
 
+def _rank(v: str, *numbers: int):
+    return F.struct(F.xxhash64(v, *map(F.lit, numbers)), F.col(v))
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.where("src <> dst").select("src", "dst").distinct()
 
+def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFrame:
+    """v, color with no two neighbours alike: in rounds, vertices whose hash beats all their uncoloured neighbours' take the least free colour.
 
-def color_distance_one(vertices: DataFrame, edges: DataFrame, seed: int = 1, max_rounds: int = 200, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """v, color with no two neighbours alike: in rounds, vertices whose hash beats all their uncoloured neighbours' take the least free colour."""
-    pairs = materialize(_pairs(edges), "pairs")
-    if pairs.count() <= local_edges:
-        return _local(vertices, pairs, seed, None, False, False)
-    state = materialize(vertices.select("v", F.xxhash64("v", F.lit(seed)).alias("rank"), F.lit(-1).alias("color")), "colors")
-    rotation = Rotation(vertices.sparkSession, "colors")
+    A round is one job: it reads the edges of open vertices, and the colours of their other ends.
+    """
+    spark = vertices.sparkSession
+    states, frontier = Rotation(spark, "colors"), Rotation(spark, "open")
+    # Whether the other end goes first never changes.
+    near = frontier.write(_pairs(edges).select("src", "dst", (_rank("dst", seed) > _rank("src", seed)).alias("after")).hint("rebalance"))
+    left = F.count_if(F.col("color") < 0)
+    state, seen = states.observed(vertices.select("v", F.lit(-1).alias("color")).distinct().hint("rebalance"), open=left)
+    written = seen["open"]
     for _ in range(max_rounds):
-        if not state.where("color < 0").limit(1).count():
+        if not seen["open"]:
             return state.select("v", "color")
-        mine = state.where("color < 0").select(F.col("v").alias("m_v"), F.struct("rank", "v").alias("m_rank"))
-        other = state.select(F.col("v").alias("o_v"), F.struct("rank", "v").alias("o_rank"), F.col("color").alias("o_color"))
-        near = pairs.join(mine, F.col("src") == F.col("m_v")).join(other, F.col("dst") == F.col("o_v"))
-        seen = near.groupBy(F.col("src").alias("s_v")).agg(F.max((F.col("o_color") < 0) & (F.col("o_rank") > F.col("m_rank"))).alias("beaten"), F.collect_set(F.when(F.col("o_color") >= 0, F.col("o_color"))).alias("used"))
-        used = F.coalesce("used", F.array().cast("array<int>"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        joined = state.join(seen, F.col("v") == F.col("s_v"), "left")
-        state = rotation.write(joined.select("v", "rank", F.when(F.col("color") >= 0, F.col("color")).when(F.coalesce("beaten", F.lit(False)), -1).otherwise(free).alias("color")))
+        if 2 * seen["open"] <= written:
+            still = state.where("color < 0").select(F.col("v").alias("o_v"))
+            near, written = frontier.write(near.join(still, F.col("src") == F.col("o_v")).select("src", "dst", "after")), seen["open"]
+        state, seen = states.observed(spark.sql(_ROUND, near=near, state=state), open=left)
     raise RuntimeError(f"colouring not done after {max_rounds} rounds")
 
 
 def color_max_min(vertices: DataFrame, edges: DataFrame, n_colors: int = 16, n_hashes: int = 2, seed: int = 1) -> DataFrame:
-    """v, color from at most ``n_colors``: for each hash of each of n_colors / 4 rounds, uncoloured local maxima and minima take the next two colours; the rest get the last."""
-    pairs = materialize(_pairs(edges), "pairs")
-    state = materialize(vertices.select("v", F.lit(-1).alias("color")), "colors")
+    """v, color from at most ``n_colors``: for each hash of each of n_colors / 4 rounds, uncoloured local maxima and minima take the next two colours; the rest get the last.
+
+    Hashes come from the ids of an edge's ends, so a round groups the open edges without a join, and then drops those with
+    an end that has got its colour.
+    """
+    spark = vertices.sparkSession
+    states, frontier = Rotation(spark, "colors"), Rotation(spark, "open")
+    near = frontier.write(_pairs(edges).hint("rebalance"))
+    state = states.write(vertices.select("v", F.lit(-1).alias("color")).distinct().hint("rebalance"))
     last = 2 * n_hashes * max(1, n_colors // 4)
-    rotation = Rotation(vertices.sparkSession, "colors")
     for k in range(last // 2):
-        open_ = state.where("color < 0").select("v", F.struct(F.xxhash64("v", F.lit(seed), F.lit(k)), "v").alias("h"))
-        a, b = (open_.select(F.col("v").alias(f"{x}_v"), F.col("h").alias(f"{x}_h")) for x in "ab")
-        near = pairs.join(a, F.col("src") == F.col("a_v")).join(b, F.col("dst") == F.col("b_v")).groupBy(F.col("src").alias("n_v")).agg(F.max("b_h").alias("most"), F.min("b_h").alias("least"), F.first("a_h").alias("own"))
-        joined = state.join(near, F.col("v") == F.col("n_v"), "left")
-        top = F.col("own").isNull() | (F.col("own") > F.col("most"))
-        color = F.when(F.col("color") >= 0, F.col("color")).when(top, 2 * k).when(F.col("own") < F.col("least"), 2 * k + 1).otherwise(-1)
-        state = rotation.write(joined.select("v", color.cast("int").alias("color")))
+        own, other = _rank("src", seed, k), _rank("dst", seed, k)
+        seen = near.groupBy(F.col("src").alias("n_v")).agg((F.max(other) > F.first(own)).alias("below"), (F.min(other) < F.first(own)).alias("above"))
+        joined = state.join(seen, F.col("v") == F.col("n_v"), "left")
+        color = F.when(F.col("color") >= 0, F.col("color")).when(~F.coalesce("below", F.lit(False)), 2 * k).when(~F.col("above"), 2 * k + 1).otherwise(-1)
+        state = states.write(joined.select("v", color.cast("int").alias("color")))
+        if k + 1 < last // 2:
+            still = state.where("color < 0").select("v")
+            near = near.join(still.select(F.col("v").alias("a_v")), F.col("src") == F.col("a_v")).join(still.select(F.col("v").alias("b_v")), F.col("dst") == F.col("b_v"))
+            near = frontier.write(near.select("src", "dst"))
     return state.select("v", F.when(F.col("color") < 0, last).otherwise(F.col("color")).cast("int").alias("color"))
 
 
-def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | None = None, least_used: bool = False, max_rounds: int = 20, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def color_balanced(vertices: DataFrame, edges: DataFrame, colors: DataFrame | None = None, least_used: bool = False, max_rounds: int = 20, seed: int = 1) -> DataFrame:
     """A distance-1 colouring whose over-full colours are emptied towards the mean.
 
-    In rounds of joins, vertices of colours above the mean that beat all such neighbours by hash ask for an allowed
-    colour below the mean: the first one, or the least used. As many as there is room for move.
+    In rounds, vertices of colours above the mean that beat all such neighbours by hash ask for an allowed colour below
+    it: the first one, or the least used. A colour's room is dealt by hash: of those that ask, a share as large as
+    the room over their number moves. The colours' sizes stay a table, with a row for each colour.
     """
-    pairs = materialize(_pairs(edges), "pairs")
-    if pairs.count() <= local_edges:
-        return _local(vertices, pairs, seed, colors, True, least_used)
-    state = materialize(colors if colors is not None else color_distance_one(vertices, edges, seed, local_edges=local_edges), "colors")
+    pairs = materialize(_pairs(edges).hint("rebalance"), "pairs")
     rotation = Rotation(vertices.sparkSession, "colors")
+    state = rotation.write((colors if colors is not None else color_distance_one(vertices, edges, seed)).select("v", "color").hint("rebalance"))
     for k in range(max_rounds):
-        counts = {r["color"]: r["n"] for r in state.groupBy("color").agg(F.count("*").alias("n")).collect()}  # a row for each colour
-        room = -(-sum(counts.values()) // max(1, len(counts)))
-        below = sorted((c for c, n in counts.items() if n < room), key=lambda c: (counts[c] if least_used else 0, c))
-        if not below or max(counts.values()) <= room:
-            break
-        order = F.struct(F.xxhash64("v", F.lit(seed), F.lit(k)), "v")
-        over = state.where(F.col("color").isin([c for c, n in counts.items() if n > room])).select("v", order.alias("h"))
+        counts = state.groupBy("color").agg(F.count("*").alias("n"))
+        whole = Window.partitionBy(F.lit(1))
+        sizes = counts.withColumn("room", F.ceil(F.sum("n").over(whole) / F.count("*").over(whole)).cast("long"))  # a row for each colour
+        order = F.struct(*(["n"] if least_used else []), "color")
+        below = sizes.where("n < room").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["color"]).alias("below"))
+        full = sizes.where("n > room").select(F.col("color").alias("f_color"))
+        over = state.join(full, F.col("color") == F.col("f_color")).select("v", _rank("v", seed, k).alias("h"))
         a, b = (over.select(F.col("v").alias(f"{x}_v"), F.col("h").alias(f"{x}_h")) for x in "ab")
-        beaten = pairs.join(a, F.col("src") == F.col("a_v")).join(b, (F.col("dst") == F.col("b_v")) & (F.col("b_h") > F.col("a_h"))).select(F.col("src").alias("v")).distinct()
-        near = pairs.join(state.select(F.col("v").alias("c_v"), F.col("color").alias("c")), F.col("dst") == F.col("c_v")).groupBy(F.col("src").alias("n_v")).agg(F.collect_set("c").alias("used"))
-        asking = over.join(beaten, "v", "left_anti").join(near, F.col("v") == F.col("n_v"), "left")
-        allowed = F.array_except(F.array(*map(F.lit, below)), F.coalesce("used", F.array().cast("array<int>")))
-        asking = asking.select("v", "h", F.get(allowed, F.lit(0)).alias("to")).where("to IS NOT NULL")
-        # Room is shared by hash: of all that ask, a share as large as the room over the number that ask.
-        wanted = {r["to"]: r["n"] for r in asking.groupBy("to").agg(F.count("*").alias("n")).collect()}
-        if not wanted:
+        # The edges of those above the mean: whether another of them goes first, and the colours at their other ends.
+        ends = pairs.join(a, F.col("src") == F.col("a_v")).join(state.select(F.col("v").alias("c_v"), F.col("color").alias("c")), F.col("dst") == F.col("c_v")).join(b, F.col("dst") == F.col("b_v"), "left")
+        seen = ends.groupBy(F.col("src").alias("n_v")).agg(F.max(F.coalesce(F.col("b_h") > F.col("a_h"), F.lit(False))).alias("beaten"), F.collect_set("c").alias("used"))
+        asking = over.join(seen, F.col("v") == F.col("n_v"), "left").where("NOT coalesce(beaten, false)").crossJoin(below)  # one row
+        allowed = F.array_except("below", F.coalesce("used", F.array().cast("array<int>")))
+        asking = materialize(asking.select("v", F.get(allowed, F.lit(0)).alias("to")).where("to IS NOT NULL"), "asking")
+        if not asking.limit(1).count():
             break
-        share = F.create_map(*(x for c, n in wanted.items() for x in (F.lit(c), F.lit(min(1.0, (room - counts[c]) / n)))))
-        moved = asking.where(F.pmod(F.xxhash64("v", F.lit(seed + 1), F.lit(k)), F.lit(1 << 20)) < share[F.col("to")] * (1 << 20)).select(F.col("v").alias("m_v"), "to")
+        wanted = asking.groupBy(F.col("to").alias("w_to")).agg(F.count("*").alias("asked"))
+        share = wanted.join(sizes, F.col("w_to") == F.col("color")).select("w_to", F.least(F.lit(1.0), (F.col("room") - F.col("n")) / F.col("asked")).alias("share"))
+        draw = F.pmod(F.xxhash64("v", F.lit(seed + 1), F.lit(k)), F.lit(1 << 20))
+        moved = asking.join(share, F.col("to") == F.col("w_to")).where(draw < F.col("share") * (1 << 20)).select(F.col("v").alias("m_v"), "to")
         state = rotation.write(state.join(moved, F.col("v") == F.col("m_v"), "left").select("v", F.coalesce("to", "color").cast("int").alias("color")))
-    return state.select("v", "color")
+    return state

@@ -6,32 +6,39 @@ single vertices that want each other's community only the larger id moves. Sweep
 gains less than a threshold, and the state with the higher modularity is kept. Communities then become
 vertices of the next phase's graph.
 
-Graphs over ``local_edges`` edges run as DataFrame loops whose state goes through the shared folder; once
-a graph, or a coarser one of a later phase, is below it, the rest runs in one task on arrays.
+A sweep is one job over edges and state, whose table also has what modularity is summed from: state goes through the
+shared folder, in a few tables that are written in turn. Once few vertices move, a sweep reads only the edges of those
+that the moves can affect: vertices with an end in a community that has gained or lost members.
 """
 
 from __future__ import annotations
 
 from copy import copy
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinweave.functions import GAIN_DIGITS
 from kinweave.operators import kernels
 from kinweave.operators.coloring import color_balanced, color_distance_one, color_max_min
 from kinweave.operators.graph import coarsen, compose, vertex_following
 from kinweave.operators.metrics import modularity
-from kinweave.plans.scratch import materialize
+from kinweave.plans.scratch import Rotation, materialize
 
 LOCAL_EDGES = 2_000_000
+#: A sweep over the affected vertices alone follows one in which less than this share of the vertices moved.
+FRONTIER = 0.05
 
 
 @dataclass(frozen=True)
 class Options:
-    """``coloring``: 0 none, 1 distance-1, 2 balanced, 3 max-min with ``num_colors``. ``sync``: 0 none, 1 serial, 2 neighbourhoods in turns, 3 early termination, 4 serial with early termination.
+    """``coloring``: 0 none, 1 distance-1, 2 balanced, 3 max-min with ``num_colors``. ``sync``: 0 none, 1 moves without conflicts, 2 neighbourhoods in turns, 3 early termination, 4 moves without conflicts and with early termination.
+
+    Of moves without conflicts, each touches the community that a vertex leaves and the one that it enters: the move of
+    highest gain, then of least id, of all that touch either of the two is made, the others wait. So all gains of a
+    sweep add up, as if its moves were made one after the other, and the rule for single vertices isn't needed.
 
     ``c_threshold`` ends coloured phases, ``threshold`` the others. ``percent`` below 100 lets only a
     hashed share of vertices move; the share is drawn again in the second sweep and then stays, or with
@@ -53,6 +60,10 @@ class Options:
     max_rounds: int = 10_000
     local_edges: int = LOCAL_EDGES
 
+    @property
+    def takes_turns(self) -> bool:
+        return self.sync == 2 or (self.coloring > 0 and self.sync == 0 and self.percent == 100 and not self.directed)
+
 
 def singletons(vertices: DataFrame) -> DataFrame:
     return vertices.select("v", F.col("v").alias("community"))
@@ -115,40 +126,141 @@ def _factor(options: Options) -> float:
     return 0.5 if options.directed else 1.0
 
 
-def _phase(edges: DataFrame, start: DataFrame, options: Options, threshold: float, colors: DataFrame | None) -> tuple[DataFrame, float]:
-    """One phase as a loop of DataFrame sweeps."""
-    state, before, previous = start, start, -1.0
-    turns = [r["color"] for r in colors.select("color").distinct().orderBy("color").collect()] if colors is not None else None
-    factor = _factor(options)
-    still = None
-    weights = materialize(vertex_weights(edges), "weights")
-    if turns is not None:
-        # Each turn reads the edges of its own colour alone.
-        by_color = edges.join(colors.select(F.col("v").alias("c_v"), "color"), F.col("src") == F.col("c_v")).select("color", "src", "dst", "weight")
-        by_color = materialize(by_color.repartition("color", "src"), "by_color", ["color"])
+class _Tables:
+    """The tables of a run, each written in turn to two places, and the weight that moves are judged by."""
+
+    def __init__(self, spark: SparkSession, m2: float, options: Options):
+        self.m2, self.options = m2, options
+        self.sweeps, self.states, self.moves, self.best, self.graphs, self.weights, self.turns = (Rotation(spark, n) for n in ("sweeps", "states", "moves", "best", "graphs", "weights", "turns"))
+
+
+#: One statement, as a loop's plans are built anew in each of its sweeps and this is analysed once.
+_JUDGED = """WITH sums AS (SELECT own AS c, sum(degree) AS a, count(*) AS size FROM {state} GROUP BY own),
+info AS (SELECT s.*, a, size FROM {state} s JOIN sums ON own = c),
+near AS (SELECT src, own AS c, sum(weight) AS e, first(a) AS a, first(size) AS size FROM {edges} JOIN info ON dst = v GROUP BY src, own),
+held AS (SELECT v, CARRIED, first(info.a) AS a, first(info.size) AS size, sum(CASE WHEN near.c = own THEN e ELSE 0D END) AS e_own,
+  min(CASE WHEN near.c <> own THEN struct(-round(2 * e - 2 * degree * near.a / M2, DIGITS) AS loss, near.c AS c, near.size AS size) END) AS pick
+  FROM near JOIN info ON src = v GROUP BY v),
+gains AS (SELECT *, coalesce(round(-pick.loss - 2 * (e_own - loop) + 2 * degree * (a - degree) / M2, DIGITS), 0D) AS gain FROM held)
+SELECT v, NAMES, e_own, a, CASE WHEN gain > 0 AND NOT (SWAPS AND pick.size = 1 AND size = 1 AND pick.c > own) THEN pick.c ELSE own END AS target, gain FROM gains"""
+
+
+def _judged(edges: DataFrame, state: DataFrame, m2: float, swap_rule: bool = True) -> DataFrame:
+    """For each vertex with ``edges``: v, own, degree, loop and the other columns of ``state``, e_own (weight into its own community), a (that one's degrees), target and gain.
+
+    ``state`` has v, own, degree and loop; ``edges`` are those of the vertices that are asked for. What a vertex gains by
+    leaving its community is the same for all targets, which are compared without it.
+    """
+    carried = [c for c in state.columns if c != "v"]
+    query = _JUDGED.replace("CARRIED", ", ".join(f"first({c}) AS {c}" for c in carried)).replace("NAMES", ", ".join(carried))
+    query = query.replace("M2", f"{m2!r}D").replace("DIGITS", str(GAIN_DIGITS)).replace("SWAPS", str(swap_rule))
+    return edges.sparkSession.sql(query, state=state, edges=edges)
+
+
+def _swept(rotation: Rotation, swept: DataFrame, m2: float) -> tuple[DataFrame, float, int, int]:
+    """A sweep written and read back, the modularity of the assignment before it, how many vertices have another target, and how many there are.
+
+    The sums are observed by the tasks that write.
+    """
+    table, got = rotation.observed(swept, e=F.sum("e_own"), squares=F.sum(F.col("degree") * F.col("a")), moved=F.count_if(F.col("target") != F.col("own")), n=F.count(F.lit(1)))
+    return table, (got["e"] or 0.0) / m2 - (got["squares"] or 0.0) / m2 / m2, got["moved"], got["n"]
+
+
+def _affected(edges: DataFrame, swept: DataFrame) -> DataFrame:
+    """e_v: the vertices that the moves of a sweep can give another target."""
+    changed = swept.where("own <> target").select(F.explode(F.array("own", "target")).alias("c")).distinct()
+    inside = swept.join(changed, F.col("target") == F.col("c"), "left_semi").select(F.col("v").alias("e_v"))
+    return edges.join(inside, F.col("dst") == F.col("e_v"), "left_semi").select(F.col("src").alias("e_v")).union(inside).distinct()
+
+
+def _sweeps(edges: DataFrame, state: DataFrame, tables: _Tables, threshold: float) -> tuple[DataFrame, float]:
+    """All vertices move at once, until modularity gains less than the threshold; the assignment before that and its modularity."""
+    options, m2 = tables.options, tables.m2
+    previous, before, frontier = -1.0, None, None
+    if options.sync == 3:
+        state = state.withColumn("still", F.lit(0))
     for round in range(options.max_rounds):
-        now = _quality(edges, state, factor)
-        if round and now - previous < threshold:
-            return (state, now) if turns and now > previous else (before, previous)
-        previous, before = now, state
-        if turns is not None:
-            for color in turns:
-                state = materialize(best_move(edges, state, weights=weights, moving=by_color.where(F.col("color") == color)), "assign")
-            continue
-        movable = _share(F.col("v"), round if options.redraw else min(round, 1), options.percent) if options.percent < 100 else None
-        moved = best_move(edges, state, movable, factor, weights)
-        if options.sync == 3:
-            if still is None:
-                still = materialize(state.select("v", F.lit(0).alias("still")), "still")
-            n = moved.select(F.col("v").alias("n_v"), F.col("community").alias("n_c"))
-            held = state.join(n, F.col("v") == F.col("n_v")).join(still.select(F.col("v").alias("s_v"), "still"), F.col("v") == F.col("s_v"))
-            frozen = F.col("still") >= 2 if round > 2 else F.lit(False)
-            to = F.when(frozen, F.col("community")).otherwise(F.col("n_c"))
-            both = materialize(held.select("v", to.alias("community"), F.when(to == F.col("community"), F.col("still") + 1).otherwise(0).alias("still")), "assign")
-            state, still = both.select("v", "community"), both.select("v", "still")
+        if frontier is None:
+            swept = _judged(edges, state, m2)
         else:
-            state = materialize(moved, "assign")
-    return before, previous
+            near = edges.join(frontier, F.col("src") == F.col("e_v"), "left_semi")
+            rest = before.join(frontier, F.col("v") == F.col("e_v"), "left_anti")
+            swept = _judged(near, state, m2).unionByName(rest.withColumn("own", F.col("target")))
+        stays = F.lit(False)
+        if options.percent < 100:
+            stays = ~_share(F.col("v"), round if options.redraw else min(round, 1), options.percent)
+        if options.sync == 3 and round > 2:
+            stays = F.col("still") >= 2
+        swept = swept.withColumn("target", F.when(stays, F.col("own")).otherwise(F.col("target")))
+        if options.sync == 3:
+            swept = swept.withColumn("still", F.when(F.col("target") == F.col("own"), F.col("still") + 1).otherwise(0))
+        swept, now, moved, n = _swept(tables.sweeps, swept, m2)
+        if round and now - previous < threshold:
+            return before.select("v", F.col("own").alias("community")), previous
+        previous, before = now, swept
+        state = swept.select("v", F.col("target").alias("own"), *(c for c in state.columns if c not in ("v", "own")))
+        # Vertices that were kept from moving have to be asked again.
+        frontier = None
+        if options.percent == 100 and options.sync != 3 and moved < FRONTIER * n:
+            frontier = tables.moves.write(_affected(edges, swept))
+    return before.select("v", F.col("own").alias("community")), previous
+
+
+def _turns(edges: DataFrame, state: DataFrame, tables: _Tables, threshold: float, colors: DataFrame) -> tuple[DataFrame, float]:
+    """In each round the vertices of one colour after the other move, seeing the moves before; the better one of the last two assignments and its modularity."""
+    options, m2 = tables.options, tables.m2
+    colors = colors.select(F.col("v").alias("c_v"), "color")
+    state = tables.states.write(state.join(colors, F.col("v") == F.col("c_v")).drop("c_v"))
+    turns = [r["color"] for r in state.select("color").distinct().orderBy("color").collect()]
+    # Each turn reads the edges of its own colour alone.
+    by_color = edges.join(colors, F.col("src") == F.col("c_v")).select("color", "src", "dst", "weight")
+    by_color = materialize(by_color.repartition("color", "src"), "by_color", ["color"])
+    as_assign = lambda table: table.select("v", F.col("own").alias("community"))
+    previous, before = -1.0, None
+    for round in range(options.max_rounds):
+        now = _quality(edges, as_assign(state), _factor(options))
+        if round and now - previous < threshold:
+            return (as_assign(state), now) if now > previous else (as_assign(before), previous)
+        previous, before = now, tables.turns.write(state)
+        for color in turns:
+            moved = _judged(by_color.where(F.col("color") == color).drop("color"), state, m2).withColumn("own", F.col("target"))
+            state = tables.states.write(moved.where(F.col("color") == color).select(*state.columns).union(state.where(F.col("color") != color)))
+    return as_assign(before), previous
+
+
+def _conflict_free(edges: DataFrame, state: DataFrame, tables: _Tables, threshold: float) -> tuple[DataFrame, float]:
+    """Of all moves that gain, those are made at once that come first by gain and id at both of their communities; the last assignment and its modularity."""
+    options, m2 = tables.options, tables.m2
+    early = options.sync == 4
+    state = state.withColumn("still", F.lit(0))
+    names = state.columns
+    previous, before = -1.0, None
+    for round in range(options.max_rounds):
+        swept = _judged(edges, state, m2, swap_rule=False)
+        if early and round > 2:
+            swept = swept.withColumn("target", F.when(F.col("still") >= 2, F.col("own")).otherwise(F.col("target")))
+        swept, now, wanted, _ = _swept(tables.sweeps, swept, m2)
+        if round and now - previous < threshold:
+            kept = swept if now > previous else before
+            return kept.select("v", F.col("own").alias("community")), max(now, previous)
+        previous, before = now, swept
+        if not wanted:
+            return swept.select("v", F.col("own").alias("community")), now
+        asked = swept.where("target <> own").select("v", "own", "target", "gain")
+        first = asked.select(F.explode(F.array("own", "target")).alias("c"), F.struct((-F.col("gain")).alias("loss"), "v").alias("rank")).groupBy("c").agg(F.min("rank")["v"].alias("first"))
+        at, to = (first.select(F.col("c").alias(f"{x}_c"), F.col("first").alias(f"{x}_first")) for x in ("at", "to"))
+        made = asked.join(at, (F.col("own") == F.col("at_c")) & (F.col("v") == F.col("at_first"))).join(to, (F.col("target") == F.col("to_c")) & (F.col("v") == F.col("to_first")))
+        made = made.select(F.col("v").alias("m_v"), F.col("target").alias("m_to"))
+        still = F.when(F.col("target") == F.col("own"), F.col("still") + 1).otherwise(0)
+        moved = swept.join(made, F.col("v") == F.col("m_v"), "left").select("v", F.coalesce("m_to", "own").alias("own"), "degree", "loop", still.alias("still"))
+        state = tables.states.write(moved.select(*names))
+    return before.select("v", F.col("own").alias("community")), previous
+
+
+def _colored(vertices: DataFrame, edges: DataFrame, options: Options, coloring: int) -> DataFrame:
+    if coloring == 3:
+        return color_max_min(vertices, edges, options.num_colors)
+    return color_balanced(vertices, edges) if coloring == 2 else color_distance_one(vertices, edges)
 
 
 def _colors(graph: kernels.Graph, names: np.ndarray, options: Options) -> np.ndarray:
@@ -161,8 +273,6 @@ def _colors(graph: kernels.Graph, names: np.ndarray, options: Options) -> np.nda
 
 def _local_phase(graph: kernels.Graph, start: np.ndarray, options: Options, threshold: float, colored: bool, names: np.ndarray):
     rounds = options.max_rounds
-    if options.sync in (1, 4):
-        return kernels.serial(graph, start, threshold, rounds, early=options.sync == 4)[:2]
     if colored or options.sync == 2:
         colors = _colors(graph, names, options)
         order = np.argsort(colors, kind="stable")
@@ -226,8 +336,7 @@ def run_local(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, options: Opt
 
 
 def _local(edges: DataFrame, options: Options, initial: DataFrame | None, phase: int) -> DataFrame:
-    """The rest of the run in one task; edges were counted before."""
-
+    """The run in one task; edges were counted before."""
     warm = initial is not None
 
     def solve(left, right):
@@ -244,50 +353,64 @@ def _local(edges: DataFrame, options: Options, initial: DataFrame | None, phase:
 def louvain(vertices: DataFrame, edges: DataFrame, options: Options = Options(), initial: DataFrame | None = None) -> DataFrame:
     """v, community (its least member, -1 for isolated vertices) and the modularity of the whole assignment on ``edges``.
 
-    ``initial`` is an assignment to start from. Serial kernels (sync 1 and 4) have no distributed form; on
-    graphs over ``local_edges`` their first phases run in turns by colour, as sync 2.
+    ``initial`` is an assignment to start from.
     """
-    graph = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")), "edges")
-    n_edges = graph.count()
-    if n_edges <= options.local_edges:
-        found = _local(graph, options, initial, 0)
-    else:
-        whole, total, best, previous, phase, held = graph, None, None, None, 0, None
-        takes_turns = options.coloring > 0 and options.sync == 0 and options.percent == 100 and not options.directed
-        while phase < options.max_phases and n_edges > options.local_edges:
-            nodes = graph.select(F.col("src").alias("v")).union(graph.select(F.col("dst").alias("v"))).distinct()
-            start = held
-            if not phase and initial is not None:
-                start = materialize(_named(nodes.join(initial, "v", "left").select("v", F.coalesce("community", "v").alias("community"))), "start")
-            elif not phase and options.follow and not options.directed:
-                total = materialize(vertex_following(nodes, graph), "follow")
-                graph, nodes = materialize(coarsen(graph, total), "coarse"), total.select(F.col("community").alias("v")).distinct()
-            start = materialize(singletons(nodes), "start") if start is None else start
-            if best is None:
-                best, previous = start if total is None else total, _quality(graph, start, _factor(options))
-            use_color = takes_turns and (phase == 0 or nodes.count() > options.min_graph_size)
-            colors = None
-            if use_color or options.sync in (1, 2, 4):
-                kind = options.coloring if use_color else 1
-                colors = color_max_min(nodes, graph, options.num_colors) if kind == 3 else color_balanced(nodes, graph) if kind == 2 else color_distance_one(nodes, graph)
-            own, quality = _phase(graph, start, options, options.c_threshold if use_color else options.threshold, colors)
-            gained = quality - previous > options.threshold
-            if gained:
-                best, previous = materialize(own if total is None else compose(total, own), "best"), quality
-            elif use_color:
-                # Turns found nothing more: go on without them, from the better assignment.
-                takes_turns, held = False, own if quality > previous else start
-                phase += 1
-                continue
-            elif initial is None or phase:
-                break
-            graph = materialize(coarsen(graph, own if gained else start), "coarse")
-            total, held, phase = best, None, phase + 1
-            n_edges = graph.count()
-        if n_edges <= options.local_edges and phase < options.max_phases:
-            rest = _local(graph, options if takes_turns else replace(options, coloring=0), None, max(phase, 1)).select("v", "community")
-            best = materialize(compose(total, rest), "best")
-        named = materialize(_named(best), "named")
+    graph = whole = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")).hint("rebalance"), "edges")
+    nodes = graph.select(F.col("src").alias("v")).union(graph.select(F.col("dst").alias("v"))).distinct()
+    weight, n_edges = graph.agg(F.sum("weight"), F.count("*")).first()
+    if options.takes_turns and n_edges <= options.local_edges:
+        return _placed(vertices, _local(graph, options, initial, 0))
+    weight = weight or 0.0
+    if options.directed:
+        # Vertices that only receive arcs take part with an empty loop.
+        graph = materialize(graph.union(nodes.select("v", "v", F.lit(0.0))), "edges")
+    found = nodes.select("v", F.col("v").alias("community"), F.lit(0.0).alias("modularity"))
+    if weight > 0:
+        named = materialize(_named(_phases(graph, nodes, _Tables(edges.sparkSession, weight * _factor(options), options), initial)), "named")
         found = named.withColumn("modularity", F.lit(_quality(whole, named)))
+    return _placed(vertices, found)
+
+
+def _placed(vertices: DataFrame, found: DataFrame) -> DataFrame:
     found = found.withColumnRenamed("v", "f_v")
     return vertices.join(found, F.col("v") == F.col("f_v"), "left").select("v", F.coalesce("community", F.lit(-1).cast("long")).alias("community"), "modularity")
+
+
+def _phases(graph: DataFrame, nodes: DataFrame, tables: _Tables, initial: DataFrame | None) -> DataFrame:
+    """v and community: phases of sweeps, each over the communities of the one before, until one gains nothing."""
+    options = tables.options
+    takes_turns = options.takes_turns and options.sync == 0
+    start = total = None
+    if initial is not None:
+        start = tables.best.write(_named(nodes.join(initial.select(F.col("v").alias("i_v"), "community"), F.col("v") == F.col("i_v"), "left").select("v", F.coalesce("community", "v").alias("community"))))
+    elif options.follow and not options.directed:
+        total = tables.best.write(vertex_following(nodes, graph))
+        graph, nodes = tables.graphs.write(coarsen(graph, total).hint("rebalance")), total.select(F.col("community").alias("v")).distinct()
+    start = singletons(nodes) if start is None else start
+    best = start if total is None else total
+    previous = _quality(graph, start, _factor(options))
+    for phase in range(options.max_phases):
+        degrees = vertex_weights(graph)
+        state = tables.weights.write(start.join(degrees, F.col("v") == F.col("d_v")).select("v", F.col("community").alias("own"), "degree", "loop").hint("rebalance"))
+        use_color = takes_turns and (phase == 0 or state.count() > options.min_graph_size)
+        threshold = options.c_threshold if use_color else options.threshold
+        if use_color or options.sync == 2:
+            own, quality = _turns(graph, state, tables, threshold, _colored(state.select("v"), graph, options, options.coloring if use_color else 1))
+        elif options.sync in (1, 4):
+            own, quality = _conflict_free(graph, state, tables, threshold)
+        else:
+            own, quality = _sweeps(graph, state, tables, threshold)
+        gained = quality - previous > options.threshold
+        if gained:
+            best, previous = tables.best.write(own if total is None else compose(total, own)), quality
+        elif use_color:
+            # Turns found nothing more: go on without them, from the better assignment.
+            takes_turns = False
+            start = materialize(own, "start") if quality > previous else start
+            continue
+        elif initial is None or phase:
+            break
+        kept = own if gained else start
+        graph, total = tables.graphs.write(coarsen(graph, kept).hint("rebalance")), best
+        start = singletons(graph.select(F.col("src").alias("v")).union(graph.select(F.col("dst").alias("v"))).distinct())
+    return best

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -61,6 +61,13 @@ class Rotation:
         return self.spark.read.schema(df.schema).parquet(self.paths[0])
 
 
+    def observed(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """``write``, and aggregates of the rows that its tasks wrote."""
+        seen = Observation()
+        table = self.write(df.observe(seen, *(c.alias(name) for name, c in sums.items())))
+        return table, seen.get
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """The bytes of the column ``text``, as they are and not as files compress them."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave import loops
-from kinweave.operators import coloring, graph, knn, links, louvain, metrics, ordering
+from kinweave.operators import coloring, descent, graph, knn, links, louvain, metrics, ordering
 from kinweave.plans.cluster import fast_cluster
 from kinweave.plans.scratch import materialize
 from kinweave.sources import edge_lines
@@ -30,6 +30,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("vec_id") + 1).alias("id"), F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("label"))).alias("features"))
 
 
+def unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as they are."""
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least vertex of each label as an assignment."""
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("v"), F.col("label").alias("attr"))
@@ -111,6 +116,7 @@ def queries() -> dict[str, Query]:
     return {
         "cluster_pipeline": lambda s, d: _rounded(fast_cluster(features(s, d), K), "modularity"),
         **{f"knn_{m}": _knn(m) for m in knn.METRICS},
+        "knn_descent": lambda s, d: descent.knn_descent(unscaled(s, d), K),
         "knn_lists": lambda s, d: knn.knn_lists(features(s, d), K),
         "jaccard_links": lambda s, d: _rounded(links.jaccard_links(near(s, d)), "weight"),
         "dedup_links": lambda s, d: _rounded(link_table(s, d), "weight"),
@@ -217,9 +223,9 @@ def oracle_sql() -> dict[str, str]:
         "louvain_maxmin": _louvain_sql("max_min"),
         "louvain_colored": _louvain_sql("greedy_all"),
         "louvain_basic": _louvain_sql(),
-        "louvain_sync1": _louvain_sql("serial"),
+        "louvain_sync1": _louvain_sql("matched"),
         "louvain_sync2": _louvain_sql("turns"),
-        "louvain_sync4": _louvain_sql("serial", early=True),
+        "louvain_sync4": _louvain_sql("matched", early=True),
         "louvain_sync3": _louvain_sql(early=True),
         "louvain_warm": _louvain_sql(edges=_EDGES + _LABELS, warm=True),
         "louvain_approx": _louvain_sql(percent=50),

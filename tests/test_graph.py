@@ -1,4 +1,4 @@
-"""Golden graphs, invariants, and DataFrame loops against the array kernels."""
+"""Golden graphs, invariants, and loops of joins against versions on arrays."""
 
 import numpy as np
 import pytest
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import coloring, graph, kernels, knn, links, louvain, metrics, ordering
 from kinweave.operators.components import connected_components
 from kinweave.plans.cluster import fast_cluster
+from tests import arrays
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +43,7 @@ def assignment(df):
     return {r["v"]: r["community"] for r in df.collect()}
 
 
-ALL = [dict(), dict(coloring=0), dict(coloring=2), dict(coloring=3), *(dict(coloring=0, sync=k) for k in (1, 2, 3, 4)), dict(coloring=0, percent=60), dict(min_graph_size=0)]
+ALL = [dict(), dict(coloring=0), dict(coloring=0, sync=1)]
 
 
 @pytest.mark.parametrize("options", ALL)
@@ -56,40 +57,46 @@ def test_two_cliques(spark, options):
     assert all(r["modularity"] == pytest.approx(q) for r in found.where("community > 0").collect())
 
 
-@pytest.mark.parametrize("options", [dict(coloring=0), dict(coloring=0, sync=3), dict(coloring=1), dict(coloring=0, percent=60, redraw=True)])
-def test_distributed_matches_quality(spark, options):
-    """The DataFrame loops and the arrays find the ring's cliques, also with the coarse graphs in one task."""
-    edges = graph.build_graph(frame(spark, cliques(6, 4)))
-    nodes = vertices_of(spark, range(1, 25))
-    want = assignment(louvain.louvain(nodes, edges, louvain.Options(**options)))
-    for bound in (0, 20):
-        far = louvain.louvain(nodes, edges, louvain.Options(**options, local_edges=bound))
-        got = assignment(far)
-        q = metrics.modularity(edges, far.select("v", "community")).first()[0]
-        assert far.first()["modularity"] == pytest.approx(q)
-        assert len(set(got.values())) == len(set(want.values())) == 6
+def solved(edges, options, start=None):
+    """The same run on arrays."""
+    src, dst, weight = (np.array(x) for x in zip(*(tuple(r) for r in edges.select("src", "dst", "weight").collect())))
+    ids, label, quality = arrays.run(src, dst, weight, options, start)
+    return dict(zip(ids.tolist(), label.tolist())), quality
 
 
-SAME = [dict(), dict(coloring=0), dict(coloring=2), dict(coloring=3), dict(min_graph_size=0), dict(coloring=0, sync=2), dict(coloring=0, sync=3), dict(coloring=0, percent=60), dict(coloring=0, percent=60, redraw=True), dict(coloring=0, directed=True), dict(coloring=0, follow=False)]
+SAME = [dict(), dict(coloring=3, min_graph_size=0), *(dict(coloring=0, sync=k) for k in (1, 2, 3, 4)), dict(coloring=0, directed=True), dict(coloring=0, percent=60, redraw=True)]
 
 
 @pytest.mark.parametrize("options", SAME)
-def test_one_meaning_at_all_sizes(spark, options):
-    """Loops of joins that end on arrays, or for some options never do, and arrays alone give one assignment."""
-    edges, ids = random_graph(spark, 7, 20, 30)
-    nodes = vertices_of(spark, [*ids, 999])
-    want = {tuple(r) for r in louvain.louvain(nodes, edges, louvain.Options(**options)).collect() if r["v"] != 999}
-    bound = 0 if options in (dict(coloring=0), dict(coloring=0, directed=True)) else edges.count() - 1
-    far = {tuple(r) for r in louvain.louvain(nodes, edges, louvain.Options(**options, local_edges=bound)).collect() if r["v"] != 999}
-    assert {r[:2] for r in far} == {r[:2] for r in want}
-    assert next(iter(far))[2] == pytest.approx(next(iter(want))[2])
-
-
-def test_warm_start_has_one_meaning(spark):
+def test_loops_of_joins_match_arrays(spark, options):
+    edges, ids = random_graph(spark, 7, 12, 16)
+    options = louvain.Options(**options, local_edges=0)
+    found = louvain.louvain(vertices_of(spark, [*ids, 999]), edges, options)
+    rows = {r["v"]: r for r in found.collect()}
+    assert rows.pop(999)["community"] == -1
+    want, quality = solved(edges, options)
+    assert {v: r["community"] for v, r in rows.items()} == want
+    assert all(r["modularity"] == pytest.approx(quality) for r in rows.values())
+
+
+def test_warm_start(spark):
     edges, ids = random_graph(spark, 8, 30, 50)
-    given = spark.createDataFrame([(i, 100 + i % 4) for i in ids], "v long, community long")
-    near, far = (assignment(louvain.louvain(vertices_of(spark, ids), edges, louvain.Options(coloring=0, local_edges=bound), given)) for bound in (10**6, 0))
-    assert near == far
+    given = {i: 100 + i % 4 for i in ids}
+    options = louvain.Options(coloring=0)
+    found = louvain.louvain(vertices_of(spark, ids), edges, options, spark.createDataFrame(list(given.items()), "v long, community long"))
+    assert assignment(found) == solved(edges, options, given)[0]
+
+
+def test_sweeps_over_affected_vertices_change_nothing(spark, monkeypatch):
+    """Sweeps that read only the edges of vertices that moves can affect find the same targets."""
+    edges, ids = random_graph(spark, 9, 60, 90)
+    options = louvain.Options(coloring=0, follow=False)
+    want = solved(edges, options)[0]
+    read = []
+    affected = louvain._affected
+    monkeypatch.setattr(louvain, "_affected", lambda *a: read.append(affected(*a)) or read[-1])
+    monkeypatch.setattr(louvain, "FRONTIER", 1.0)
+    assert assignment(louvain.louvain(vertices_of(spark, ids), edges, options)) == want and len(read) > 2
 
 
 def test_directed_doubles_the_constant(spark):
@@ -101,7 +108,7 @@ def test_directed_doubles_the_constant(spark):
     assert set(plain.values()) == {1} and doubled == {1: 1, 2: 2, 3: 3}
 
 
-def test_sweep_matches_kernel(spark):
+def test_sweep_matches_arrays(spark):
     rng = np.random.default_rng(3)
     rows = [(int(a), int(b), round(float(w), 3)) for a, b, w in zip(rng.integers(1, 40, 120), rng.integers(1, 40, 120), rng.random(120)) if w > 0]
     edges = graph.build_graph(frame(spark, rows))
@@ -153,37 +160,34 @@ def test_missing_neighbours(spark):
     assert got == {(1, 1): 0.5, (1, 2): 0.5, (2, 2): 0.5, (2, 1): 0.5, (3, 3): 0.5}
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
-def test_colorings(spark, local):
+def test_colorings(spark):
     edges = graph.build_graph(frame(spark, cliques(5, 5)))
     nodes = vertices_of(spark, range(1, 27))
-    plain = coloring.color_distance_one(nodes, edges, local_edges=local)
+    plain = coloring.color_distance_one(nodes, edges)
     assert metrics.color_conflicts(edges, plain).first()[0] == 0 and plain.where("color < 0").count() == 0
-    even = coloring.color_balanced(nodes, edges, local_edges=local)
+    even = coloring.color_balanced(nodes, edges)
     assert metrics.color_conflicts(edges, even).first()[0] == 0
     assert metrics.color_stats(even).first()["variance"] <= metrics.color_stats(plain).first()["variance"]
-    if local:
-        far = coloring.color_distance_one(nodes, edges, local_edges=0)
-        assert sorted(map(tuple, far.collect())) == sorted(map(tuple, plain.collect()))
     few = coloring.color_max_min(nodes, edges, 8)
     assert few.agg(F.max("color")).first()[0] <= 8
 
 
-def test_colorings_at_both_sizes(spark):
-    """A colouring is the same on arrays and in rounds of joins, and Louvain takes it as it is."""
+def test_colorings_match_arrays(spark):
     rng = np.random.default_rng(3)
     edges = graph.build_graph(frame(spark, cliques(5, 5) + [(int(a), int(b), 1.0) for a, b in rng.integers(1, 60, (40, 2)) if a != b]))
-    nodes = vertices_of(spark, range(1, 60))
     rows = lambda df: sorted((r["v"], r["color"]) for r in df.collect())
-    for least in (False, True):
-        assert rows(coloring.color_balanced(nodes, edges, least_used=least)) == rows(coloring.color_balanced(nodes, edges, least_used=least, local_edges=0))
     ids = np.array([r["v"] for r in edges.select(F.col("src").alias("v")).distinct().orderBy("v").collect()])
-    held = [tuple(r) for r in edges.collect()]
-    src, dst, weight = (np.array(x) for x in zip(*held))
+    src, dst, weight = (np.array(x) for x in zip(*(tuple(r) for r in edges.collect())))
     small = kernels.Graph(np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, len(ids))
     own = spark.createDataFrame([(int(i),) for i in ids], "v long")
-    for options, far in ((louvain.Options(coloring=3, num_colors=8), coloring.color_max_min(own, edges, 8)), (louvain.Options(coloring=2), coloring.color_balanced(own, edges, local_edges=0)), (louvain.Options(), coloring.color_distance_one(own, edges, local_edges=0))):
-        assert list(zip(ids.tolist(), louvain._colors(small, ids, options).tolist())) == rows(far)
+    plain = kernels.color_greedy(small, kernels.row_hash(ids, 1))
+    for got, want in (
+        (coloring.color_distance_one(own, edges), plain),
+        (coloring.color_balanced(own, edges), kernels.balance(small, plain, ids)),
+        (coloring.color_balanced(own, edges, least_used=True), kernels.balance(small, plain, ids, least_used=True)),
+        (coloring.color_max_min(own, edges, 8), kernels.color_max_min(small, ids, 8)),
+    ):
+        assert rows(got) == list(zip(ids.tolist(), want.tolist()))
     hashes = spark.range(-3, 4).select("id", F.xxhash64("id", F.lit(1), F.lit(7)).alias("h")).collect()
     assert kernels.row_hash(np.array([r["id"] for r in hashes]), 1, 7).tolist() == [r["h"] for r in hashes]
 
