@@ -59,47 +59,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], epochs_total: float, cap
     return levels.withColumn("water", water).select("source", "source_size", F.coalesce(F.least(F.col("full"), F.col("water") * F.col("weight")), F.col("full")).alias("target"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs_total: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies and taken words."""
+def _sized(docs: DataFrame, id: str, text: str, source: str, *more: Column) -> DataFrame:
+    """doc_id, source, size and key of each row, and ``more``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    sizes = docs.select(
+    return docs.select(
         F.col(id).alias("doc_id"),
         F.col(source).alias("source"),
         F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         (-F.log(uniform(F.col(id))) / quality_weight(body)).alias("key"),
+        *more,
     )
-    sizes = materialize(sizes, "mix")
-    n_ranges = max(1, math.isqrt(sizes.count()))
-    means = materialize(sizes.groupBy(F.col("source").alias("k_source")).agg(F.avg("key").alias("mean_key")), "means")
-    means = F.broadcast(means) if means.count() <= BROADCAST_SOURCES else means
-    unit = F.col("key") / F.col("mean_key")
-    ranged = sizes.join(means, F.col("source").eqNullSafe(F.col("k_source"))).withColumn("range", F.least(F.lit(n_ranges - 1), F.floor(F.lit(n_ranges) * (unit / (1 + unit)))).cast("long")).drop("k_source", "mean_key")
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(running), F.lit(0))).drop("range_size")
-    goal = targets(sizes, weights, epochs_total, cap).withColumnRenamed("source", "g_source")
-    offsets = offsets.select(F.col("source").alias("p_source"), F.col("range").alias("p_range"), "offset")
-    plan = offsets.join(goal, F.col("p_source").eqNullSafe(F.col("g_source")))
-    joined = ranged.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range")))
-    within = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
-    rest = F.col("target") - epochs * F.col("source_size")
-    ahead = F.col("offset") + F.sum("size").over(within) - F.col("size")
-    picked = F.when((rest > 0) & (ahead + F.col("size") / 2 <= rest), 1).otherwise(0)
-    mixed = joined.withColumn("copies", (epochs + picked).cast("long"))
+
+
+class _Plan:
+    """Where the rows of a mix fall: the mean key of each source, and for each range of its keys the words before it and the source's target."""
+
+    def __init__(self, sizes: DataFrame, weights: tuple[int, ...], epochs_total: float, cap: float):
+        self.n_ranges = max(1, math.isqrt(sizes.count()))
+        means = materialize(sizes.groupBy(F.col("source").alias("k_source")).agg(F.avg("key").alias("mean_key")), "means")
+        self.means = F.broadcast(means) if means.count() <= BROADCAST_SOURCES else means
+        sums = self._ranged(sizes).groupBy("source", "cell", "range").agg(F.sum("size").alias("range_size"))
+        running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(running), F.lit(0)))
+        goal = targets(sizes, weights, epochs_total, cap).withColumnRenamed("source", "g_source")
+        plan = offsets.join(goal, F.col("source").eqNullSafe(F.col("g_source")))
+        self.cells = plan.select(F.col("cell").alias("p_cell"), "offset", "source_size", "target")
+
+    def _ranged(self, rows: DataFrame) -> DataFrame:
+        """With range, and cell, one name for the source and the range."""
+        unit = F.col("key") / F.col("mean_key")
+        place = F.least(F.lit(self.n_ranges - 1), F.floor(F.lit(self.n_ranges) * (unit / (1 + unit)))).cast("long")
+        held = rows.join(self.means, F.col("source").eqNullSafe(F.col("k_source"))).withColumn("range", place).drop("k_source", "mean_key")
+        return held.withColumn("cell", F.concat_ws("/", "range", "source", F.col("source").isNull().cast("string")))
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with source_size, target and how often each is taken. Rows are shuffled once, to the other rows of their cell."""
+        joined = self._ranged(rows).join(self.cells, F.col("cell") == F.col("p_cell"))
+        within = Window.partitionBy("cell").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
+        rest = F.col("target") - epochs * F.col("source_size")
+        ahead = F.col("offset") + F.sum("size").over(within) - F.col("size")
+        picked = F.when((rest > 0) & (ahead + F.col("size") / 2 <= rest), 1).otherwise(0)
+        return joined.withColumn("copies", (epochs + picked).cast("long"))
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs_total: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies and taken words."""
+    sizes = materialize(_sized(docs, id, text, source), "mix")
+    mixed = _Plan(sizes, weights, epochs_total, cap).copies(sizes)
     return mixed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs_total: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Rows that share an id are told apart by their source and size; those equal in all three get the
-    larger number of copies.
+    The plan is made from sizes alone; then each row goes with its columns to the other rows of its range, so
+    rows that share their id, or everything, are taken as often as ``mix`` counts them.
     """
-    plan = mix(docs, id, text, source, **options).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("m_copies"))
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    plan = _Plan(materialize(_sized(docs, id, text, source), "mix"), weights, epochs_total, cap)
     names = docs.columns
-    rows = docs.select(whole_row(docs).alias("row"), F.col(id).alias("d_id"), F.col(source).alias("d_source"), size.cast("long").alias("d_size"))
-    taken = rows.join(plan, rows["d_id"].eqNullSafe(plan["m_id"]) & rows["d_source"].eqNullSafe(plan["m_source"]) & (rows["d_size"] == plan["m_size"]))
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col("row")[name].alias(name) for name in names))
+    taken = plan.copies(_sized(docs, id, text, source, whole_row(docs).alias("row"))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[name].alias(name) for name in names))

@@ -326,6 +326,20 @@ def test_mixing_prefers_good_and_keeps_epochs(spark):
     assert {(r["doc_id"], r["taken"]) for r in again} == {(r["doc_id"], r["taken"]) for r in got}
 
 
+def test_applied_mix_takes_what_the_mix_counts(spark):
+    """Rows of one id or none, of one text, and rows that are equal in everything."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, words(k, 20), "a", k) for k in range(1500)] + [(7, words(k % 3, 20), "a", k) for k in range(300)] + [(9, words(1, 30), None, 0)] * 200 + [(k, words(k, 10), "b", k) for k in range(400)] + [(None, None, None, 1)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(5)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ ]+"))
+    want = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    taken = mixing.apply_mix(docs)
+    assert {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum(size).alias("n")).collect()} == want
+    assert taken.columns == docs.columns and max(r["count"] for r in taken.where("extra < 1500 AND source = 'b'").groupBy("doc_id").count().collect()) <= 2
+    goals = {r["source"]: r["t"] for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("t")).collect()}
+    assert all(abs(want[s] - goals[s]) <= 30 for s in goals)
+
+
 def test_token_segments(spark, tmp_path):
     """Small segments, long documents and reading one document back."""
     from tokenizers import Tokenizer
