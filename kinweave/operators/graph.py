@@ -6,10 +6,10 @@ have v and community, -1 for none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinweave.operators.components import connected_components
-from kinweave.plans.ranking import global_rank
+from kinweave.plans.ranking import global_rank, place_in_group
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,13 @@ def sorted_adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
+def adjacency_chunks(edges: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+    """v, chunk (from 0), n and neighbours: a vertex's neighbours in order, in chunks of at most ``chunk_rows``, so that no array has all those of a hub."""
+    placed = place_in_group(edges.select(F.col("src").alias("v"), "dst"), "v", [F.col("dst")], "place", "degree")
+    chunk = F.floor(F.col("place") / chunk_rows).alias("chunk")
+    return placed.groupBy("v", chunk).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("dst")).alias("neighbours"))
+
+
 def weighted_degree(edges: DataFrame) -> DataFrame:
     """v and the sum of its edges' weights."""
     return edges.groupBy(F.col("src").alias("v")).agg(F.sum("weight").alias("degree"))
@@ -124,9 +131,10 @@ def community_order(assign: DataFrame) -> DataFrame:
 
 
 def sparsify(edges: DataFrame, similarity: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """For each vertex its round(degree ** alpha) most similar edges; ties go to the smaller neighbour. ``similarity`` has src, dst and similarity."""
+    """For each vertex its round(degree ** alpha) most similar edges; ties go to the smaller neighbour. ``similarity`` has src, dst and similarity.
+
+    An edge's place among its vertex's is found by ranges, so a hub's edges are never sorted in one task.
+    """
     joined = edges.select("src", "dst", "weight").join(similarity.select(F.col("src").alias("s"), F.col("dst").alias("d"), "similarity"), (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")))
-    whole = Window.partitionBy("src")
-    rank = F.row_number().over(whole.orderBy(F.col("similarity").desc(), "dst"))
-    keep = F.round(F.pow(F.count("*").over(whole), F.lit(alpha)))
-    return joined.withColumn("rank", rank).withColumn("keep", keep).where(F.col("rank") <= F.col("keep")).select("src", "dst", "weight", "similarity")
+    placed = place_in_group(joined.select("src", "dst", "weight", "similarity"), "src", [F.col("similarity").desc(), F.col("dst")], "place", "degree")
+    return placed.where(F.col("place") < F.round(F.pow("degree", F.lit(alpha)))).select("src", "dst", "weight", "similarity")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.functions import pairs_of, shared_neighbours
+from kinweave.functions import pairs_of
 from kinweave.operators.graph import relabelled, weighted_degree
 from kinweave.plans.ranking import global_rank
+from kinweave.plans.scratch import materialize
 
 
 def community_sums(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -71,18 +72,43 @@ def gini(assign: DataFrame) -> DataFrame:
     return sums.select((F.try_divide(2 * F.col("ix"), F.col("n") * F.col("total")) - F.try_divide(F.col("n") + 1, F.col("n"))).alias("gini"))
 
 
-def edge_similarity(edges: DataFrame) -> DataFrame:
-    """src, dst and the Jaccard overlap of the ends' neighbour sets, for each distinct edge that isn't a loop.
+def triangles(edges: DataFrame) -> DataFrame:
+    """a, b and c, each triangle of symmetric ``edges`` once.
 
-    Counted by joining edges on common neighbours would grow with the square of degrees; neighbour arrays
-    are joined instead, one for each edge.
+    Edges point from the end of smaller degree (then id) to the other, so a hub has few that leave it: at most the square
+    root of twice the edges. Two that leave one vertex make a wedge, and an edge between their ends closes it.
     """
+    return _closed(_oriented(edges)).select(F.col("lo").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """lo, hi and their degrees d_lo, d_hi: each link between different vertices once."""
     plain = edges.where("src <> dst").select("src", "dst").distinct()
-    lists = plain.groupBy(F.col("src").alias("v")).agg(F.collect_set("dst").alias("near"))
-    a, b = (lists.select(F.col("v").alias(f"{x}_v"), F.col("near").alias(x)) for x in "ab")
-    held = plain.join(a, F.col("src") == F.col("a_v")).join(b, F.col("dst") == F.col("b_v"))
-    n = shared_neighbours(F.col("a"), F.col("b"))
-    return held.select("src", "dst", (n / (F.size("a") + F.size("b") - n)).alias("similarity"))
+    degrees = plain.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+    a, b = (degrees.select(F.col("v").alias(f"{x}_v"), F.col("d").alias(f"d_{x}")) for x in ("lo", "hi"))
+    held = plain.join(a, F.col("src") == F.col("lo_v")).join(b, F.col("dst") == F.col("hi_v"))
+    return held.where((F.col("d_lo") < F.col("d_hi")) | ((F.col("d_lo") == F.col("d_hi")) & (F.col("src") < F.col("dst")))).select(F.col("src").alias("lo"), F.col("dst").alias("hi"), "d_lo", "d_hi")
+
+
+def _closed(up: DataFrame) -> DataFrame:
+    """lo, x and y of each triangle, in the order of degrees and ids."""
+    one, two = (up.select(F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(k), F.col("d_hi").alias(f"d_{k}")) for k in "xy")
+    wedges = one.join(two, (F.col("lo_x") == F.col("lo_y")) & ((F.col("d_x") < F.col("d_y")) | ((F.col("d_x") == F.col("d_y")) & (F.col("x") < F.col("y")))))
+    ends = up.select(F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"))
+    return wedges.join(ends, (F.col("x") == F.col("e_lo")) & (F.col("y") == F.col("e_hi"))).select(F.col("lo_x").alias("lo"), "x", "y")
+
+
+def edge_similarity(edges: DataFrame) -> DataFrame:
+    """src, dst and the Jaccard overlap of the ends' neighbour sets, for each distinct edge of symmetric ``edges`` that isn't a loop.
+
+    Common neighbours are the triangles of an edge: no array of a hub's neighbours is built, and a star has no wedge.
+    """
+    up = materialize(_oriented(edges), "oriented")
+    sides = F.array(F.struct(F.col("lo").alias("a"), F.col("x").alias("b")), F.struct(F.col("lo").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("y").alias("b")))
+    shared = _closed(up).select(F.explode(sides).alias("side")).groupBy(F.col("side.a").alias("s_lo"), F.col("side.b").alias("s_hi")).agg(F.count("*").alias("n"))
+    held = up.join(shared, (F.col("lo") == F.col("s_lo")) & (F.col("hi") == F.col("s_hi")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = held.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), (F.col("n") / (F.col("d_lo") + F.col("d_hi") - F.col("n"))).alias("similarity"))
+    return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity"))
 
 
 def color_conflicts(edges: DataFrame, colors: DataFrame) -> DataFrame:

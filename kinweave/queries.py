@@ -160,6 +160,8 @@ def queries() -> dict[str, Query]:
         "to_undirected": lambda s, d: _rounded(graph.to_undirected(_arcs(s, d)), "weight"),
         "remove_edges": lambda s, d: _rounded(graph.remove_edges(e(s, d)), "weight"),
         "sorted_adjacency": lambda s, d: graph.sorted_adjacency(e(s, d)).select("v", "n", F.array_join("neighbours", ",").alias("neighbours")),
+        "adjacency_chunks": lambda s, d: graph.adjacency_chunks(pair_edges(s, d), 64).select("v", "chunk", "n", F.array_join("neighbours", ",").alias("neighbours")),
+        "triangles": lambda s, d: metrics.triangles(e(s, d)).select(F.array_sort(F.array("a", "b", "c")).alias("t")).select(*(F.col("t")[k].alias(x) for k, x in enumerate("abc"))),
         "community_order": lambda s, d: graph.community_order(a(s, d)),
         "rcm": lambda s, d: ordering.reverse_cuthill_mckee(v(s, d), e(s, d)),
         "edge_list_dump": lambda s, d: edge_lines(pair_edges(s, d)),
@@ -265,6 +267,8 @@ def oracle_sql() -> dict[str, str]:
         "to_undirected": f"WITH {_JACCARD}, down AS (SELECT src, dst, weight FROM jaccard WHERE src >= dst AND weight > 0) SELECT src, dst, round(weight, 9) AS weight FROM down UNION ALL SELECT dst, src, round(weight, 9) FROM down WHERE src > dst",
         "remove_edges": f"WITH {_EDGES} SELECT src, dst, round(min(weight), 9) AS weight FROM edges WHERE src <> dst GROUP BY ALL",
         "sorted_adjacency": f"WITH {_EDGES} SELECT src AS v, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM edges GROUP BY src",
+        "adjacency_chunks": f"WITH {_PAIRS}, p AS (SELECT src AS v, dst, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 64 AS chunk FROM edges) SELECT v, chunk, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM p GROUP BY v, chunk",
+        "triangles": f"WITH {_EDGES}, p AS (SELECT DISTINCT src, dst FROM edges WHERE src < dst) SELECT p.src AS a, p.dst AS b, q.dst AS c FROM p JOIN p q ON p.dst = q.src JOIN p r ON r.src = p.src AND r.dst = q.dst",
         "community_order": "WITH assign AS (SELECT vec_id + 1 AS v, min(vec_id + 1) OVER (PARTITION BY label) AS community FROM embeddings) SELECT v, community, row_number() OVER (ORDER BY community, v) - 1 AS place FROM assign",
         "edge_list_dump": f"WITH {_PAIRS} SELECT concat_ws(chr(9), src, dst, round(weight, 9)) AS line FROM edges",
     }

@@ -192,6 +192,24 @@ def test_colorings_match_arrays(spark):
     assert kernels.row_hash(np.array([r["id"] for r in hashes]), 1, 7).tolist() == [r["h"] for r in hashes]
 
 
+def test_star_and_clique_stay_in_small_tasks(spark):
+    """A hub of a star that meets a clique: few wedges, chunks of bounded size, and the same answers as by definition."""
+    rows = [(0, k, 1.0) for k in range(1, 2001)] + [(a, b, 1.0) for a in range(1, 21) for b in range(a + 1, 21)]
+    edges = graph.build_graph(frame(spark, rows))
+    near = {}
+    for a, b, _ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = {(r["src"], r["dst"]): r["similarity"] for r in metrics.edge_similarity(edges).collect()}
+    assert got == {p: pytest.approx(len(near[p[0]] & near[p[1]]) / len(near[p[0]] | near[p[1]])) for a, b, _ in rows for p in ((a, b), (b, a))}
+    up = metrics._oriented(edges)
+    assert up.groupBy("lo").count().agg(F.max("count")).first()[0] <= 20 and metrics.triangles(edges).count() == 20 * 19 * 18 // 6 + 20 * 19 // 2
+    chunks = graph.adjacency_chunks(edges, 100).collect()
+    assert max(r["n"] for r in chunks) == 100 and [x for r in sorted((r["chunk"], r["neighbours"]) for r in chunks if r["v"] == 0) for x in r[1]] == list(range(1, 2001))
+    kept = graph.sparsify(graph.remove_edges(edges), metrics.edge_similarity(edges)).collect()
+    assert sum(r["src"] == 0 for r in kept) == round(2000**0.5)
+
+
 def test_rcm_raises_rather_than_losing_vertices(spark):
     edges = graph.build_graph(frame(spark, [(i, i + 1, 1.0) for i in range(1, 12)]))
     with pytest.raises(RuntimeError):
