@@ -4,9 +4,9 @@ Texts are lower-cased (A-Z), cut into pieces at . , ; : ! ? and line ends, and t
 suffix is a word and up to ``max_n`` - 1 words after it in its piece. Everything is counted for each language
 (null: "und").
 
-1. Words, pairs and triples of neighbouring words are counted by hash. A phrase with one of them below ``min_count``
-   can't reach it, so suffixes end before those. They are told by bit maps of fixed size, in which a collision only keeps
-   a suffix longer than it need be: the more a corpus has, the less the map of pairs and triples saves, never a phrase.
+1. Words are counted, and pairs and triples of neighbouring words by hash. A phrase with a pair or a triple below
+   ``min_count`` can't reach it, so suffixes end before those. They are told by a bit map of fixed size, in which a
+   collision only keeps a suffix longer than it need be: the more a corpus has, the less the map saves, never a phrase.
 2. Suffixes are summed within a block of text and shuffled by language and first word. A word that alone would make
    more than half a mean partition is hot, and a key goes on through hot words to the first other one: no key has more
    rows than that, and a suffix of hot words alone is one row a block. The hot words are at most two a partition.
@@ -35,8 +35,8 @@ from kinweave.llm.textbytes import blocks, combine, hash_text, text_bytes, word_
 from kinweave.plans.scratch import materialize, shuffle_partitions
 
 MAX_N, MIN_COUNT, TOP = 5, 100, 2000
-#: Bits of the maps of words and of pairs and triples, and how many of them a row has.
-WORD_BITS, RUN_BITS, _ROW_BITS = 1 << 27, 1 << 28, 32768
+#: Bits of the map of pairs and triples, and how many of them a row has.
+RUN_BITS, _ROW_BITS = 1 << 28, 32768
 _BLOCK_BYTES = 4 << 20
 
 # Within words the bytes 0 to 8 stand as bytes that UTF-8 doesn't have, so that the separator, a tab, is below all others
@@ -113,30 +113,31 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(blob, "<u2", n), dtype=np.int64), np.frombuffer(blob, np.uint8, n, 2 * n)
 
 
-def hashed_counts(texts: DataFrame) -> DataFrame:
-    """Counts of each block of text: rows of lang, word (a hash of both) and n, and rows of word (a row of the map of pairs and triples) and packed counts."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """lang, word (a hash of both) and n from rows of lang and text."""
 
     def count(batches):
         for words, names in _read(batches):
-            salted = _salted(words, names)
-            found, at, n = np.unique(salted, return_index=True, return_counts=True)
-            pairs, triples = _places(words, salted)
+            found, at, n = np.unique(_salted(words, names), return_index=True, return_counts=True)
+            lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(found), pa.array(n)], ["lang", "word", "n"])
+
+    return texts.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def run_counts(texts: DataFrame) -> DataFrame:
+    """Counts of the pairs and triples of each block of text: packed, for each row of their map."""
+
+    def count(batches):
+        for words, names in _read(batches):
+            pairs, triples = _places(words, _salted(words, names))
             place, times = np.unique(np.concatenate([pairs[~words.last[:-1]], triples[~words.last[:-2] & ~words.last[1:-1]]]), return_counts=True)
             row, first = np.unique(place // _ROW_BITS, return_index=True)
             ends = np.append(first, len(place))
             packed = [_packed(place[a:b] % _ROW_BITS, times[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
-            columns = [(lang, pa.nulls(len(row), pa.string())), (pa.array(found), pa.array(row)), (pa.array(n), pa.nulls(len(row), pa.int64())), (pa.nulls(len(found), pa.binary()), pa.array(packed, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "word", "n", "packed"])
-
-    return texts.mapInArrow(count, "lang string, word long, n long, packed binary")
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(packed, pa.binary())], ["row", "packed"])
 
-
-def word_map(counts: DataFrame, min_count: int) -> np.ndarray:
-    """The bits of the words that reach ``min_count``, whatever their number."""
-    place = F.pmod("word", F.lit(WORD_BITS)) + 1
-    rows = counts.where(F.col("n") >= min_count).select((F.bitmap_bucket_number(place) - 1).alias("row"), F.bitmap_bit_position(place).alias("bit"))
-    return _map_of(rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")), WORD_BITS)
+    return texts.mapInArrow(count, "row long, packed binary")
 
 
 def run_map(packed: DataFrame, min_count: int) -> np.ndarray:
@@ -158,14 +159,9 @@ def run_map(packed: DataFrame, min_count: int) -> np.ndarray:
     def done(row: int, sums: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([np.packbits(sums >= min_count, bitorder="little").tobytes()], pa.binary())], ["row", "bits"])
 
-    rows = packed.select(F.col("word").alias("row"), "packed").repartition("row").sortWithinPartitions("row")
-    return _map_of(rows.mapInArrow(total, "row long, bits binary"), RUN_BITS)
-
-
-def _map_of(rows: DataFrame, bits: int) -> np.ndarray:
-    """The map of so many bits from its rows."""
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    rows = packed.repartition("row").sortWithinPartitions("row")
+    out = np.zeros(RUN_BITS // 8, np.uint8)
+    for r in rows.mapInArrow(total, "row long, bits binary").toLocalIterator():
         at = r["row"] * (_ROW_BITS // 8)
         out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -175,12 +171,11 @@ def _bits(held: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (held[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, runs: np.ndarray, hot: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], runs: np.ndarray, hot: np.ndarray, max_n: int) -> Iterator[pa.RecordBatch]:
     """Rows of key, suffix (its language first) and how often it stands in the block."""
     for words, names in _read(batches):
         salted = _salted(words, names)
-        used = _bits(known, salted & (WORD_BITS - 1))
-        if not used.any():
+        if not len(salted):
             continue
         _, at, ids = np.unique(salted, return_index=True, return_inverse=True)
         n = len(ids)
@@ -188,14 +183,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch], known: np.ndarray, runs: np.nda
         window = np.zeros((n, max_n), np.int32)
         window[:, 0] = ids + 1
         pairs, triples = (_bits(runs, x) for x in _places(words, salted))
-        pairs &= ~words.last[:-1] & used[1:]
-        goes = used
+        pairs &= ~words.last[:-1]
+        goes = np.ones(n, bool)
         for d in range(1, min(max_n, n)):
             goes = goes[: n - d] & pairs[d - 1 :]
             if d > 1:
                 goes &= triples[d - 2 :]
             window[: n - d, d] = np.where(goes, ids[d:] + 1, 0)
-        window = window[used]
         # Neighbours share their first words, which the shuffle's files compress.
         order = np.lexsort(window.T[::-1])
         window = window[order]
@@ -311,14 +305,13 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
     """(lang, phrase, size and n of all phrases of up to ``max_n`` words that occur ``min_count`` times or more; lang and its n words)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    hashed = materialize(hashed_counts(texts), "hashes")
-    counts = materialize(hashed.where("packed IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = materialize(word_counts(texts), "words")
     n_parts, n_words = shuffle_partitions(spark), counts.agg(F.sum("n")).first()[0] or 0
     hot = np.array([r["word"] for r in counts.where(F.col("n") * (2 * n_parts) > n_words).select("word").collect()], np.int64)  # at most two a partition
-    held = spark.sparkContext.broadcast((word_map(counts, min_count), run_map(hashed.where("packed IS NOT NULL"), min_count), hot))
+    held = spark.sparkContext.broadcast((run_map(run_counts(texts), min_count), hot))
     rows = texts.mapInArrow(lambda batches: _suffixes(batches, *held.value, max_n), "key long, suffix binary, n long")
     dealt = rows.repartition(n_parts, "key").select("suffix", "n").sortWithinPartitions(F.desc("suffix"))
-    found = dealt.mapInArrow(lambda batches: _count(batches, held.value[2], max_n, min_count), "lang string, phrase string, size int, n long")
+    found = dealt.mapInArrow(lambda batches: _count(batches, held.value[1], max_n, min_count), "lang string, phrase string, size int, n long")
     found = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return materialize(found, "phrases"), counts.groupBy("lang").agg(F.sum("n").alias("n"))
 

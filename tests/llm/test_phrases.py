@@ -41,7 +41,7 @@ def test_blocks_and_rare_words(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_BLOCK_BYTES", 300)
     assert mined(spark, rows, min_count=3) == want
     # With all bits set nothing is pruned.
-    monkeypatch.setattr(phrases, "_map_of", lambda rows, bits: np.full(bits // 8, 255, np.uint8))
+    monkeypatch.setattr(phrases, "run_map", lambda packed, min_count: np.full(phrases.RUN_BITS // 8, 255, np.uint8))
     assert mined(spark, rows, min_count=3) == want
 
 
