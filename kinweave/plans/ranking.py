@@ -24,19 +24,24 @@ def global_rank(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return ranked.select(*df.columns, (F.col("rank_first") + F.col("rank_inner")).alias(name))
 
 
-def place_in_group(df: DataFrame, group: str, keys: list[Column], place: str, size: str) -> DataFrame:
-    """``df`` with each row's place (from 0) in its group by the order of ``keys``, and the rows of its group.
+def running_sum(df: DataFrame, group: str, keys: list[Column], value: Column, before: str, whole: str) -> DataFrame:
+    """``df`` with the sums of ``value`` (a column or expression) over the rows before each in its group, by the order of ``keys``, and over all of the group.
 
-    Rows are dealt by ranges of group and keys, so a group of any size is spread; a count for each group of a range
-    gives the place of its first row there. Null groups are left out.
+    Rows are dealt by ranges of group and keys, so a group of any size is spread; a sum for each group of a range gives
+    what is before its first row there. Rows of a null group are left out.
     """
     spark = df.sparkSession
-    dealt = df.where(F.col(group).isNotNull()).repartitionByRange(shuffle_partitions(spark), F.col(group), *keys)
+    dealt = df.where(F.col(group).isNotNull()).withColumn("rank_value", value).repartitionByRange(shuffle_partitions(spark), F.col(group), *keys)
     dealt = materialize(dealt.withColumn("rank_part", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(F.col(group).alias("rank_group"), F.col("rank_part").alias("rank_in")).agg(F.count("*").alias("rank_n"))
-    whole = Window.partitionBy("rank_group")
-    before = F.sum("rank_n").over(whole.orderBy("rank_in").rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select("rank_group", "rank_in", F.coalesce(before, F.lit(0)).alias("rank_first"), F.sum("rank_n").over(whole).alias(size))
-    inner = F.row_number().over(Window.partitionBy(group, "rank_part").orderBy(*keys)) - 1
-    ranked = dealt.withColumn("rank_inner", inner).join(first, (F.col(group) == F.col("rank_group")) & (F.col("rank_part") == F.col("rank_in")))
-    return ranked.select(*df.columns, (F.col("rank_first") + F.col("rank_inner")).alias(place), size)
+    sums = dealt.groupBy(F.col(group).alias("rank_group"), F.col("rank_part").alias("rank_in")).agg(F.sum("rank_value").alias("rank_n"))
+    of_group = Window.partitionBy("rank_group")
+    earlier = F.sum("rank_n").over(of_group.orderBy("rank_in").rowsBetween(Window.unboundedPreceding, -1))
+    first = sums.select("rank_group", "rank_in", F.coalesce(earlier, F.lit(0)).alias("rank_first"), F.sum("rank_n").over(of_group).alias(whole))
+    inner = F.sum("rank_value").over(Window.partitionBy(group, "rank_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = dealt.withColumn("rank_inner", F.coalesce(inner, F.lit(0))).join(first, (F.col(group) == F.col("rank_group")) & (F.col("rank_part") == F.col("rank_in")))
+    return ranked.select(*df.columns, (F.col("rank_first") + F.col("rank_inner")).alias(before), whole)
+
+
+def place_in_group(df: DataFrame, group: str, keys: list[Column], place: str, size: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in its group by the order of ``keys``, and the rows of its group."""
+    return running_sum(df, group, keys, F.lit(1).cast("long"), place, size)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave import loops
-from kinweave.operators import coloring, descent, graph, knn, links, louvain, metrics, ordering
+from kinweave.operators import coloring, descent, graph, knn, links, louvain, metrics, ordering, partition
 from kinweave.plans.cluster import fast_cluster
 from kinweave.plans.scratch import materialize
 from kinweave.sources import edge_lines
@@ -93,6 +93,10 @@ def colors_by_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("v"), F.col("label").cast("int").alias("color"))
 
 
+def parts_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("v"), F.col("label").cast("int").alias("part"))
+
+
 def attrs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("v"), F.col("label").alias("attr"))
 
@@ -149,6 +153,9 @@ def queries() -> dict[str, Query]:
         "color_balanced": _color(coloring.color_balanced),
         "color_equitable": _color(lambda v, e: coloring.color_balanced(v, e, least_used=True)),
         "color_maxmin": _color(coloring.color_max_min),
+        "partition_kway": lambda s, d: partition.partition_kway(v(s, d), e(s, d), 4),
+        "partition_quality": lambda s, d: _rounded(partition.partition_quality(e(s, d), parts_by_label(s, d)), "balance", "cut"),
+        "dissection_order": lambda s, d: partition.dissection_order(e(s, d), parts_by_label(s, d)),
         "color_conflicts": lambda s, d: metrics.color_conflicts(e(s, d), colors_by_label(s, d)),
         "color_stats": lambda s, d: _rounded(metrics.color_stats(colors_by_label(s, d)), "mean", "variance"),
         "pair_fscore": lambda s, d: _rounded(metrics.pair_fscore(table(s, d, "labels"), "quality", "toxic"), "precision", "recall", "f_score"),
@@ -217,8 +224,27 @@ def _louvain_sql(method: str = "none", edges: str = _EDGES, name: str = "v", **o
     return f"WITH RECURSIVE {edges}{_VERTICES}, {loops.louvain(method, **options)} SELECT vertices.v AS {name}, coalesce(community, -1) AS community, round(modularity, 9) AS modularity FROM vertices LEFT JOIN found ON vertices.v = found.v"
 
 
+def _dissection_sql(bits: int) -> str:
+    """Separators of parts of so many bits, level by level, and the order that they give."""
+    ctes, taken = "", "SELECT v, level FROM (SELECT 0 AS v, 0 AS level) WHERE false"
+    for level in range(bits):
+        bit = bits - 1 - level
+        ctes += f"""left{level} AS (SELECT v, part FROM parts WHERE v NOT IN (SELECT v FROM ({taken}))),
+cross{level} AS (SELECT a.part >> {bit + 1} AS region, src AS x, dst AS y FROM pairs JOIN left{level} a ON src = a.v JOIN left{level} b ON dst = b.v WHERE a.part >> {bit + 1} = b.part >> {bit + 1} AND a.part >> {bit} < b.part >> {bit}),
+cover{level} AS (SELECT DISTINCT region, kind, v FROM (SELECT region, 0 AS kind, x AS v FROM cross{level} UNION ALL SELECT region, 1, y FROM cross{level} UNION ALL
+  SELECT region, 2, CASE WHEN count(*) OVER (PARTITION BY x) >= count(*) OVER (PARTITION BY y) THEN x ELSE y END FROM cross{level})),
+pick{level} AS (SELECT region, kind FROM (SELECT region, kind, count(*) AS n FROM cover{level} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY region ORDER BY n, kind) = 1),
+sep{level} AS (SELECT v, {level} AS level FROM cover{level} JOIN pick{level} USING (region, kind)),
+"""
+        taken += f" UNION ALL SELECT v, level FROM sep{level}"
+    digits = " || ".join(f"CASE WHEN level = {i} THEN '2' WHEN level >= 0 AND level < {i} THEN '0' ELSE ((part >> {bits - 1 - i}) & 1)::VARCHAR END" for i in range(bits))
+    return f"WITH {_EDGES}, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), parts AS (SELECT vec_id + 1 AS v, label AS part FROM embeddings), {ctes} held AS (SELECT parts.v, part, coalesce(level, -1)::INT AS level FROM parts LEFT JOIN ({taken}) t ON t.v = parts.v) SELECT v, level, row_number() OVER (ORDER BY {digits}, v) - 1 AS place FROM held"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "dissection_order": _dissection_sql(4),  # labels 0 to 9
+        "partition_quality": f"WITH {_EDGES}, parts AS (SELECT vec_id + 1 AS v, label AS part FROM embeddings), n AS (SELECT part, count(*) AS n FROM parts GROUP BY part) SELECT count(*) AS parts, max(n) AS largest, round(max(n) / avg(n), 9) AS balance, (SELECT round(coalesce(sum(weight), 0), 9) FROM edges JOIN parts a ON src = a.v JOIN parts b ON dst = b.v WHERE src < dst AND a.part <> b.part) AS cut FROM n",
         "cluster_pipeline": _louvain_sql("greedy", name="id"),
         "louvain": _louvain_sql("greedy"),
         "louvain_balanced": _louvain_sql("balanced"),

@@ -64,7 +64,7 @@ def solved(edges, options, start=None):
     return dict(zip(ids.tolist(), label.tolist())), quality
 
 
-SAME = [dict(), dict(coloring=3, min_graph_size=0), *(dict(coloring=0, sync=k) for k in (1, 2, 3, 4)), dict(coloring=0, directed=True), dict(coloring=0, percent=60, redraw=True)]
+SAME = [dict(), *(dict(coloring=0, sync=k) for k in (1, 2, 3, 4)), dict(coloring=0, directed=True), dict(coloring=0, percent=60, redraw=True)]
 
 
 @pytest.mark.parametrize("options", SAME)
