@@ -149,27 +149,27 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
-def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A row for each document: measures, ``base_failed``, ``kept`` and the ``rejected_by`` of rejected ones.
+def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, reasons: bool = False) -> DataFrame:
+    """A row for each document: measures, ``base_failed`` and ``kept``.
 
-    ``rejected_by`` is the first of the given rules, in the given order, that rejects the document, so
-    it doesn't depend on the order that was measured.
+    With ``reasons`` also ``rejected_by``, the first of the given rules, in the given order, that rejects the
+    document: it doesn't depend on the order that was measured, and costs a second pass over the rules of each rejected one.
     """
     given = rules or default_rules()
     cascade = plan_cascade(sample_measures(docs, text, given, sample_rows), given)
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean" + (", rejected_by string" if reasons else "")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
-        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()]
+        names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *["rejected_by"] * reasons]
+        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()] * reasons
         for batch in batches:
             out = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 page = Page(raw.as_py())
                 rejected = first_rejection(page, cascade) is not None
                 failed = page.n_words < 50 or 100 * page.measure("n_repeat_words") > 50 * page.n_words
-                reason = first_rejection(page, given) if rejected else None
-                out.append((key, page.n_words, *map(page.measure, ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, not (failed or rejected), reason))
+                reason = [first_rejection(page, given) if rejected else None] if reasons else []
+                out.append((key, page.n_words, *map(page.measure, ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, not (failed or rejected), *reason))
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

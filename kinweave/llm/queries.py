@@ -36,8 +36,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality.quality_report(table(spark, sf_dir, "documents"))
-    return report.drop("rejected_by")
+    return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,15 @@ def test_quality(spark, sample, sample_dir):
     assert not got.where("kept and base_failed").count()
 
 
+def test_rules_run_once_unless_reasons_are_asked_for(spark, monkeypatch):
+    """Without reasons a rejected text's rules aren't run again; with them the first given rule that rejects it is named."""
+    docs = spark.createDataFrame([(1, "#### " * 80), (2, None), (3, "word " * 10)], "doc_id long, text string")
+    assert "rejected_by" not in q.quality.quality_report(docs).columns
+    got = {r["doc_id"]: (r["kept"], r["rejected_by"]) for r in q.quality.quality_report(docs, reasons=True).collect()}
+    given = q.quality.default_rules()
+    assert got == {i: (False, q.quality.first_rejection(q.quality.Page((t or "").encode() if t is not None else None), given)) for i, t in ((1, "#### " * 80), (2, None), (3, "word " * 10))}
+
+
 def test_substrings(spark, sample, sample_dir):
     got = by_id(q.op5_substring_dedup(spark, sample_dir), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = brute.substrings([r[:2] for r in sample])
