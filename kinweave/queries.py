@@ -153,7 +153,7 @@ def queries() -> dict[str, Query]:
         "color_balanced": _color(coloring.color_balanced),
         "color_equitable": _color(lambda v, e: coloring.color_balanced(v, e, least_used=True)),
         "color_maxmin": _color(coloring.color_max_min),
-        "partition_kway": lambda s, d: partition.partition_kway(v(s, d), e(s, d), 4),
+        "partition_kway": lambda s, d: partition.partition_kway(v(s, d), e(s, d), 4, rounds=2),
         "partition_quality": lambda s, d: _rounded(partition.partition_quality(e(s, d), parts_by_label(s, d)), "balance", "cut"),
         "dissection_order": lambda s, d: partition.dissection_order(e(s, d), parts_by_label(s, d)),
         "color_conflicts": lambda s, d: metrics.color_conflicts(e(s, d), colors_by_label(s, d)),
