@@ -100,17 +100,23 @@ def string_hashes(data: np.ndarray, places: np.ndarray, size: int) -> tuple[np.n
 def repeated_starts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """Those ``places`` whose string of ``size`` bytes occurs again and whose occurrences aren't all preceded by one and the same string.
 
-    ``places`` have all strings that may occur again, in order. Strings are told apart by 64-bit hashes. If a string and the one
-    a byte before it occur equally often, each occurrence of the later one follows one of the earlier, so every repeat
-    that begins there can be extended to the left.
+    ``places`` have all strings that may occur again, in order. Strings are told apart by 64-bit hashes. Either all
+    occurrences of a string are among the result or none is: where each follows one and the same string, every repeat that
+    begins there can be extended to the left. Equal counts of both strings wouldn't tell, as both may also occur apart.
     """
+    if not len(places):
+        return places
     hashes = string_hashes(data, places, size)[0]
+    follows = np.zeros(len(places), bool)
+    follows[1:] = places[1:] == places[:-1] + 1
+    follows &= ~np.isin(places, offsets)
+    before = np.zeros(len(places), U64)
+    before[1:] = hashes[:-1]
     order = np.argsort(hashes)
-    hashes = hashes[order]
-    edge = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]])) if len(hashes) else np.zeros(1, np.int64)
-    counts = np.empty(len(places), np.int32)
-    counts[order] = np.repeat(np.diff(edge), np.diff(edge))
-    begin = np.ones(len(places), bool)
-    begin[1:] = (counts[1:] != counts[:-1]) | (places[1:] != places[:-1] + 1)
-    begin |= np.isin(places, offsets)
-    return places[begin & (counts > 1)]
+    hashes, before, follows = hashes[order], before[order], follows[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    counts = np.diff(np.append(first, len(hashes)))
+    extends = np.logical_and.reduceat(follows, first) & (np.minimum.reduceat(before, first) == np.maximum.reduceat(before, first))
+    begin = np.empty(len(places), bool)
+    begin[order] = np.repeat((counts > 1) & ~extends, counts)
+    return places[begin]

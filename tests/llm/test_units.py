@@ -266,6 +266,18 @@ def test_removal_rests_on_maximal_repeats(spark, monkeypatch):
     assert not bucket.removed(no_flags, no_flags).any()
 
 
+def test_repeats_that_overlap_and_also_occur_apart():
+    """Both strings of 50 bytes in a passage of 51 occur twice, each a second time without the other: equal counts don't make one follow the other."""
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefghijkl"), 51))
+    docs = [(0, "X" + passage[1:] + "Y"), (1, "Z" + passage + "W"), (2, passage[:50] + "V")]
+    bucket = substrings.Bucket(pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]}), 50, 1)
+    no_flags = np.zeros(len(bucket.cells.first), np.uint8)
+    gone = bucket.removed(no_flags, no_flags)
+    got = {i: int(gone[a:b].sum()) for (i, _), a, b in zip(docs, bucket.offsets[:-1], bucket.offsets[1:])}
+    assert got == {i: w[1] for i, w in brute.substrings(docs).items()} == {0: 0, 1: 50, 2: 50}
+
+
 def test_packed_requests():
     rng = np.random.default_rng(8)
     for n in (1, 2, 500):
