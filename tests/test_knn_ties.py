@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import knn
 
@@ -21,3 +22,21 @@ def test_copies_are_ordered_by_id(metric, include_self):
     src, dst, found = knn.nearest(ids, rows, ids, rows, 10, metric, include_self)
     assert list(zip(src, dst)) == [w[:2] for w in want]
     assert np.allclose(found, [w[2] for w in want], atol=2e-9)
+
+
+@pytest.mark.parametrize("n", [10_000, 50_000])
+def test_rows_are_sent_in_proportion(spark, n):
+    """However many rows there are, each is sent to sixteen pairs of blocks (to twice as many as there were blocks of 2,048 before)."""
+    base = spark.range(1, n + 1).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    sent = knn._block_pairs(base, 131_072)
+    assert sent.count() == 16 * n and sent.groupBy("a", "b").count().count() == 16 * 17 // 2
+
+
+def test_pairs_of_blocks_are_searched_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(knn, "_LEAST_ROWS", 16)
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 4, (120, 5)).astype(float)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, features array<double>")
+    src, dst, dist = knn.nearest(np.arange(120), x, np.arange(120), x, 7, "l2", True)
+    got = sorted((r["src"], r["dst"], r["dist"]) for r in knn.knn_exact(rows, 7).collect())
+    assert got == sorted(zip(src.tolist(), dst.tolist(), dist.tolist()))
