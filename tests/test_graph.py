@@ -1,9 +1,12 @@
 """Golden graphs, invariants, and loops of joins against versions on arrays."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import loops, queries
 from kinweave.operators import coloring, graph, kernels, knn, links, louvain, metrics, ordering
 from kinweave.operators.components import connected_components
 from kinweave.plans.cluster import fast_cluster
@@ -278,3 +281,24 @@ def test_empty(spark):
     assert assignment(louvain.louvain(nodes, edges)) == {1: -1}
     assert metrics.modularity(edges, spark.createDataFrame([], "v long, community long")).first()[0] is None
     assert knn.knn_exact(spark.createDataFrame([], "id long, features array<double>"), 3).count() == 0
+
+
+@pytest.mark.parametrize("name, method", [("louvain", "greedy"), ("louvain_balanced", "balanced"), ("louvain_maxmin", "max_min"), ("cluster_pipeline", "greedy")])
+def test_queries_colour_the_first_phase_alone(monkeypatch, name, method):
+    """As their SQL does, also if more than 1,000 vertices are left after it."""
+    held = {}
+    monkeypatch.setattr(queries, "_rounded", lambda df, *_: df)
+    monkeypatch.setattr(queries.louvain, "louvain", lambda v, e, options: held.update(options=options))
+    monkeypatch.setattr(queries, "fast_cluster", lambda data, k, **options: held.update(options=louvain.Options(**options)))
+    for part in ("vertices", "edge_table", "features"):
+        monkeypatch.setattr(queries, part, lambda *_: None)
+    queries.queries()[name](None, None)
+    rng = np.random.default_rng(12)
+    links = {(min(a, b), max(a, b)): 1.0 for a, b in zip(rng.integers(1, 3600, 3300).tolist(), rng.integers(1, 3600, 3300).tolist()) if a != b}
+    rows = [(*pair, w) for a, b in links for pair, w in (((a, b), 1.0), ((b, a), 1.0))]
+    ids, label, quality = louvain.run_local(*(np.array(x) for x in zip(*rows)), held["options"])
+    con = duckdb.connect()
+    arcs = pa.table(dict(zip(("src", "dst", "weight"), map(pa.array, zip(*rows)))))  # noqa: F841
+    found = con.execute(f"WITH RECURSIVE edges AS (SELECT * FROM arcs), {loops.louvain(method)} SELECT v, community, modularity FROM found").fetchall()
+    assert {v: c for v, c, _ in found} == dict(zip(ids.tolist(), label.tolist()))
+    assert all(q == pytest.approx(quality) for *_, q in found)
