@@ -5,7 +5,7 @@ dropped without another try:
 assign, a name such as password or token, then : or = and a value of 6 characters or more (the span is all of it);
 access, AKIA and at least 16 capitals or digits; hex, 24 or more lower-case hex digits.
 
-The added kind "novel" works by dictionary-primed compression. A candidate is a run of 12 to 512 characters of keys
+The added kind "novel" works by dictionary-primed compression. A candidate is a run of 12 characters or more of keys
 and passwords, with a letter and a digit, that has a sensitive word (key, token, password, ...) within 48
 characters before it on its line. It is measured by its marginal bytes: zstandard compresses the surrounding text
 with and without the candidate, both times primed with a dictionary of the corpus' most frequent identifiers; the
@@ -18,7 +18,7 @@ up to ``DICTIONARY_BYTES`` are taken, ties in order of the identifier, so reruns
 
 Null and empty texts have no spans. Ids aren't interpreted, repeated rows are searched each on its own, other columns
 aren't read, and an empty table gives no rows. Time is in proportion to the text: candidates don't overlap, and each
-costs two compressions of at most ``CONTEXT`` characters on both sides.
+costs two compressions of at most ``CONTEXT`` characters on both sides; one of over 512 characters costs two for each 48 of them.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ _PLAIN = ("example", "changeme", "placeholder", "xxxxxxxxxxxxxxxx", "00000000000
 _SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|credential|bearer|authori[sz]|signature|api.?key|access.?key|private.?key|encryption.?key|license.?key)", re.ASCII)
 _SENSITIVE_CUE = _SENSITIVE.pattern
 _RUN = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}", re.ASCII)
-_LONGEST = 512
+#: Longer runs are measured in pieces of this many characters, each about as long as a key.
+_LONGEST, _PIECE = 512, 48
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 _WORDS = re.compile(rf"[A-Za-z_][A-Za-z0-9_]{{{_LEAST - 1},{_MOST - 1}}}", re.ASCII)
 
@@ -83,26 +84,36 @@ class Novelty:
         size = len(self._compressor.compress(rest + b"\n" + body)) - len(self._compressor.compress(rest + b"\n"))
         return max(size, 0) / len(body)
 
+    def of_long(self, run: str) -> float:
+        """The same for a run of more than ``_LONGEST`` characters, piece by piece and without surroundings: over a long string the compressor's codes for single characters are shorter than a byte, however random it is."""
+        return sum(self(run[i : i + _PIECE], "", "") * len(run[i : i + _PIECE]) for i in range(0, len(run), _PIECE)) / len(run)
+
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans that might be secrets: runs of key characters with a letter and a digit, after a sensitive word on their line."""
+    """Spans that might be secrets: runs of at most 512 key characters with a letter and a digit, after a sensitive word on their line."""
+    return ((a, b) for a, b in runs(text) if b - a <= _LONGEST)
+
+
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """``candidates`` of any length."""
     for word in _merged(text):
         for m in _RUN.finditer(text, *word):
-            run = m[0]
-            if len(run) <= _LONGEST and _LETTER.search(run) and _DIGIT.search(run):
+            if _LETTER.search(m[0]) and _DIGIT.search(m[0]):
                 yield m.span()
 
 
 def _merged(text: str) -> Iterator[tuple[int, int]]:
     """Regions of text after sensitive words: ``NEAR`` characters of the line and the run that begins in them, without overlaps."""
-    begin = end = -1
+    begin = end = last = -1
     for m in _SENSITIVE.finditer(text):
         line = text.find("\n", m.end(), m.end() + NEAR)
         stop = m.end() + NEAR if line < 0 else line
-        if line < 0 and stop < len(text):
-            tail = _RUN_CHARS.match(text, stop, stop + _LONGEST)
-            # Only a run that began before is followed to its end.
-            stop = tail.end() if tail and stop > 0 and _RUN_CHARS.match(text[stop - 1]) else stop
+        # Only a run that began before is followed to its end, and once for all words in it.
+        if line < 0 and stop < len(text) and _RUN_CHARS.match(text[stop - 1]):
+            if stop > last:
+                tail = _RUN_CHARS.match(text, stop)
+                last = tail.end() if tail else stop
+            stop = last
         stop = min(stop, len(text))
         if m.end() <= end:
             end = max(end, stop)
@@ -122,14 +133,14 @@ def spans_of(text: str, novelty: Novelty, threshold: float = THRESHOLD, base: bo
     found = base_spans(text) if base else []
     out = [(*s, 1.0) for s in found]
     at, last = 0, -1
-    for a, b in candidates(text) if added else ():
+    for a, b in runs(text) if added else ():
         # Base spans are in order of their starts; the furthest end so far tells whether one reaches in.
         while at < len(found) and found[at][0] < b:
             last = max(last, found[at][2])
             at += 1
         if last > a:
             continue
-        score = novelty(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT])
+        score = novelty(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) if b - a <= _LONGEST else novelty.of_long(text[a:b])
         if score >= threshold:
             out.append((a, 3, b, min(score, 1.0)))
     return sorted(out)

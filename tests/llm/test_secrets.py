@@ -65,6 +65,22 @@ def test_candidates():
     assert {t: [t[a:b] for a, b in secretscan.candidates(t)] for t in cases} == cases
 
 
+@pytest.mark.parametrize("size", [513, 1200, 40_000])
+def test_keys_of_any_length(novelty, size):
+    """A long random key is reported whole, a series as long isn't."""
+    rng = random.Random(size)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!*^%@#$&", k=size))
+    hit = lambda text: [text[a:b] for a, k, b, _ in secretscan.spans_of(text, novelty) if k == 3]
+    assert hit(f"{code(rng)}\nbearer {key} end\n{code(rng)}") == [key]
+    assert hit("bearer " + "a1" * (size // 2)) == []
+
+
+def test_words_within_a_long_run_take_linear_time(novelty):
+    began = time.perf_counter()
+    assert len(list(secretscan.runs("token1" * 100_000))) == 1
+    assert time.perf_counter() - began < 5
+
+
 def test_linear_time(novelty):
     for unit in ("token", "token ", "secret=", "AKIA", "a1", "password:     ", "bearer x9Y8z7W6v5U4 "):
         began = time.perf_counter()
