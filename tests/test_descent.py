@@ -74,3 +74,15 @@ def test_clustering_with_descent(spark):
     for i, t in enumerate(truth):
         of.setdefault(found[i + 1], set()).add(int(t))
     assert len(found) == 250 and all(len(t) == 1 for t in of.values())
+
+
+@pytest.mark.parametrize("scale, kind", [(0.25, "float"), (0.1, "double")])
+def test_floats_are_sent_where_they_are_exact(spark, monkeypatch, scale, kind):
+    rng = np.random.default_rng(13)
+    x = rng.integers(-40, 40, (300, 6)) * scale
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, features array<double>")
+    sent, leaves = [], descent._leaves
+    monkeypatch.setattr(descent, "_leaves", lambda base, *a: sent.append(base) or leaves(base, *a))
+    got = {(r["src"], r["dst"]): r["dist"] for r in descent.knn_descent(rows, 4).collect()}
+    assert sent[0].schema["features"].dataType.simpleString() == f"array<{kind}>"
+    assert all(d == round(float(((x[a] - x[b]) ** 2).sum()), 9) + 0.0 for (a, b), d in got.items())
