@@ -82,6 +82,18 @@ def test_loops_of_joins_match_arrays(spark, options):
     assert all(r["modularity"] == pytest.approx(quality) for r in rows.values())
 
 
+@pytest.mark.parametrize("merged", [True, False])
+def test_merged_sweeps_send_no_broadcasts(spark, merged):
+    edges, ids = random_graph(spark, 7, 12, 16)
+    weights = louvain.vertex_weights(edges)
+    state = weights.select(F.col("d_v").alias("v"), F.col("d_v").alias("own"), "degree", "loop")
+    m2 = edges.agg(F.sum("weight")).first()[0]
+    swept = louvain._judged(edges, state, m2, merged=merged)
+    got = {r["v"]: r["target"] for r in swept.collect()}
+    assert ("Broadcast" in swept._jdf.queryExecution().executedPlan().toString()) != merged
+    assert got == {r["v"]: r["community"] for r in louvain.best_move(edges, louvain.singletons(state)).collect()}
+
+
 def test_warm_start(spark):
     edges, ids = random_graph(spark, 8, 30, 50)
     given = {i: 100 + i % 4 for i in ids}
