@@ -82,6 +82,18 @@ def test_loops_of_joins_match_arrays(spark, options):
     assert all(r["modularity"] == pytest.approx(quality) for r in rows.values())
 
 
+@pytest.mark.parametrize("options", [dict(min_graph_size=0), dict(coloring=0, sync=2)])
+def test_turns_on_joins_end_with_the_large_phases(spark, options, monkeypatch):
+    edges, ids = random_graph(spark, 7, 40, 90)
+    options = louvain.Options(**options, follow=False, local_edges=edges.count() - 1)
+    read, turns = [], louvain._turns
+    monkeypatch.setattr(louvain, "_turns", lambda e, *a: read.append(e.count()) or turns(e, *a))
+    rows = louvain.louvain(vertices_of(spark, ids), edges, options).collect()
+    want, quality = solved(edges, options)
+    assert read == [edges.count()]
+    assert {r["v"]: r["community"] for r in rows} == want and all(r["modularity"] == pytest.approx(quality) for r in rows)
+
+
 @pytest.mark.parametrize("merged", [True, False])
 def test_merged_sweeps_send_no_broadcasts(spark, merged):
     edges, ids = random_graph(spark, 7, 12, 16)
