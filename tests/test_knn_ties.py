@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import knn
+from kinweave.operators import knn, links
 
 
 @pytest.mark.parametrize("metric", knn.METRICS)
@@ -40,3 +40,46 @@ def test_pairs_of_blocks_are_searched_both_ways(spark, monkeypatch):
     src, dst, dist = knn.nearest(np.arange(120), x, np.arange(120), x, 7, "l2", True)
     got = sorted((r["src"], r["dst"], r["dist"]) for r in knn.knn_exact(rows, 7).collect())
     assert got == sorted(zip(src.tolist(), dst.tolist(), dist.tolist()))
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+@pytest.mark.parametrize("scale, offset", [(1, 0), (1, 1e5), (1e-3, 1e6), (1e-25, 0), (1e20, 0)])
+def test_single_precision_only_proposes(metric, scale, offset):
+    """Rows that single precision can't tell apart, or whose squares it can't hold, are searched as exactly as others."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(900, 6)) * scale + offset
+    dist = np.round(knn._exact(rows, np.broadcast_to(rows, (len(rows), *rows.shape)), metric), 9) + 0.0
+    src, dst, found = knn.nearest(np.arange(900), rows, np.arange(900), rows, 5, metric, True)
+    want = np.concatenate([np.lexsort((np.arange(900), dist[i]))[:5] for i in range(900)])
+    assert (src == np.repeat(np.arange(900), 5)).all() and (dst == want).all()
+
+
+def test_coarse_limits_are_reached_by_enough_rows():
+    rng = np.random.default_rng(4)
+    for width in (8, 300, 2000, 2403):
+        rough = rng.normal(size=(40, width)).astype(np.float32)
+        assert ((rough <= knn._last(rough, 8)[:, None]).sum(1) >= 8).all()
+
+
+def test_rows_without_numbers_hide_no_others():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(2000, 4))
+    rows[rng.random(2000) < 0.6] = np.nan
+    held = np.flatnonzero(~np.isnan(rows[:, 0]))
+    every, alone = (knn.nearest(held, rows[held], others, rows[others], 4, "l2", True) for others in (np.arange(2000), held))
+    assert len(every[0]) == 4 * len(held) and all((x == y).all() for x, y in zip(every, alone))
+
+
+def test_links_read_their_neighbours_once(spark):
+    """Neighbours that are a plan, as of a search, are found once, though links need the lists of both ends."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def search(table):
+        runs.add(table.num_rows)
+        return table
+
+    rows = spark.range(40).selectExpr("id AS src", "explode(array(id, (id + 1) % 40, (id + 5) % 40)) AS dst", "cast(dst AS double) AS dist")
+    near = knn._rank(rows.groupBy("src").applyInArrow(search, "src long, dst long, dist double"), 3)
+    found = links.jaccard_links(near).collect()
+    assert len(found) == 120 and {r["weight"] for r in found if r["src"] == r["dst"]} == {0.5}
+    assert runs.value == 120
