@@ -24,7 +24,7 @@ def test_phases_over_local_edges_run_in_one_task(spark, options, seed, monkeypat
     assert all(r["modularity"] == pytest.approx(quality) for r in rows.values())
 
 
-@pytest.mark.parametrize("name", ["louvain_colored", "louvain_sync1", "louvain_sync2"])
+@pytest.mark.parametrize("name", FOUR)
 def test_queries_run_phases_in_one_task(spark, name, monkeypatch):
     made = []
     monkeypatch.setattr(queries, "edge_table", lambda s, d: None)
